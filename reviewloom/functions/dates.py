@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from reviewloom.functions.text import SPACE, strip
+from reviewloom.functions.text import SPACE, bind, strip
 from reviewloom.lookups import MONTHS
 
 # Python's ``\d`` and ``\b`` know all scripts; ``(?U)`` makes Java's do the same.
@@ -23,7 +23,10 @@ def parse_date(raw: Column) -> Column:
     Tried in this order: an ISO date anywhere, the first word followed by a
     year if that word is a month, day/month/year (never checked), a lone year.
     """
-    s = strip(raw)
+    return bind(strip(F.coalesce(raw, F.lit(""))), _normalised)
+
+
+def _normalised(s: Column) -> Column:
     low = F.lower(s)
 
     def iso(i: int) -> Column:
@@ -35,8 +38,7 @@ def parse_date(raw: Column) -> Column:
     month = _month_number(F.regexp_extract(low, _MONTH_YEAR, 1))
     year = F.regexp_extract(s, _YEAR, 1)
     return (
-        F.when(raw.isNull() | (s == ""), F.lit(""))
-        .when(s.rlike(_ISO), F.concat_ws("-", iso(1), iso(2), iso(3)))
+        F.when(s.rlike(_ISO), F.concat_ws("-", iso(1), iso(2), iso(3)))
         .when(month.isNotNull(),
               F.concat_ws("-", F.regexp_extract(low, _MONTH_YEAR, 2), month))
         .when(s.rlike(_DAY_MONTH_YEAR),

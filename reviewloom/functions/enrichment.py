@@ -9,7 +9,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, functions as F
 
-from reviewloom.functions.text import SPACE, contains_any, matches_any_word, strip
+from reviewloom.functions.text import SPACE, bind, contains_any, matches_any_word, strip
 from reviewloom.lookups import (
     CITY_COUNTRY, LANGUAGE_LABELS, OCCASION_KEYWORDS, STATE_CODES,
 )
@@ -35,19 +35,21 @@ def infer_country(
 
     A known place name anywhere in it, else a US state code among its words.
     """
-    low = strip(F.lower(location))
-    is_state = F.arrays_overlap(
-        F.split(low, f"[,{SPACE}]+"), F.array(*[F.lit(s) for s in states]))
-    by_state = F.when(is_state, F.lit("USA")).otherwise(F.lit("Unknown"))
+    def country(low: Column) -> Column:
+        is_state = F.exists(F.split(low, f"[,{SPACE}]+"), lambda word: word.isin(list(states)))
+        by_state = F.when(is_state, F.lit("USA")).otherwise(F.lit("Unknown"))
+        return first_group(low, cities, by_state, match)
+
     return F.when(location.isNull() | (location == ""), F.lit("Unknown")).otherwise(
-        first_group(low, cities, by_state, match))
+        bind(strip(F.lower(location)), country))
 
 
 def detect_occasion(
     text: Column, groups: Groups = OCCASION_KEYWORDS, match: str = "contains"
 ) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return first_group(low, groups, F.lit("unknown"), match)
+    return bind(
+        F.lower(F.coalesce(text, F.lit(""))),
+        lambda low: first_group(low, groups, F.lit("unknown"), match))
 
 
 def normalise_language(
@@ -82,23 +84,19 @@ def language_code(text: Column, profiles: Mapping[str, Sequence[str]]) -> Column
     constant set, so a text is scored where it is read.
     """
     codes = sorted(profiles)
-    grams = trigrams(text)
-
-    def add(acc: Column, gram: Column) -> Column:
-        return F.struct(*[
-            (acc[c] + F.when(gram.isin(list(profiles[c])), 1).otherwise(0)).alias(c)
-            for c in codes])
 
-    zero = F.struct(*[F.lit(0).alias(c) for c in codes])
+    def covered(grams: Column, code: str) -> Column:
+        return F.size(F.filter(grams, lambda g: g.isin(list(profiles[code]))))
 
-    def winner(acc: Column) -> Column:
-        best = F.greatest(*[acc[c] for c in codes], F.lit(1))
-        code = F.lit(None).cast("string")
-        for c in reversed(codes):
-            code = F.when(acc[c] == best, F.lit(c)).otherwise(code)
-        return code
+    def winner(hits: Column) -> Column:
+        best = F.array_max(hits)
+        place = F.array_position(hits, best).cast("int")
+        named = F.get(F.array(*[F.lit(c) for c in codes]), place - 1)
+        return F.when(best > 0, named)
 
-    return F.aggregate(grams, zero, add, winner)
+    return bind(
+        trigrams(text),
+        lambda grams: bind(F.array(*[covered(grams, c) for c in codes]), winner))
 
 
 def detect_language(

@@ -1,6 +1,6 @@
 """Text expressions: cleaning, counting, matching. Column in, Column out."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -12,6 +12,15 @@ _COMMENT = r"<!--.*?-->"
 _HIDDEN = r"<(script|style|template)\b[^>]*>.*?</\1\s*>"
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row.
+
+    Written out, an expression is copied to every place that uses it, and
+    copies inside conditions are not merged again.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")

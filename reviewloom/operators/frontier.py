@@ -22,8 +22,8 @@ def next_pages(pages: DataFrame) -> DataFrame:
     ).where(F.col("url").isNotNull())
 
 
-def crawl_frontier(pages: DataFrame, listing: str, max_pages: int) -> DataFrame:
-    """Next addresses nobody captured yet, for at most ``max_pages`` per listing."""
+def crawl_frontier(pages: DataFrame, max_pages: int) -> DataFrame:
+    """Next addresses nobody captured yet, up to page number ``max_pages``."""
     open_urls = missing_from(next_pages(pages), pages, ["url"], ["page_id"])
     return open_urls.where(F.col("page_num") < max_pages)
 

@@ -16,18 +16,22 @@ _NOTE = (
 
 
 def parse_notes(files: DataFrame, min_words: int = MIN_WORDS_FREE_TEXT) -> DataFrame:
-    """Candidate reviews of whole note files (path, value), in file order."""
+    """Candidate reviews of whole note files (path, value), in file order.
+
+    Further columns of the files are carried along.
+    """
+    others = [c for c in files.columns if c not in ("path", "value")]
     groups = [
         F.regexp_extract_all("value", F.lit(_NOTE), i).alias(name)
         for i, name in enumerate(["name", "place", "day", "text"], start=1)
     ]
-    found = files.select("path", *groups).select(
-        "path", F.posexplode_outer(F.arrays_zip("name", "place", "day", "text"))
+    found = files.select("path", *others, *groups).select(
+        "path", *others, F.posexplode_outer(F.arrays_zip("name", "place", "day", "text"))
         .alias("pos", "m"))
     return (
         found.where(F.col("pos").isNotNull())
         .select(
-            F.col("path").alias("url"), "pos",
+            F.col("path").alias("url"), *others, "pos",
             F.lit("Блог").alias("platform"), F.lit("Como").alias("region"),
             F.lit("Como").alias("city"), F.lit("Unknown").alias("host_name"),
             strip(F.col("m.name")).alias("reviewer_name"),

@@ -1,45 +1,85 @@
-"""The summary report, as one row or in long form."""
+"""The summary report, in long form and as one row."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewloom.lookups import TOP_LABELS
-from reviewloom.operators.filters import rated
-from reviewloom.operators.frequency import dimension_counts, top_per_dimension, totals
+from reviewloom.functions.text import word_count
+from reviewloom.lookups import LONG_REVIEW_WORDS, TOP_LABELS
+from reviewloom.operators.frequency import dimension_counts, top_per_dimension
+from reviewloom.operators.skew import within
 from reviewloom.session import staged
-from reviewloom.sources.writers import report_fits, write_counts, write_report
-
-# Report field -> dimension, and how many labels are kept.
-FIELDS = {
-    "by_region": ("region", None),
-    "by_platform": ("platform", None),
-    "by_country": ("reviewer_country", None),
-    "by_language": ("language", None),
-    "by_occasion": ("occasion", None),
-    "top_hosts": ("host_name", TOP_LABELS),
-    "top_cities": ("city", TOP_LABELS),
+from reviewloom.sources.writers import write_counts, write_report
+
+# Report field -> dimension.
+WHOLE = {
+    "by_region": "region", "by_platform": "platform", "by_country": "reviewer_country",
+    "by_language": "language", "by_occasion": "occasion",
 }
+TOPS = {"top_hosts": "host_name", "top_cities": "city"}
+MAX_LABELS = 100_000
+
 
+def report_scalars(reviews: DataFrame) -> DataFrame:
+    """Totals and rating figures; the latter are null if nothing is rated."""
+    rating = F.when(~F.isnan("rating"), F.col("rating"))
+    five = F.when(rating.isNotNull(), F.when(rating == 5.0, 1.0).otherwise(0.0))
+    return reviews.agg(
+        F.count("*").alias("total_reviews"),
+        F.count_if(word_count(F.col("review_text")) >= LONG_REVIEW_WORDS)
+        .alias("reviews_20_words_plus"),
+        F.round(F.avg(rating), 2).alias("rating_mean"),
+        F.nullif(F.count(rating), F.lit(0)).alias("rating_count"),
+        F.round(100 * F.avg(five), 1).alias("five_star_pct"),
+    )
 
-def report_counts(reviews: DataFrame) -> DataFrame:
-    """The frequency tables of the report: dimension, label, n."""
-    counts = staged(dimension_counts(reviews))
-    cut = [d for d, k in FIELDS.values() if k]
-    tops = top_per_dimension(counts.where(F.col("dimension").isin(cut)), TOP_LABELS)
-    whole = counts.where(~F.col("dimension").isin(cut))
-    return whole.unionByName(tops.drop("place"))
 
+def report_counts(reviews: DataFrame, k: int = TOP_LABELS) -> DataFrame:
+    """All frequency tables of the report, of any size: field, label, n.
 
-def report_scalars(reviews: DataFrame) -> DataFrame:
-    """Totals and ratings of the report; the latter are null if none is rated."""
-    five = F.avg(F.when(F.col("rating") == 5.0, 1.0).otherwise(0.0))
-    is_rated = F.col("rating").isNotNull() & ~F.isnan("rating")
-    marked = reviews.select(
-        "review_text", F.when(is_rated, F.col("rating")).alias("rating"))
-    share = F.avg(F.when(F.col("rating").isNotNull(), F.when(F.col("rating") == 5.0, 1.0)
-                         .otherwise(0.0)))
-    rating = marked.agg(
-        *_total_columns(),
-        F.round(F.avg("rating"), 2).alias("rating_mean"),
-        F.nullif(F.count("rating"), F.lit(0)).alias("rating_count"),
-        F.round(100 * share, 1).alias("five_star_pct"))
-    return rating
+    Reads the seven label columns once; the totals read the others.
+    """
+    counts = dimension_counts(reviews, [*WHOLE.values(), *TOPS.values()])
+    fields = F.create_map(
+        *[F.lit(x) for field, dim in {**WHOLE, **TOPS}.items() for x in (dim, field)])
+    top = F.col("dimension").isin(list(TOPS.values()))
+    counts = staged(counts)
+    kept = counts.where(~top).unionByName(
+        top_per_dimension(counts.where(top), k).drop("place"))
+    return kept.select(fields[F.col("dimension")].alias("field"), "label", "n")
+
+
+def _label_map(field: str) -> Column:
+    """Label -> count of one field, by falling count, then by label."""
+    entries = F.sort_array(F.collect_list(
+        F.when(F.col("field") == field, F.struct((-F.col("n")).alias("order"), "label", "n"))))
+    return F.map_from_entries(
+        F.transform(entries, lambda e: F.struct(e["label"], e["n"]))).alias(field)
+
+
+def summary_report(reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """The whole report as one row with a map per frequency table.
+
+    One row must fit a task, so tables with more than ``max_labels`` labels
+    are refused here; :func:`report_counts` holds them at any size.
+    """
+    counts = staged(report_counts(reviews))
+    if not within(counts, max_labels):
+        raise ValueError("too many labels for one row: use report_counts")
+    figures = report_scalars(reviews).first()
+    maps = counts.agg(*[_label_map(field) for field in {**WHOLE, **TOPS}])
+    types = report_scalars(reviews).schema
+
+    def figure(name: str) -> Column:
+        return F.lit(figures[name]).cast(types[name].dataType).alias(name)
+
+    ahead = ["total_reviews", "reviews_20_words_plus"]
+    behind = ["rating_mean", "rating_count", "five_star_pct"]
+    return maps.select(*map(figure, ahead), *{**WHOLE, **TOPS}, *map(figure, behind))
+
+
+def export_report(reviews: DataFrame, path: str) -> None:
+    """The report as a JSON file; absent figures are left out."""
+    write_report(summary_report(reviews), path)
+
+
+def export_counts(reviews: DataFrame, path: str) -> None:
+    write_counts(report_counts(reviews), path)

@@ -3,14 +3,15 @@
 from pyspark.sql import DataFrame, functions as F
 
 from reviewloom.operators.filters import project_columns
-from reviewloom.operators.skew import within
-
-REPORT_LABELS = 100_000
 
 
 def write_reviews_csv(df: DataFrame, path: str) -> None:
     """The fixed columns with a header; quotes are doubled, line breaks kept."""
-    project_columns(df).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+    (
+        project_columns(df).write.mode("overwrite").option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+        .csv(path, header=True)
+    )
 
 
 def write_reviews_json(df: DataFrame, path: str) -> None:
@@ -28,11 +29,6 @@ def write_counts(counts: DataFrame, path: str) -> None:
     counts.write.mode("overwrite").json(path)
 
 
-def report_fits(counts: DataFrame, labels: int = REPORT_LABELS) -> bool:
-    """Whether all frequency tables together are small enough for one row."""
-    return within(counts, labels)
-
-
 def append_metrics(counts: DataFrame, path: str) -> None:
     """Append the counts of one ingest run, stamped with the time."""
     counts.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
