@@ -162,7 +162,8 @@ def block_html(profile: Column) -> Column:
 
     shapes = {
         "cesarine": _tag('div class="x ReviewCard"', F.concat(
-            _tag("h3", name), _tag("time", day), label, _tag('p class="body"', text))),
+            _tag('h3 class="name"', name), _tag("time", day), label,
+            _tag('p class="body"', text))),
         "cesarine_rendered": _tag('div class="the-Review"', F.concat(
             _tag('span class="authorName"', name), _tag('em class="date"', day), label,
             _tag("p", text))),

@@ -422,7 +422,7 @@ def stream_distinct_keys(spark, sf_dir):
     source = f"{sf_dir}/documents*.parquet"
     arrivals = read_arrivals(spark, source, spark.read.parquet(source).schema).select(
         F.col("source").alias("reviewer_name"), F.col("text").alias("review_text"),
-        F.timestamp_seconds(F.col("doc_id")).alias("arrived"))
+        F.timestamp_seconds(F.col("doc_id") + 86_400).alias("arrived"))
     (
         stream_dedup(arrivals, "arrived", "36500 days").select("k_name", "k_text")
         .writeStream.format("parquet").outputMode("append")
