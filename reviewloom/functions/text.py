@@ -26,19 +26,31 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def single_spaced(c: Column) -> Column:
+    """White space runs become one blank, ends are trimmed."""
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+
+
 def clean_text(c: Column) -> Column:
     """Tags become a blank, white space runs become one blank, ends are trimmed."""
-    untagged = F.regexp_replace(c, "<[^>]+>", " ")
-    return F.trim(F.regexp_replace(untagged, f"[{SPACE}]+", " "))
+    return single_spaced(F.regexp_replace(c, "<[^>]+>", " "))
+
+
+def clean_words(c: Column) -> Column:
+    """Number of words in cleaned text, from its blanks."""
+    blanks = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    return bind(
+        F.coalesce(c, F.lit("")), lambda s: F.when(s == "", 0).otherwise(blanks(s) + 1))
 
 
 def word_count(c: Column) -> Column:
     """Number of white-space separated words; null text counts as none."""
-    return F.coalesce(F.regexp_count(c, F.lit(f"[^{SPACE}]+")), F.lit(0))
+    return clean_words(single_spaced(c))
 
 
-def has_words(c: Column, at_least: int) -> Column:
-    return word_count(c) >= at_least
+def has_words(clean: Column, at_least: int) -> Column:
+    """Whether cleaned text has enough words."""
+    return clean_words(clean) >= at_least
 
 
 def first_filled(*cols: Column) -> Column:
@@ -52,10 +64,12 @@ def or_unknown(c: Column, empty_too: bool = True) -> Column:
 
 
 def contains_any(c: Column, needles: Iterable[str]) -> Column:
-    hit = F.lit(False)
-    for needle in needles:
-        hit = hit | F.contains(c, F.lit(needle))
-    return hit
+    """Whether any of the strings occurs in the text.
+
+    The strings are one constant array, which keeps the plan short.
+    """
+    constants = F.split(F.lit("\n".join(needles)), "\n")
+    return F.exists(constants, lambda needle: F.contains(c, needle))
 
 
 def matches_any_word(c: Column, needles: Iterable[str]) -> Column:

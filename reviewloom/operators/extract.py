@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewloom.functions.ratings import block_rating, number
 from reviewloom.functions.text import (
-    clean_text, has_words, or_unknown, snippet, visible_text, word_count,
+    clean_text, clean_words, has_words, or_unknown, snippet, visible_text,
 )
 from reviewloom.functions.urls import page_offset
 from reviewloom.lookups import MIN_WORDS
@@ -82,7 +82,7 @@ def accepted_blocks(blocks: Column, profile: Column, profiles: Profiles = PROFIL
         )
 
     return F.filter(
-        F.transform(blocks, clean), lambda c: word_count(c["review_text"]) >= least)
+        F.transform(blocks, clean), lambda c: clean_words(c["review_text"]) >= least)
 
 
 def extract_reviews(pages: DataFrame, profiles: Profiles = PROFILES) -> DataFrame:

@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewloom.functions.text import clean_text, contains_any, has_words, page_title
+from reviewloom.functions.text import bind, clean_text, contains_any, has_words, page_title
 from reviewloom.lookups import BLOCKED_TITLE_WORDS, MIN_WORDS
 from reviewloom.schema import COLUMNS
 
@@ -18,8 +18,8 @@ def drop_block_pages(
     pages: DataFrame, words: Sequence[str] = tuple(BLOCKED_TITLE_WORDS)
 ) -> DataFrame:
     """Leave out pages whose title says the request was refused."""
-    return pages.where(~F.coalesce(
-        contains_any(F.lower(page_title(F.col("html"))), words), F.lit(False)))
+    title = F.coalesce(F.lower(page_title(F.col("html"))), F.lit(""))
+    return pages.where(~bind(title, lambda t: contains_any(t, words)))
 
 
 def in_language(df: DataFrame, label: str = "EN") -> DataFrame:

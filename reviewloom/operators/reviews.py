@@ -15,11 +15,11 @@ def build_reviews(
     """The fixed columns from candidates that carry their listing.
 
     Country, language, occasion and date are expressions in one projection.
-    ``keep`` names further columns to carry along, such as the arrival order.
+    An id is kept where there is one. ``keep`` names further columns to carry.
     """
     location = F.col("reviewer_location")
     built = {
-        "id": F.lit(None).cast("long"),
+        "id": F.col("id") if "id" in df.columns else F.lit(None).cast("long"),
         "reviewer_country": infer_country(location),
         "language": detect_language(F.col("review_text"), profiles),
         "date": parse_date(F.col("date_raw")),

@@ -7,7 +7,7 @@ failure leaves one copy of its rows.
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.operators.dedup import assign_ids, dedup_first, only_new, with_keys
+from reviewloom.operators.dedup import assign_ids, dedup_first, only_new
 from reviewloom.operators.reviews import build_reviews
 from reviewloom.schema import COLUMNS, KEY_COLUMNS, STORE_SCHEMA
 from reviewloom.session import staged
@@ -34,14 +34,14 @@ def append_reviews(
 ) -> DataFrame:
     """Add the candidates nobody has stored yet, and return what was added.
 
-    Duplicates go first, so that language, country and occasion are worked out
-    for the new reviews only. Rows of the same batch number are replaced.
+    Duplicates go first and ids next, so that language, country and occasion
+    are worked out once and for new reviews only. Rows of the same batch number
+    are replaced.
     """
     spark = candidates.sparkSession
     earlier = read_store(spark, path).where(F.col("batch") < batch)
     first = staged(dedup_first(candidates, order))
-    new = build_reviews(only_new(with_keys(first), earlier), profiles, keep=[*order, *KEY_COLUMNS])
-    numbered = assign_ids(new, order, earlier.count())
-    folder = f"{path}/batch={batch}"
-    numbered.select(*COLUMNS, *KEY_COLUMNS).write.mode("overwrite").parquet(folder)
+    new = assign_ids(only_new(first, earlier), order, earlier.count())
+    reviews = build_reviews(new, profiles, keep=KEY_COLUMNS)
+    reviews.select(*COLUMNS, *KEY_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return read_store(spark, path).where(F.col("batch") == batch)
