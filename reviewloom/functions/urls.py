@@ -3,14 +3,26 @@
 from pyspark.sql import Column, functions as F
 
 _OFFSET = r"-or(\d+)-"
+_WRITTEN = r"-or(\d+)(?:-|\.html)"
 _PAGE_SIZE = 10
 
 
 def page_offset(url: Column) -> Column:
-    """Row offset written in the address, null on a first page."""
+    """Row offset inside the address, null where there is none."""
     return F.regexp_extract(url, _OFFSET, 1).try_cast("long")
 
 
+def page_number(url: Column) -> Column:
+    """0 for a first page, counted up by the offset in the address."""
+    offset = F.regexp_extract(url, _WRITTEN, 1).try_cast("long")
+    return F.coalesce(F.floor(offset / _PAGE_SIZE).cast("int"), F.lit(0))
+
+
+def first_page_url(url: Column) -> Column:
+    """The address of the listing that a result page belongs to."""
+    return F.regexp_replace(url, r"-or\d+(?=-|\.html)", "")
+
+
 def has_next_link(html: Column) -> Column:
     """A link whose class, or any element whose label, says "next"."""
     link = r"""<a\b[^>]*?\sclass\s*=\s*(?:"[^"]*next|'[^']*next|[^\s"'>]*next)"""

@@ -47,7 +47,7 @@ def only_new(df: DataFrame, stored: DataFrame) -> DataFrame:
     """
     keyed = with_keys(df)
     known = with_keys(stored).select(*KEY_COLUMNS).join(
-        keyed.select(*KEY_COLUMNS), KEY_COLUMNS, "left_semi")
+        keyed.select(*KEY_COLUMNS), KEY_COLUMNS, "left_semi").distinct()
     return keyed.join(known, KEY_COLUMNS, "left_anti")
 
 

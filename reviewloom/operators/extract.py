@@ -14,12 +14,14 @@ from reviewloom.functions.ratings import block_rating, number
 from reviewloom.functions.text import (
     clean_text, clean_words, has_words, or_unknown, snippet, visible_text,
 )
-from reviewloom.functions.urls import page_offset
+from reviewloom.functions.urls import page_number
 from reviewloom.lookups import MIN_WORDS
 from reviewloom.operators.blocks import block_entries
 from reviewloom.operators.embedded_state import embedded_state_entries
 from reviewloom.operators.json_ld import json_ld_entries
 from reviewloom.operators.profiles import PROFILES, Profile
+from reviewloom.operators.skew import join_small_or_salted
+from reviewloom.session import staged
 
 Profiles = Mapping[str, Profile]
 
@@ -102,7 +104,7 @@ def extract_reviews(pages: DataFrame, profiles: Profiles = PROFILES) -> DataFram
 
     found = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     json_ld_first = those(lambda p: ranks(p, "json_ld", "state"))
-    later_page = those(lambda p: p.state_on_first_page_only) & page_offset(F.col("url")).isNotNull()
+    later_page = those(lambda p: p.state_on_first_page_only) & (page_number(F.col("url")) > 0)
 
     read = pages.withColumn(
         "_json_ld",
@@ -163,15 +165,18 @@ def extract_blocks(pages: DataFrame, profiles: Profiles = PROFILES) -> DataFrame
     return candidate_rows(kept.drop("_raw"))
 
 
-def first_strategy(candidates: DataFrame, group: str, rank: str) -> DataFrame:
+def first_strategy(
+    candidates: DataFrame, group: str, rank: str, spread: str = "review_text"
+) -> DataFrame:
     """Of several attempts per group, the rows of the first with any result.
 
     For attempts held in separate rows, such as two captures of one address.
-    The lowest rank per group is found with a map-side minimum, then joined
-    back; the planner may broadcast it or split a hot group.
+    The lowest rank per group is a map-side minimum; it is joined back with
+    every group spread out, so a hot group stays in many tasks.
     """
+    candidates = staged(candidates)
     best = candidates.groupBy(group).agg(F.min(rank).alias(rank))
-    return candidates.join(best, [group, rank], "left_semi")
+    return join_small_or_salted(candidates, best, [group, rank], [spread], "left_semi")
 
 
 @F.pandas_udf(T.StringType())

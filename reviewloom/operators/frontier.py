@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from reviewloom.functions.urls import has_next_link, next_page_url, page_offset
+from reviewloom.functions.urls import has_next_link, next_page_url, page_number
 from reviewloom.operators.lookup import missing_from
 
 
@@ -12,8 +12,7 @@ def next_pages(pages: DataFrame) -> DataFrame:
     ``page_num`` is taken from the offset in the address unless it is given.
     """
     if "page_num" not in pages.columns:
-        pages = pages.withColumn(
-            "page_num", F.coalesce((page_offset(F.col("url")) / 10).cast("int"), F.lit(0)))
+        pages = pages.withColumn("page_num", page_number(F.col("url")))
     following = next_page_url(F.col("url"), F.col("page_num"), has_next_link(F.col("html")))
     keep = [c for c in pages.columns if c not in ("url", "html", "page_num")]
     return pages.select(
@@ -32,5 +31,5 @@ def cap_pages(pages: DataFrame, listing: str, max_pages: int) -> DataFrame:
     """The first ``max_pages`` pages of every listing, by offset."""
     place = F.row_number().over(
         Window.partitionBy(listing).orderBy(
-            F.coalesce(page_offset(F.col("url")), F.lit(0)), "page_id"))
+            page_number(F.col("url")), "page_id"))
     return pages.withColumn("place", place).where(F.col("place") <= max_pages)

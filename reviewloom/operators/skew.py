@@ -7,12 +7,18 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reviewloom.session import staged
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs."""
-    return df.limit(rows + 1).count() <= rows
+def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes.
+
+    Looks at one row more than that, and at no others.
+    """
+    width = F.octet_length(F.to_json(F.struct("*")))
+    found = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
 
 
 def join_small_or_salted(

@@ -4,7 +4,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from reviewloom.operators.dedup import union_sources
+from reviewloom.functions.urls import first_page_url, page_number
 from reviewloom.operators.extract import candidate_rows, extract_reviews
 from reviewloom.operators.filters import drop_block_pages
 from reviewloom.operators.frequency import ingest_counts
@@ -35,14 +35,19 @@ def page_candidates(
 ) -> DataFrame:
     """Candidate reviews of all readable pages that belong to a listing.
 
-    A page without a place in ``source_priority`` (from its listing) comes in
-    the order of its number.
+    A page belongs to the listing whose address its own has without the row
+    offset. Listings may name a ``profile``, their ``source_priority`` in the
+    order of arrival, and the number of ``max_pages`` that count.
     """
     if "profile" not in listings.columns:
         listings = listings.withColumn("profile", profile_of("platform", profiles))
     if "source_priority" not in listings.columns:
         listings = listings.withColumn("source_priority", F.lit(0))
-    listed = attach_listing(drop_block_pages(pages), listings)
+    addressed = drop_block_pages(pages).withColumn("listing_url", first_page_url(F.col("url")))
+    listed = attach_listing(
+        addressed, listings.withColumnRenamed("url", "listing_url"), "listing_url")
+    if "max_pages" in listings.columns:
+        listed = listed.where(page_number(F.col("url")) < F.col("max_pages"))
     rows = candidate_rows(extract_reviews(listed, profiles))
     return rows.select("source_priority", "page_id", "pos", *_FIELDS)
 

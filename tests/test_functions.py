@@ -145,3 +145,10 @@ def test_next_page_url(spark):
 def test_next_link(apply, V):
     pages = ['<a href="#" class="ui Next">', "<b aria-label='Next page'>", "<p class=next>", "next"]
     assert apply(urls.has_next_link(V), pages) == [True, True, False, False]
+
+
+def test_listing_address_and_page_number(apply, V):
+    pages = ["http://t/a-or10-Reviews-b.html", "http://t/a-or20.html", "http://t/a-oregon-1.html"]
+    assert apply(urls.first_page_url(V), pages) \
+        == ["http://t/a-Reviews-b.html", "http://t/a.html", "http://t/a-oregon-1.html"]
+    assert apply(urls.page_number(V), pages) == [1, 2, 0]

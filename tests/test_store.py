@@ -66,6 +66,17 @@ def test_ingest_twice_adds_nothing_and_ids_go_on(spark, tmp_path):
     assert spark.read.parquet(metrics).agg(F.sum("n")).first()[0] == 4
 
 
+def test_result_pages_share_a_listing_up_to_its_cap(spark):
+    html = page(0, "Ann")[2]
+    pages = spark.createDataFrame(
+        [(i, f"http://p/1{part}.html", html) for i, part in enumerate(["", "-or10", "-or20"])],
+        PAGE_SCHEMA)
+    seed = listings(spark, [1]).withColumn("url", F.lit("http://p/1.html"))
+    assert ingest.page_candidates(pages, seed).count() == 3
+    capped = ingest.page_candidates(pages, seed.withColumn("max_pages", F.lit(2)))
+    assert sorted(r["url"] for r in capped.collect()) == ["http://p/1-or10.html", "http://p/1.html"]
+
+
 def test_notes_come_ahead_of_pages(spark, tmp_path):
     files = spark.createDataFrame(
         [("n.md", f"**Ann** from Rome — 2024\nAnn {LONG}\n")], "path string, value string")
