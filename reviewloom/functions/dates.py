@@ -7,7 +7,7 @@ from reviewloom.lookups import MONTHS
 
 # Python's ``\d`` and ``\b`` know all scripts; ``(?U)`` makes Java's do the same.
 _ISO = r"(?U)(\d{4})-(\d{2})-(\d{2})"
-_MONTH_YEAR = rf"([a-z]+)[{SPACE}]+((?U:\d{{4}}))"
+_MONTH_YEAR = rf"(?U)([a-z]+)[{SPACE}]+(\d{{4}})"
 _DAY_MONTH_YEAR = r"(?U)(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})"
 _YEAR = r"(?U)\b(\d{4})\b"
 

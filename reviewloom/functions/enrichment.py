@@ -36,7 +36,7 @@ def infer_country(
     A known place name anywhere in it, else a US state code among its words.
     """
     def country(low: Column) -> Column:
-        is_state = F.exists(F.split(low, f"[,{SPACE}]+"), lambda word: word.isin(list(states)))
+        is_state = F.exists(F.split(low, f"(?U)[,{SPACE}]+"), lambda word: word.isin(list(states)))
         by_state = F.when(is_state, F.lit("USA")).otherwise(F.lit("Unknown"))
         return first_group(low, cities, by_state, match)
 

@@ -4,9 +4,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, functions as F
 
-# The characters a Unicode-aware "white space" covers. Java's own class differs
-# (U+001C to U+001F), so the set is spelled out.
-SPACE = r"\s\x0b\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# White space inside a character class, for patterns that start with ``(?U)``:
+# Java's Unicode class, and the four separators that it leaves out.
+SPACE = r"\s\x1c-\x1f"
 
 _COMMENT = r"<!--.*?-->"
 _HIDDEN = r"<(script|style|template)\b[^>]*>.*?</\1\s*>"
@@ -23,12 +23,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(c, f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def single_spaced(c: Column) -> Column:
     """White space runs become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, f"(?U)[{SPACE}]+", " "))
 
 
 def clean_text(c: Column) -> Column:
@@ -66,9 +66,12 @@ def or_unknown(c: Column, empty_too: bool = True) -> Column:
 def contains_any(c: Column, needles: Iterable[str]) -> Column:
     """Whether any of the strings occurs in the text.
 
-    The strings are one constant array, which keeps the plan short.
+    A string that holds another of them adds nothing and is left out. The
+    others are one constant array, which keeps the plan short.
     """
-    constants = F.split(F.lit("\n".join(needles)), "\n")
+    needles = list(dict.fromkeys(needles))
+    needed = [n for n in needles if not any(m != n and m in n for m in needles)]
+    constants = F.split(F.lit("\n".join(needed)), "\n")
     return F.exists(constants, lambda needle: F.contains(c, needle))
 
 

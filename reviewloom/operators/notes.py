@@ -8,7 +8,7 @@ from reviewloom.lookups import MIN_WORDS_FREE_TEXT
 # Fixed value: **Name** from Place - date, an optional line of stars, a text of
 # twenty or more characters in optional quotes.
 _NOTE = (
-    rf"(?m)\*\*([^*]+)\*\*[{SPACE}]*(?:from[{SPACE}]+([^\n—–-]+?))?[{SPACE}—–-]+([^\n]+)?\n"
+    rf"(?mU)\*\*([^*]+)\*\*[{SPACE}]*(?:from[{SPACE}]+([^\n—–-]+?))?[{SPACE}—–-]+([^\n]+)?\n"
     r"(?:[★\*]{1,5}[^\n]*\n)?"
     rf"[\"“”]?[{SPACE}]*([^\"“”\n]{{20,}}(?:\n(?!\*\*)[^\n]{{0,200}})*)"
     r"[\"“”]?"

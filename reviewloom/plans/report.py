@@ -61,12 +61,12 @@ def summary_report(reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFram
     One row must fit a task, so tables with more than ``max_labels`` labels
     are refused here; :func:`report_counts` holds them at any size.
     """
-    counts = staged(report_counts(reviews))
+    counts = report_counts(reviews)
     if not within(counts, max_labels):
         raise ValueError("too many labels for one row: use report_counts")
-    figures = report_scalars(reviews).first()
+    scalars = report_scalars(reviews)
+    figures, types = scalars.first(), scalars.schema
     maps = counts.agg(*[_label_map(field) for field in {**WHOLE, **TOPS}])
-    types = report_scalars(reviews).schema
 
     def figure(name: str) -> Column:
         return F.lit(figures[name]).cast(types[name].dataType).alias(name)
