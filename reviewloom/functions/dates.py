@@ -5,7 +5,8 @@ from pyspark.sql import Column, functions as F
 from reviewloom.functions.text import SPACE, bind, strip
 from reviewloom.lookups import MONTHS
 
-# Python's ``\d`` and ``\b`` know all scripts; ``(?U)`` makes Java's do the same.
+# The date patterns. ``(?U)`` makes digits and word ends those of
+# all scripts.
 _ISO = r"(?U)(\d{4})-(\d{2})-(\d{2})"
 _MONTH_YEAR = rf"(?U)([a-z]+)[{SPACE}]+(\d{{4}})"
 _DAY_MONTH_YEAR = r"(?U)(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})"

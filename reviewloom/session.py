@@ -2,6 +2,9 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +41,16 @@ def local_session(cores: str = "*", app: str = "reviewloom", **conf: str) -> Spa
     return tune(spark)
 
 
+_current: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh path under the shared folder named by ``spark.checkpoint.dir``.
 
     Only a session whose master is this machine may fall back to a temporary
     folder; on a cluster that folder would be lost with its executor.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _current.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -52,6 +58,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/reviewloom-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """Put everything staged inside into one folder, and remove it at the end.
+
+    For work whose result is written elsewhere before the block ends.
+    """
+    folder = scratch_dir(spark)
+    token = _current.set(folder)
+    try:
+        yield
+    finally:
+        _current.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to shared storage and return the written table.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewloom.operators.dedup import assign_ids, dedup_first, only_new
 from reviewloom.operators.reviews import build_reviews
 from reviewloom.schema import COLUMNS, KEY_COLUMNS, STORE_SCHEMA
-from reviewloom.session import staged
+from reviewloom.session import own_scratch, staged
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -40,8 +40,9 @@ def append_reviews(
     """
     spark = candidates.sparkSession
     earlier = read_store(spark, path).where(F.col("batch") < batch)
-    first = staged(dedup_first(candidates, order))
-    new = assign_ids(only_new(first, earlier), order, earlier.count())
-    reviews = build_reviews(new, profiles, keep=KEY_COLUMNS)
-    reviews.select(*COLUMNS, *KEY_COLUMNS).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    with own_scratch(spark):
+        first = staged(dedup_first(candidates, order))
+        new = assign_ids(only_new(first, earlier), order, earlier.count())
+        reviews = build_reviews(new, profiles, keep=KEY_COLUMNS).select(*COLUMNS, *KEY_COLUMNS)
+        reviews.write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return read_store(spark, path).where(F.col("batch") == batch)

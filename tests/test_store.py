@@ -152,3 +152,11 @@ def test_stored_keys_are_the_review_keys(spark, tmp_path):
     added = ingest.ingest(pages, listings(spark, [1]), str(tmp_path / "s"))
     name, text = review_key(F.col("reviewer_name"), F.col("review_text"))
     assert added.where((F.col("k_name") != name) | (F.col("k_text") != text)).count() == 0
+
+
+def test_appending_leaves_no_scratch_files(spark, tmp_path):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    pages = spark.createDataFrame([page(1, "Ann", "Bob")], PAGE_SCHEMA)
+    ingest.ingest(pages, listings(spark, [1]), str(tmp_path / "s"))
+    assert set(os.listdir(base)) == before
