@@ -1,6 +1,9 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from reviewloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality
+from reviewloom.llm import (
+    chat, decontaminate, licenses, line_dedup, mixing, ngram_join, quality, quality_rules, repeats,
+    secrets,
+)
 from reviewloom.llm.common import table
 
 
@@ -16,22 +19,45 @@ def op3_quality_classifier(spark, folder):
     return quality.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_secret_scan(spark, folder):
+    return secrets.query(table(spark, folder, "documents"))
+
+
+def op5_quality_rules(spark, folder):
+    return quality_rules.query(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op6_line_dedup(spark, folder):
     return line_dedup.query(table(spark, folder, "documents"))
 
 
+def op7_chat_format(spark, folder):
+    return chat.query(table(spark, folder, "conversations"))
+
+
+def op8_repeated_strings(spark, folder):
+    return repeats.query(table(spark, folder, "documents"))
+
+
+def op9_license_scan(spark, folder):
+    return licenses.query(table(spark, folder, "documents"))
+
+
 def op10_decontamination(spark, folder):
     return decontaminate.query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_mix_sources, op2_ngram_jaccard_join, op3_quality_classifier, op6_line_dedup,
-        op10_decontamination)
+        op1_mix_sources, op2_ngram_jaccard_join, op3_quality_classifier, op4_secret_scan,
+        op5_quality_rules, op6_line_dedup, op7_chat_format, op8_repeated_strings,
+        op9_license_scan, op10_decontamination)
 }
 
 ORACLE = {
     "op1_mix_sources": mixing.ORACLE,
+    "op4_secret_scan": secrets.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op7_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
 }
