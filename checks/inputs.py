@@ -142,6 +142,15 @@ def state_html() -> Column:
     return _html(_script('id="__NEXT_DATA__" type="application/json"', data))
 
 
+def cut_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of embedded data; in every third its last bracket is missing."""
+    whole = F.when(F.col("seq") % 2 == 0, json_ld_html()).otherwise(state_html())
+    cut = F.regexp_replace(whole, "[}\\]]</script>", "</script>")
+    return raw_reviews(spark, sf_dir).select(
+        F.col("seq").alias("page_id"), "url",
+        F.when(F.col("seq") % 3 == 0, cut).otherwise(whole).alias("html"))
+
+
 PROFILE_NAMES = ["cesarine", "tripadvisor", "airbnb", "viator", "site", "cesarine_rendered"]
 
 

@@ -390,10 +390,12 @@ ORACLE = {
         f"AS reviewer_country, {date('date_raw')} AS date, review_text FROM notes", NOTES),
     "next_pages":
         f"WITH {RESULT_PAGES} SELECT page_id, from_url, url, CAST(page_num AS BIGINT) AS page_num "
-        "FROM following WHERE url IS NOT NULL",
+        "FROM following WHERE url IS NOT NULL "
+        "QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1",
     "crawl_frontier":
-        f"WITH {RESULT_PAGES} SELECT page_id, listing, url FROM following WHERE url IS NOT NULL "
-        "AND page_num < 5 AND url NOT IN (SELECT url FROM result_pages)",
+        f"WITH {RESULT_PAGES} SELECT page_id, listing, url FROM (SELECT * FROM following "
+        "WHERE url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1) "
+        "WHERE page_num < 5 AND url NOT IN (SELECT url FROM result_pages)",
     "cap_pages":
         f"WITH {RESULT_PAGES} SELECT listing, page_id, place FROM (SELECT *, row_number() OVER ("
         "PARTITION BY listing ORDER BY CASE WHEN shape = 1 THEN step * 10 ELSE 0 END, page_id) "
@@ -413,4 +415,14 @@ ORACLE = {
         "SELECT * REPLACE (nullif(reviewer_location, '') AS reviewer_location, "
         "nullif(date, '') AS date) FROM reviews"),
     "reviews_json": with_reviews("SELECT * FROM reviews"),
+    "store_in_turns": with_raw(
+        f"SELECT k_name, k_text, true AS dense, min(seq % 2) AS turn "
+        f"FROM (SELECT seq, {keys()} FROM raw) GROUP BY k_name, k_text"),
+    "extraction_failures": with_raw(
+        "SELECT seq AS page_id, CASE seq % 2 WHEN 0 THEN 'json_ld' ELSE 'state' END AS strategy, "
+        "'not JSON' AS error FROM raw WHERE seq % 3 = 0"),
+    "listings_csv": with_raw(
+        "SELECT 5::BIGINT AS max_pages, url, host_name, seq % 3 AS source_priority, city, region, "
+        "'Cesarine' AS platform, 'site' AS profile FROM raw"),
 }
+ORACLE["import_saved_reviews"] = ORACLE["merge_new"]

@@ -15,6 +15,7 @@ from reviewloom.operators import (
     dedup, extract, filters, frequency, frontier, language, lookup, notes, phrases, reviews,
 )
 from reviewloom.plans import ingest, report
+from reviewloom.schema import COLUMNS
 from reviewloom.session import scratch_dir, tune
 from reviewloom.sources import readers, store, writers
 from reviewloom.streaming.ingest import read_arrivals, store_stream, stream_dedup
@@ -383,17 +384,18 @@ def ingest_pages(spark, sf_dir):
     added = ingest.ingest(
         inputs.mixed_pages(spark, sf_dir), inputs.listings(spark, sf_dir), f"{target}/reviews",
         notes=inputs.note_files(spark, sf_dir), metrics_path=f"{target}/metrics")
-    return added.drop("batch")
+    return added.drop("writer", "batch")
 
 
 @query
 def ingest_metrics(spark, sf_dir):
     path = scratch_dir(spark)
-    writers.append_metrics(frequency.ingest_counts(inputs.reviews(spark, sf_dir)), path)
-    writers.append_metrics(frequency.ingest_counts(
-        inputs.chat_reviews(spark, sf_dir).select(
-            "platform", F.lit("Como").alias("region"), F.lit("Unknown").alias("host_name"))),
-        path)
+    chat = inputs.chat_reviews(spark, sf_dir).select(
+        "platform", F.lit("Como").alias("region"), F.lit("Unknown").alias("host_name"))
+    for _ in range(2):  # the second time replaces the first
+        writers.write_metrics(
+            frequency.ingest_counts(inputs.reviews(spark, sf_dir)), path, 0)
+        writers.write_metrics(frequency.ingest_counts(chat), path, 1)
     return spark.read.parquet(path).groupBy("platform", "region", "host_name").agg(
         F.sum("n").alias("n"))
 
@@ -432,8 +434,64 @@ def stream_distinct_keys(spark, sf_dir):
     return spark.read.parquet(f"{target}/keys")
 
 
+@query
+def store_in_turns(spark, sf_dir):
+    """Even documents as a batch, the others as a stream of several micro-batches."""
+    target = scratch_dir(spark)
+    docs = inputs.raw_reviews(spark, sf_dir).drop("language").withColumn("page_id", F.col("seq"))
+    store.append_reviews(docs.where("seq % 2 = 0"), f"{target}/reviews", 0, ["page_id"])
+    for rest in (1, 3):
+        docs.where(F.col("seq") % 4 == rest).write.mode("append").parquet(f"{target}/arrivals")
+    arrivals = read_arrivals(spark, f"{target}/arrivals", docs.schema, files_per_batch=8)
+    for _ in range(2):  # the second start finds nothing new
+        store_stream(
+            arrivals, lambda batch: batch, f"{target}/reviews", f"{target}/checkpoint",
+            order=["page_id"]).awaitTermination()
+    rows = store.read_store(spark, f"{target}/reviews")
+    whole = rows.agg((F.max("id") == F.count("*")).alias("dense"))
+    return rows.crossJoin(F.broadcast(whole)).select(
+        "k_name", "k_text", "dense",
+        F.when(F.col("writer") == store.BATCHES, 0).otherwise(1).cast("long").alias("turn"))
+
+
+@query
+def import_saved_reviews(spark, sf_dir):
+    """The documents as a saved file, put into the store; the conversations follow."""
+    target = scratch_dir(spark)
+    first = dedup.dedup_first(dedup.with_keys(inputs.document_reviews(spark, sf_dir)), ORDER[1:])
+    given = [c for c in COLUMNS if c not in first.columns and c != "id"]
+    saved = dedup.assign_ids(first, ORDER[1:]).select(
+        "*", *[F.lit(None).cast("double" if c == "rating" else "string").alias(c) for c in given])
+    writers.write_reviews_json(saved, f"{target}/saved")
+    store.import_reviews(readers.read_reviews_json(spark, f"{target}/saved"), f"{target}/reviews")
+    chat = inputs.chat_reviews(spark, sf_dir).select("*", *[
+        F.lit(None).cast("double" if c == "rating" else "string").alias(c)
+        for c in ("region", "city", "host_name", "reviewer_location", "date_raw", "rating")])
+    store.append_reviews(chat, f"{target}/reviews", 0, ORDER[1:])
+    return store.read_store(spark, f"{target}/reviews").select(
+        "id", "platform", "reviewer_name", "review_text", "url")
+
+
+@query
+def extraction_failures(spark, sf_dir):
+    return extract.extraction_failures(inputs.cut_pages(spark, sf_dir))
+
+
 # Files
 
+@query
+def listings_csv(spark, sf_dir):
+    """Listings with their options, in a file of another column order."""
+    path = scratch_dir(spark)
+    listed = inputs.raw_reviews(spark, sf_dir).select(
+        F.lit(5).alias("max_pages"), "url", "host_name", (F.col("seq") % 3).alias("source_priority"),
+        "city", "region", F.lit("Cesarine").alias("platform"), F.lit("site").alias("profile"))
+    listed.write.csv(path, header=True)
+    return readers.read_listings(spark, path).select(*[
+        F.col(c).cast("long").alias(c) if c in ("max_pages", "source_priority") else c
+        for c in listed.columns])
+
+
 @query
 def reviews_csv(spark, sf_dir):
     path = scratch_dir(spark)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
+# How an address writes the row offset, and rows to a page.
 _OFFSET = r"-or(\d+)-"
 _WRITTEN = r"-or(\d+)(?:-|\.html)"
 _PAGE_SIZE = 10

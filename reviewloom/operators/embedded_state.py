@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import BooleanType
 
 from reviewloom.schema import ENTRIES_TYPE
 
@@ -23,7 +24,7 @@ MAX_DEPTH = 8
 
 _STATE = re.compile(
     r"<!--.*?-->"
-    r"""|<script\b(?=[^>]*\sid\s*=\s*["']?__NEXT_DATA__["'\s>])[^>]*>(.*?)</script\s*>"""
+    r"""|<script\b(?=[^>]*\sid\s*=\s*["']?(?-i:__NEXT_DATA__)["'\s>])[^>]*>(.*?)</script\s*>"""
     r"|<(script|style)\b[^>]*>.*?</\2\s*>",
     re.I | re.S,
 )
@@ -46,7 +47,8 @@ def _pick(record, members):
 
 
 def _text(value):
-    return "" if value is None else str(value)
+    """The value as text; half a surrogate pair, as of a cut-off emoji, becomes "?"."""
+    return "" if value is None else str(value).encode("utf-8", "replace").decode()
 
 
 def _entry(record):
@@ -60,14 +62,35 @@ def _entry(record):
         "name": _text(author),
         "location": "",
         "date_raw": _text(_pick(record, DATE_MEMBERS)),
-        "rating_raw": None if rating is None else str(float(rating) if rating is True else rating),
+        "rating_raw": None if rating is None else _text(float(rating) if rating is True else rating),
         "text": _text(_pick(record, TEXT_MEMBERS)),
         "fatal": False,
     }
 
 
+def _script(html):
+    return next((m[1] for m in _STATE.finditer(html) if m[1] is not None), None)
+
+
+def _unreadable(html):
+    script = _script(html)
+    if script is None:
+        return False
+    try:
+        json.loads(script)
+    except (ValueError, RecursionError):
+        return True
+    return False
+
+
+@F.pandas_udf(BooleanType())
+def unreadable_state(pages: pd.Series) -> pd.Series:
+    """Whether a page has an embedded state that is no JSON."""
+    return pages.map(lambda html: None if html is None else _unreadable(html))
+
+
 def _page_entries(html):
-    script = next((m[1] for m in _STATE.finditer(html) if m[1] is not None), None)
+    script = _script(html)
     if script is None:
         return None
     try:

@@ -17,10 +17,9 @@ from reviewloom.functions.text import (
 from reviewloom.functions.urls import page_number
 from reviewloom.lookups import MIN_WORDS
 from reviewloom.operators.blocks import block_entries
-from reviewloom.operators.embedded_state import embedded_state_entries
-from reviewloom.operators.json_ld import json_ld_entries
+from reviewloom.operators.embedded_state import embedded_state_entries, unreadable_state
+from reviewloom.operators.json_ld import json_ld_entries, unreadable_json_ld
 from reviewloom.operators.profiles import PROFILES, Profile
-from reviewloom.operators.skew import join_small_or_salted
 from reviewloom.session import staged
 
 Profiles = Mapping[str, Profile]
@@ -108,9 +107,11 @@ def extract_reviews(pages: DataFrame, profiles: Profiles = PROFILES) -> DataFram
 
     read = pages.withColumn(
         "_json_ld",
-        F.when(those(lambda p: "json_ld" in p.strategies), accepted(json_ld_entries(html))))
+        F.when(those(lambda p: "json_ld" in p.strategies) & html.rlike("(?i)application/ld"),
+               accepted(json_ld_entries(html))))
     needs_state = (
         those(lambda p: "state" in p.strategies) & ~later_page
+        & F.contains(html, F.lit("__NEXT_DATA__"))
         & ~(json_ld_first & found(F.col("_json_ld"))))
     read = read.withColumn("_state_raw", embedded_state_entries(F.when(needs_state, html)))
     read = read.withColumn("_state", accepted(F.array("_state_raw")))
@@ -166,17 +167,17 @@ def extract_blocks(pages: DataFrame, profiles: Profiles = PROFILES) -> DataFrame
 
 
 def first_strategy(
-    candidates: DataFrame, group: str, rank: str, spread: str = "review_text"
+    candidates: DataFrame, group: str, rank: str
 ) -> DataFrame:
     """Of several attempts per group, the rows of the first with any result.
 
     For attempts held in separate rows, such as two captures of one address.
-    The lowest rank per group is a map-side minimum; it is joined back with
-    every group spread out, so a hot group stays in many tasks.
+    The lowest rank per group is a map-side minimum; of the join back, adaptive
+    execution splits a hot group over many tasks.
     """
     candidates = staged(candidates)
     best = candidates.groupBy(group).agg(F.min(rank).alias(rank))
-    return join_small_or_salted(candidates, best, [group, rank], [spread], "left_semi")
+    return candidates.join(best, [group, rank], "left_semi")
 
 
 @F.pandas_udf(T.StringType())
@@ -189,6 +190,17 @@ def page_snippet(html: Column) -> Column:
     return snippet(_plain(visible_text(html)))
 
 
+def extraction_failures(pages: DataFrame) -> DataFrame:
+    """(page_id, strategy, error): pages with embedded data that can't be read."""
+    html = F.col("html")
+    has_state = F.contains(html, F.lit("__NEXT_DATA__"))
+    failed = F.array_compact(F.array(
+        F.when(html.rlike("(?i)application/ld") & unreadable_json_ld(html), F.lit("json_ld")),
+        F.when(unreadable_state(F.when(has_state, html)), F.lit("state"))))
+    return pages.select("page_id", F.explode(failed).alias("strategy")).withColumn(
+        "error", F.lit("not JSON"))
+
+
 def pages_without_reviews(extracted: DataFrame) -> DataFrame:
     """Pages no strategy found anything on, with a short excerpt of their text."""
     return extracted.where(F.col("strategy").isNull()).select(

@@ -8,13 +8,12 @@ from reviewloom.functions.dates import strict_date
 from reviewloom.functions.text import word_count
 from reviewloom.lookups import LONG_REVIEW_WORDS, TOP_LABELS
 from reviewloom.operators.filters import dated, rated
-from reviewloom.operators.skew import running_sum, within
+from reviewloom.operators.skew import running_sum
 from reviewloom.session import staged
 
 DIMENSIONS = [
     "region", "city", "host_name", "reviewer_country", "language", "occasion", "platform",
 ]
-MEDIAN_VALUES = 100_000
 
 
 def totals(df: DataFrame, long_words: int = LONG_REVIEW_WORDS) -> DataFrame:
@@ -73,7 +72,7 @@ def top_per_dimension(counts: DataFrame, k: int = TOP_LABELS) -> DataFrame:
     return counts.withColumn("place", place).where(F.col("place") <= k)
 
 
-def rating_stats(df: DataFrame, max_values: int = MEDIAN_VALUES) -> DataFrame:
+def rating_stats(df: DataFrame) -> DataFrame:
     """Count, mean, exact median, and share of five and four star ratings.
 
     One row, or none if nothing is rated. Ratings are counted per value first;
@@ -83,10 +82,7 @@ def rating_stats(df: DataFrame, max_values: int = MEDIAN_VALUES) -> DataFrame:
     count = F.sum("n")
     five = F.sum(F.when(F.col("rating") == 5.0, F.col("n")).otherwise(0))
     four = F.sum(F.when(F.col("rating") == 4.0, F.col("n")).otherwise(0))
-    if within(values, max_values):
-        median = F.expr("percentile(rating, 0.5D, n)")
-    else:
-        median = F.lit(median_by_running_sum(values))
+    median = F.lit(median_by_running_sum(values)).cast("double")
     return values.agg(
         count.alias("rating_count"),
         F.round(F.sum(F.col("rating") * F.col("n")) / count, 2).alias("rating_mean"),

@@ -84,11 +84,18 @@ def _reviews_of(item: Column) -> Column:
     )
 
 
+def _scripts(html: Column) -> Column:
+    return F.filter(F.regexp_extract_all(html, F.lit(_SCRIPTS), 1), lambda s: F.trim(s) != "")
+
+
+def unreadable_json_ld(html: Column) -> Column:
+    """Whether a page has a JSON-LD script that is no JSON."""
+    return F.exists(_scripts(html), lambda s: F.try_parse_json(s).isNull())
+
+
 def json_ld_entries(html: Column) -> Column:
     """Raw reviews per JSON-LD script of a page: an array of entry arrays."""
-    scripts = F.filter(
-        F.regexp_extract_all(html, F.lit(_SCRIPTS), 1), lambda s: F.trim(s) != "")
-    parsed = F.filter(F.transform(scripts, F.try_parse_json), lambda v: v.isNotNull())
+    parsed = F.filter(F.transform(_scripts(html), F.try_parse_json), lambda v: v.isNotNull())
     reviews = F.transform(
         parsed, lambda v: F.flatten(F.transform(_list(v), _reviews_of)))
     return F.transform(

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 from reviewloom.functions.enrichment import trigrams
 
 PROFILE_SIZE = 300
-MAX_LANGUAGES = 500
 
 
 def train_language_profiles(
@@ -30,18 +29,12 @@ def train_language_profiles(
         F.col("place") <= size)
 
 
-def collect_profiles(
-    profiles: DataFrame, max_languages: int = MAX_LANGUAGES, size: int = PROFILE_SIZE
-) -> dict[str, list[str]]:
+def collect_profiles(profiles: DataFrame) -> dict[str, list[str]]:
     """Trained profiles as constants for the detection expression.
 
-    A model of ``size`` trigrams per language; a table with more languages
-    than ``max_languages`` is a mistake in the label column and is refused.
+    A few hundred trigrams per language, whatever the number of texts.
     """
-    limit = max_languages * size
-    rows = profiles.select("lang", "gram").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"profiles exceed {max_languages} languages of {size} trigrams")
+    rows = profiles.select("lang", "gram").collect()
     model: dict[str, list[str]] = {}
     for row in rows:
         model.setdefault(row["lang"], []).append(row["gram"])

@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewloom.functions.enrichment import windows
 from reviewloom.functions.text import strip
-from reviewloom.operators.skew import BROADCAST_ROWS, join_small_or_salted
 
 
 def first_contained(
     df: DataFrame, key: str, text: str, dictionary: DataFrame,
-    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Label of the first dictionary entry contained in each text: key, label.
 
@@ -31,25 +29,18 @@ def first_contained(
     pieces = F.array_distinct(F.concat(*[windows(low, n) for n in lengths]))
     probes = df.select(F.col(key), F.explode_outer(pieces).alias("needle")).where(
         F.col("needle").isNotNull())
-    hits = join_small_or_salted(
-        probes, entries, ["needle"], [key], broadcast_rows=broadcast_rows)
+    hits = probes.join(entries, "needle")
     return hits.groupBy(key).agg(F.min("entry").alias("entry")).select(
         key, F.col("entry.label").alias("label"))
 
 
-def attach_listing(
-    pages: DataFrame, listings: DataFrame, on: str = "url",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
+def attach_listing(pages: DataFrame, listings: DataFrame, on: str = "url") -> DataFrame:
     """Host, city, region and platform of the page's listing (one per address)."""
-    return join_small_or_salted(
-        pages, listings, [on], ["page_id"], broadcast_rows=broadcast_rows)
+    return pages.join(listings, on)
 
 
 def missing_from(
-    df: DataFrame, known: DataFrame, on: Sequence[str], spread: Sequence[str],
-    broadcast_rows: int = BROADCAST_ROWS,
+    df: DataFrame, known: DataFrame, on: Sequence[str],
 ) -> DataFrame:
     """Rows of ``df`` without a partner in ``known``."""
-    return join_small_or_salted(
-        df, known.select(*on).distinct(), on, spread, "left_anti", broadcast_rows)
+    return df.join(known.select(*on), list(on), "left_anti")

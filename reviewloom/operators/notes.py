@@ -5,12 +5,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewloom.functions.text import SPACE, bind, clean_text, has_words, strip
 from reviewloom.lookups import MIN_WORDS_FREE_TEXT
 
+# What comes after the repeated lines matches nothing as well, so they never
+# have to be given back: the possessive signs change no match, and spare the
+# engine a call on its stack for every line.
 # Fixed value: **Name** from Place - date, an optional line of stars, a text of
 # twenty or more characters in optional quotes.
 _NOTE = (
     rf"(?mU)\*\*([^*]+)\*\*[{SPACE}]*(?:from[{SPACE}]+([^\n—–-]+?))?[{SPACE}—–-]+([^\n]+)?\n"
     r"(?:[★\*]{1,5}[^\n]*\n)?"
-    rf"[\"“”]?[{SPACE}]*([^\"“”\n]{{20,}}(?:\n(?!\*\*)[^\n]{{0,200}})*)"
+    rf"[\"“”]?[{SPACE}]*([^\"“”\n]{{20,}}(?:\n(?!\*\*)[^\n]{{0,200}}+)*+)"
     r"[\"“”]?"
 )
 

@@ -1,4 +1,4 @@
-"""Joins and running sums that stay balanced when one key is hot."""
+"""Numbers and running sums without a single task, and a check of a table's size."""
 
 from collections.abc import Sequence
 
@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.session import staged
 
-BROADCAST_ROWS = 100_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 
 
 def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
@@ -21,26 +19,6 @@ def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
     return found[0] <= rows and found[1] <= size
 
 
-def join_small_or_salted(
-    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str],
-    how: str = "inner", broadcast_rows: int = BROADCAST_ROWS, salts: int = SALTS,
-) -> DataFrame:
-    """Join a large side to a smaller one that holds each key once.
-
-    The right side is broadcast only if it is counted to be small. Beyond that
-    both sides are shuffled, and every key is cut into ``salts`` parts by the
-    ``spread`` columns of the left, so that no key ends up in a single task.
-    """
-    on = list(on)
-    if within(right, broadcast_rows):
-        return left.join(F.broadcast(right), on, how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    copies = right.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted.join(copies, on + ["_salt"], how).drop("_salt")
-
-
 def numbered(df: DataFrame, order: Sequence[str], out: str = "row_no") -> DataFrame:
     """Dense 1-based numbers in the given order, without a single-task sort.
 

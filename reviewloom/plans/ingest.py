@@ -7,12 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from reviewloom.functions.urls import first_page_url, page_number
 from reviewloom.operators.extract import candidate_rows, extract_reviews
 from reviewloom.operators.filters import drop_block_pages
-from reviewloom.operators.frequency import ingest_counts
-from reviewloom.operators.lookup import attach_listing
+from reviewloom.operators.frequency import ingest_counts, running_total
 from reviewloom.operators.notes import parse_notes
 from reviewloom.operators.profiles import PROFILES, Profile
-from reviewloom.sources.store import append_reviews, next_batch, read_store
-from reviewloom.sources.writers import append_metrics
+from reviewloom.sources.store import BATCHES, append_reviews, next_batch, read_store
+from reviewloom.sources.writers import write_metrics
 
 # Arrival order: which source, which page of it, which place on the page.
 ORDER = ["source_priority", "page_id", "pos"]
@@ -35,23 +34,37 @@ def page_candidates(
 ) -> DataFrame:
     """Candidate reviews of all readable pages that belong to a listing.
 
-    A page belongs to the listing whose address its own has without the row
-    offset. Listings may name a ``profile``, their ``source_priority`` in the
+    A page belongs to the listing of its address, or else to the one whose
+    address is the same without the row offset in either. Listings may name a ``profile``, their ``source_priority`` in the
     order of arrival, and the number of ``max_pages`` that count.
     """
     if "profile" not in listings.columns:
         listings = listings.withColumn("profile", profile_of("platform", profiles))
     if "source_priority" not in listings.columns:
         listings = listings.withColumn("source_priority", F.lit(0))
-    addressed = drop_block_pages(pages).withColumn("listing_url", first_page_url(F.col("url")))
-    listed = attach_listing(
-        addressed, listings.withColumnRenamed("url", "listing_url"), "listing_url")
+    listed = _with_listing(drop_block_pages(pages), listings)
     if "max_pages" in listings.columns:
         listed = listed.where(page_number(F.col("url")) < F.col("max_pages"))
     rows = candidate_rows(extract_reviews(listed, profiles))
     return rows.select("source_priority", "page_id", "pos", *_FIELDS)
 
 
+def _with_listing(pages: DataFrame, listings: DataFrame) -> DataFrame:
+    """Pages with the columns of their listing."""
+    rest = [c for c in listings.columns if c != "url"]
+    exact = listings.select(F.col("url"), F.struct(*rest).alias("_own"))
+    # Listings that differ in the offset alone: the first address has the others' pages.
+    shared = listings.groupBy(first_page_url(F.col("url")).alias("_first")).agg(
+        F.min_by(F.struct(*rest), "url").alias("_shared"))
+    found = (
+        pages.join(exact, "url", "left")
+        .withColumn("_first", F.when(F.col("_own").isNull(), first_page_url(F.col("url"))))
+        .join(shared, "_first", "left")
+        .withColumn("_listing", F.coalesce("_own", "_shared"))
+    )
+    return found.where(F.col("_listing").isNotNull()).select(*pages.columns, "_listing.*")
+
+
 def note_candidates(files: DataFrame) -> DataFrame:
     """Candidate reviews of note files, which come ahead of all pages.
 
@@ -77,5 +90,15 @@ def ingest(
         batch = next_batch(read_store(pages.sparkSession, store_path))
     added = append_reviews(candidates, store_path, batch, ORDER, language_profiles)
     if metrics_path:
-        append_metrics(ingest_counts(added), metrics_path)
+        log_added(added, store_path, metrics_path, batch)
     return added
+
+
+def log_added(
+    added: DataFrame, store_path: str, metrics_path: str, batch: int, writer: str = BATCHES,
+) -> None:
+    """Reviews added per source, and the size of the table after each source."""
+    before = read_store(added.sparkSession, store_path).count() - added.count()
+    counts = running_total(ingest_counts(added), ["platform", "region", "host_name"])
+    write_metrics(
+        counts.withColumn("total", F.col("total") + F.lit(before)), metrics_path, batch, writer)

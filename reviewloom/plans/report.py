@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewloom.functions.text import word_count
 from reviewloom.lookups import LONG_REVIEW_WORDS, TOP_LABELS
 from reviewloom.operators.frequency import dimension_counts, top_per_dimension
-from reviewloom.operators.skew import within
 from reviewloom.session import staged
 from reviewloom.sources.writers import write_counts, write_report
 
@@ -15,7 +14,6 @@ WHOLE = {
     "by_language": "language", "by_occasion": "occasion",
 }
 TOPS = {"top_hosts": "host_name", "top_cities": "city"}
-MAX_LABELS = 100_000
 
 
 def report_scalars(reviews: DataFrame) -> DataFrame:
@@ -55,15 +53,14 @@ def _label_map(field: str) -> Column:
         F.transform(entries, lambda e: F.struct(e["label"], e["n"]))).alias(field)
 
 
-def summary_report(reviews: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+def summary_report(reviews: DataFrame) -> DataFrame:
     """The whole report as one row with a map per frequency table.
 
-    One row must fit a task, so tables with more than ``max_labels`` labels
-    are refused here; :func:`report_counts` holds them at any size.
+    The labels of these tables come from dictionaries and from the caller's
+    listings. For columns with any number of labels there is
+    :func:`report_counts`, which has the same tables in long form.
     """
     counts = report_counts(reviews)
-    if not within(counts, max_labels):
-        raise ValueError("too many labels for one row: use report_counts")
     scalars = report_scalars(reviews)
     figures, types = scalars.first(), scalars.schema
     maps = counts.agg(*[_label_map(field) for field in {**WHOLE, **TOPS}])

@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# The columns of the saved files, in their order.
 COLUMNS = [
     "id", "platform", "region", "city", "host_name",
     "reviewer_name", "reviewer_location", "reviewer_country",
@@ -21,7 +22,7 @@ KEY_COLUMNS = ["k_name", "k_text"]
 STORE_SCHEMA = T.StructType(
     REVIEW_SCHEMA.fields
     + [T.StructField(c, T.StringType()) for c in KEY_COLUMNS]
-    + [T.StructField("batch", T.LongType())]
+    + [T.StructField("writer", T.StringType()), T.StructField("batch", T.LongType())]
 )
 
 PAGE_SCHEMA = T.StructType([
@@ -35,6 +36,14 @@ LISTING_SCHEMA = T.StructType(
      for c in ("host_name", "city", "region", "platform", "url")]
 )
 
+# Columns that a listing may have besides: how its pages are read, its place in
+# the order of arrival, and how many of its pages count.
+LISTING_OPTIONS = T.StructType([
+    T.StructField("profile", T.StringType()),
+    T.StructField("source_priority", T.IntegerType()),
+    T.StructField("max_pages", T.IntegerType()),
+])
+
 # One raw review inside a page, before cleaning. ``fatal`` marks a value that
 # ends its list, ``rating_raw`` is parsed after the text filter has run.
 ENTRY_TYPE = T.StructType([

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Of members of one name in a JSON object the last counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # An HTML page is large: bound an Arrow batch by rows as well as by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }

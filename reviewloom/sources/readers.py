@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from reviewloom.schema import LISTING_SCHEMA, PAGE_SCHEMA, REVIEW_SCHEMA
+from reviewloom.schema import LISTING_OPTIONS, LISTING_SCHEMA, PAGE_SCHEMA, REVIEW_SCHEMA
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -40,28 +40,60 @@ def read_html_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
 
 
 def read_notes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Whole text files of review notes. Name them by pattern: what no pattern
-    matches is skipped."""
-    return spark.read.text(paths, wholetext=True).select(
+    """Whole text files of review notes; names and patterns without a file are skipped.
+
+    A file is read by one task.
+    """
+    there = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
+    if not there:
+        return spark.createDataFrame([], "path string, value string")
+    return spark.read.text(there, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return bool(files.globStatus(where))
+
+
 def read_listings(spark: SparkSession, path: str) -> DataFrame:
-    """The caller's seed table: host_name, city, region, platform, url."""
-    return _csv(spark, path, LISTING_SCHEMA)
+    """The caller's seed table: host_name, city, region, platform, url.
+
+    It may have profile, source_priority and max_pages besides; other columns
+    are carried along as text.
+    """
+    return _csv(spark, path, LISTING_SCHEMA, LISTING_OPTIONS)
 
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Reviews as one CSV row each; texts may hold quotes and line breaks."""
-    return _csv(spark, path, REVIEW_SCHEMA)
+    """Reviews as one CSV row each; texts may hold quotes and line breaks.
+
+    A file whose texts have line breaks is read by one task; write large tables
+    as many files, as :func:`~reviewloom.sources.writers.write_reviews_csv` does.
+    """
+    return _csv(spark, path, REVIEW_SCHEMA).select(*REVIEW_SCHEMA.names)
 
 
-def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True).option("multiLine", True).option("escape", '"')
-        .csv(path)
+def _csv(
+    spark: SparkSession, path: str, schema: StructType, options: StructType = StructType([])
+) -> DataFrame:
+    """Columns by the names in the header, in the declared types.
+
+    Files with headers that differ from each other are refused, and so is one
+    without a declared column.
+    """
+    found = (
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+        .option("enforceSchema", False).csv(path)
     )
+    missing = set(schema.names) - set(found.columns)
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
+    types = {f.name: f.dataType for f in [*schema.fields, *options.fields]}
+    return found.select(*[
+        F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
+        for c in found.columns])
 
 
 def read_reviews_json(spark: SparkSession, path: str) -> DataFrame:

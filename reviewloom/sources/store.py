@@ -1,20 +1,34 @@
-"""The stored review table: append-only Parquet, one folder per batch.
+"""The stored review table: append-only Parquet, one folder per writer and batch.
 
-A batch folder is replaced as a whole, so a batch that is run again after a
-failure leaves one copy of its rows.
+A folder is replaced as a whole, so a batch that is run again after a failure
+leaves one copy of its rows. Every writer numbers its own batches; the rows of
+all other folders count as stored. Writers take turns: a lock file names the
+one at work.
 """
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from hashlib import sha256
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewloom.operators.dedup import assign_ids, dedup_first, only_new
+from reviewloom.operators.dedup import assign_ids, dedup_first, only_new, with_keys
 from reviewloom.operators.reviews import build_reviews
 from reviewloom.schema import COLUMNS, KEY_COLUMNS, STORE_SCHEMA
 from reviewloom.session import own_scratch, staged
 
+#: Writers other than streams, which are named after their checkpoints.
+BATCHES, IMPORTS = "batches", "imports"
+
+
+def stream_writer(checkpoint: str) -> str:
+    """The writer's name of a stream: the same for each start from a checkpoint."""
+    return "stream-" + sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored reviews, with their keys and batch; empty where none exist."""
+    """The stored reviews, with their keys, writer and batch; empty where none exist."""
     try:
         return spark.read.schema(STORE_SCHEMA).parquet(path)
     except AnalysisException as missing:
@@ -23,26 +37,77 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], STORE_SCHEMA)
 
 
-def next_batch(store: DataFrame) -> int:
-    last = store.agg(F.max("batch")).first()[0]
+def next_batch(store: DataFrame, writer: str = BATCHES) -> int:
+    last = store.where(F.col("writer") == writer).agg(F.max("batch")).first()[0]
     return 0 if last is None else last + 1
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+@contextmanager
+def locked(spark: SparkSession, path: str, writer: str) -> Iterator[None]:
+    """Hold the store for one writer; another one that holds it is an error.
+
+    A writer that was ended at work finds its own lock and goes on.
+    """
+    files, lock = _files(spark, f"{path}/_lock/{writer}")
+    folder = lock.getParent()
+    if files.exists(folder):
+        others = [f.getPath().getName() for f in files.listStatus(folder)]
+        if set(others) - {writer}:
+            raise RuntimeError(f"another writer holds the store: remove {folder} if it is gone")
+    files.create(lock, True).close()
+    if len(files.listStatus(folder)) > 1:
+        files.delete(lock, False)
+        raise RuntimeError(f"another writer has just taken the store: {folder}")
+    try:
+        yield
+    finally:
+        files.delete(folder, True)
+
+
+def is_written(spark: SparkSession, path: str, writer: str, batch: int) -> bool:
+    """Whether the folder of a batch is there as a whole."""
+    files, mark = _files(spark, f"{path}/writer={writer}/batch={batch}/_SUCCESS")
+    return files.exists(mark)
+
+
 def append_reviews(
     candidates: DataFrame, path: str, batch: int, order: list[str],
-    profiles: dict[str, list[str]] | None = None,
+    profiles: dict[str, list[str]] | None = None, writer: str = BATCHES,
 ) -> DataFrame:
     """Add the candidates nobody has stored yet, and return what was added.
 
     Duplicates go first and ids next, so that language, country and occasion
-    are worked out once and for new reviews only. Rows of the same batch number
-    are replaced.
+    are worked out once and for new reviews only. Rows of the same batch of the
+    same writer are replaced. Ids go on from the highest one in other folders.
     """
     spark = candidates.sparkSession
-    earlier = read_store(spark, path).where(F.col("batch") < batch)
-    with own_scratch(spark):
+    own = (F.col("writer") == writer) & (F.col("batch") == batch)
+    with locked(spark, path, writer), own_scratch(spark):
+        stored = read_store(spark, path).where(~own)
         first = staged(dedup_first(candidates, order))
-        new = assign_ids(only_new(first, earlier), order, earlier.count())
+        last = stored.agg(F.max("id")).first()[0] or 0
+        new = assign_ids(only_new(first, stored), order, last)
         reviews = build_reviews(new, profiles, keep=KEY_COLUMNS).select(*COLUMNS, *KEY_COLUMNS)
-        reviews.write.mode("overwrite").parquet(f"{path}/batch={batch}")
-    return read_store(spark, path).where(F.col("batch") == batch)
+        reviews.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch}")
+    return read_store(spark, path).where(own)
+
+
+def import_reviews(reviews: DataFrame, path: str) -> DataFrame:
+    """Put saved reviews (the fixed columns) into an empty store as they are.
+
+    Ids and labels are kept and the keys derived, so that later batches go on
+    from there. Reviews that are stored already are an error: their ids might
+    meet those of the file.
+    """
+    spark = reviews.sparkSession
+    with locked(spark, path, IMPORTS):
+        if not read_store(spark, path).isEmpty():
+            raise ValueError("saved reviews can only be put into an empty store")
+        with_keys(reviews.select(*COLUMNS)).write.mode("overwrite").parquet(
+            f"{path}/writer={IMPORTS}/batch=0")
+    return read_store(spark, path)

@@ -29,6 +29,11 @@ def write_counts(counts: DataFrame, path: str) -> None:
     counts.write.mode("overwrite").json(path)
 
 
-def append_metrics(counts: DataFrame, path: str) -> None:
-    """Append the counts of one ingest run, stamped with the time."""
-    counts.withColumn("logged_at", F.current_timestamp()).write.mode("append").parquet(path)
+def write_metrics(counts: DataFrame, path: str, batch: int, writer: str = "batches") -> None:
+    """The counts of one ingest run, stamped with the time.
+
+    A folder per writer and batch, as in the store: a batch that is run again
+    replaces its counts.
+    """
+    counts.withColumn("logged_at", F.current_timestamp()).write.mode("overwrite").parquet(
+        f"{path}/writer={writer}/batch={batch}")

@@ -2,14 +2,14 @@
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from reviewloom.operators.dedup import with_keys
-from reviewloom.plans.ingest import ORDER, page_candidates
+from reviewloom.plans.ingest import ORDER, log_added, page_candidates
 from reviewloom.schema import KEY_COLUMNS, PAGE_SCHEMA
-from reviewloom.sources.store import append_reviews
+from reviewloom.sources.store import append_reviews, is_written, read_store, stream_writer
 
 
 def read_arrivals(
@@ -26,17 +26,28 @@ def store_stream(
     arrivals: DataFrame, candidates_of: Callable[[DataFrame], DataFrame],
     store_path: str, checkpoint: str, order: Sequence[str] = tuple(ORDER),
     language_profiles: Mapping[str, Sequence[str]] | None = None,
+    metrics_path: str | None = None,
 ) -> StreamingQuery:
     """Store the new reviews of every micro-batch and stop when all is read.
 
     Within a batch the first review of a key wins, across batches the earlier
     batch. What was seen before is looked up in the stored table, so the query
-    holds no state that grows. The batch number names the folder that is
-    written: after a failure the same batch replaces what it had written.
+    holds no state that grows. The checkpoint and the batch number name the
+    folder that is written, so no other writer's rows are replaced. A batch that
+    comes again after a failure is stored if it wasn't as a whole.
     """
+    writer = stream_writer(checkpoint)
+
     def store(batch: DataFrame, number: int) -> None:
-        append_reviews(
-            candidates_of(batch), store_path, number, list(order), language_profiles)
+        spark = batch.sparkSession
+        if is_written(spark, store_path, writer, number):
+            own = (F.col("writer") == writer) & (F.col("batch") == number)
+            added = read_store(spark, store_path).where(own)
+        else:
+            added = append_reviews(
+                candidates_of(batch), store_path, number, list(order), language_profiles, writer)
+        if metrics_path:
+            log_added(added, store_path, metrics_path, number, writer)
 
     return (
         arrivals.writeStream.foreachBatch(store)
@@ -49,12 +60,13 @@ def ingest_stream(
     spark: SparkSession, pages_path: str, listings: DataFrame, store_path: str,
     checkpoint: str, files_per_batch: int = 100,
     language_profiles: Mapping[str, Sequence[str]] | None = None,
+    metrics_path: str | None = None,
 ) -> StreamingQuery:
     """Captured pages, as they arrive, into the store."""
     return store_stream(
         read_arrivals(spark, pages_path, files_per_batch=files_per_batch),
         lambda pages: page_candidates(pages, listings),
-        store_path, checkpoint, language_profiles=language_profiles)
+        store_path, checkpoint, language_profiles=language_profiles, metrics_path=metrics_path)
 
 
 def stream_dedup(reviews: DataFrame, arrived: str, delay: str) -> DataFrame:

@@ -182,3 +182,53 @@ def test_frontier_leaves_out_captured_pages_and_late_pages(spark):
     got = sorted(r["url"] for r in frontier.crawl_frontier(table, 10).collect())
     assert got == ["http://t/a-or30-R.html", "http://t/b-or20-R.html"]
     assert frontier.crawl_frontier(table, 3).count() == 1
+
+
+def test_a_long_note_is_read(spark):
+    import re
+
+    lines = "\n".join(f"line {i} of a long note" for i in range(100_000))
+    short = "**Bob** from Paris - 2023\n\"" + LONG + "\nmore\n" + "x" * 250 + "\n**Cy** from Rome - 2022\n" + LONG
+    files = spark.createDataFrame(
+        [("long.md", f"**Ann** from Rome — 2024\n{LONG}\n{lines}"), ("short.md", short)],
+        "path string, value string")
+    found = {(r["url"], r["reviewer_name"]): r["review_text"] for r in notes.parse_notes(files).collect()}
+    assert set(found) == {("long.md", "Ann"), ("short.md", "Bob"), ("short.md", "Cy")}
+    assert found["long.md", "Ann"].endswith("line 99999 of a long note")
+    # The signs that keep Java's stack flat change no match.
+    loose = notes._NOTE.replace("(?mU)", "(?m)").replace("++", "+").replace("}+)*+", "})*")
+    assert [m[1] for m in re.finditer(loose, short)] == ["Bob", "Cy"]
+    whole = [" ".join(m[4].split()) for m in re.finditer(loose, short)]
+    assert [found["short.md", n] for n in ("Bob", "Cy")] == whole
+
+
+def test_half_a_surrogate_pair_does_not_end_the_job(spark):
+    data = '{"props":{"items":[{"text":"cut \\ud83d ' + LONG + '","user":{"name":"A\\ud83d"}}]}}'
+    html = f'<script id="__NEXT_DATA__" type="application/json">{data}</script>'
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    row = extract.extract_embedded_state(pages).first()
+    assert row["reviewer_name"] == "A?" and row["review_text"].startswith("cut ? ")
+
+
+def test_script_ids_are_exact(spark):
+    data = '{"props":{"items":[{"text":"' + LONG + '"}]}}'
+    pages = spark.createDataFrame(
+        [(1, "u", f'<SCRIPT ID="__next_data__">{data}</SCRIPT>'),
+         (2, "u", f'<SCRIPT ID="__NEXT_DATA__">{data}</SCRIPT>')],
+        "page_id long, url string, html string")
+    assert [r["page_id"] for r in extract.extract_embedded_state(pages).collect()] == [2]
+
+
+def test_the_last_of_repeated_members_counts(spark):
+    data = '{"@type":"Review","author":"x","author":"y","reviewBody":"' + LONG + '"}'
+    html = f'<script type="application/ld+json">{data}</script>'
+    pages = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    assert extract.extract_json_ld(pages).first()["reviewer_name"] == "y"
+
+
+def test_unreadable_data_is_told(spark):
+    bad = '<script type="application/ld+json">{"a":</script><script id="__NEXT_DATA__">{</script>'
+    pages = spark.createDataFrame(
+        [(1, "u", bad), (2, "u", "<p>x</p>"), (3, "u", None)], "page_id long, url string, html string")
+    found = extract.extraction_failures(pages).collect()
+    assert sorted((r["page_id"], r["strategy"]) for r in found) == [(1, "json_ld"), (1, "state")]

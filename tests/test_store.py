@@ -160,3 +160,115 @@ def test_appending_leaves_no_scratch_files(spark, tmp_path):
     pages = spark.createDataFrame([page(1, "Ann", "Bob")], PAGE_SCHEMA)
     ingest.ingest(pages, listings(spark, [1]), str(tmp_path / "s"))
     assert set(os.listdir(base)) == before
+
+
+def names(spark, target):
+    rows = store.read_store(spark, target).orderBy("id").collect()
+    return [(r["id"], r["reviewer_name"]) for r in rows]
+
+
+def test_streams_and_batches_share_a_store(spark, tmp_path):
+    target = str(tmp_path / "store")
+
+    def batch(*pages):
+        ingest.ingest(spark.createDataFrame(list(pages), PAGE_SCHEMA), listings(spark, range(9)), target)
+
+    def arriving(name):
+        ingest_stream(
+            spark, str(tmp_path / "arrivals"), listings(spark, range(9)), target,
+            str(tmp_path / name), files_per_batch=1).awaitTermination()
+
+    batch(page(1, "Ann", "Bob"))
+    write_slice(spark, tmp_path, "1", page(2, "bob", "Cy"))
+    arriving("one")
+    batch(page(3, "Dan", "Cy"))
+    write_slice(spark, tmp_path, "2", page(4, "Eve", "Dan"))
+    arriving("one")
+    arriving("two")  # sees both files again and adds nothing
+    write_slice(spark, tmp_path, "3", page(5, "Fay"))
+    arriving("two")
+    arriving("one")
+    assert names(spark, target) == [
+        (1, "Ann"), (2, "Bob"), (3, "Cy"), (4, "Dan"), (5, "Eve"), (6, "Fay")]
+
+
+def test_a_replayed_stream_batch_is_stored_once(spark, tmp_path):
+    target, metrics = str(tmp_path / "store"), str(tmp_path / "metrics")
+    write_slice(spark, tmp_path, "1", page(1, "Ann", "Bob"))
+
+    def run():
+        ingest_stream(
+            spark, str(tmp_path / "arrivals"), listings(spark, range(9)), target,
+            str(tmp_path / "c"), metrics_path=metrics).awaitTermination()
+
+    run()
+    # As if the stream had been ended ahead of its commit.
+    for part in ("0", ".0.crc"):
+        (tmp_path / "c" / "commits" / part).unlink()
+    run()
+    assert names(spark, target) == [(1, "Ann"), (2, "Bob")]
+    assert [(r["n"], r["total"]) for r in spark.read.parquet(metrics).collect()] == [(2, 2)]
+
+
+def test_a_second_writer_is_refused(spark, tmp_path):
+    target = str(tmp_path / "store")
+    with store.locked(spark, target, "one"):
+        try:
+            with store.locked(spark, target, "two"):
+                raise AssertionError("two writers at once")
+        except RuntimeError as refused:
+            assert "another writer" in str(refused)
+        with store.locked(spark, target, "one"):
+            pass
+    with store.locked(spark, target, "two"):
+        pass
+
+
+def test_saved_reviews_keep_their_ids(spark, tmp_path):
+    target = str(tmp_path / "store")
+    row = {"id": 7, "reviewer_name": "Ann", "review_text": f"Ann {LONG}", "language": "IT"}
+    saved = spark.createDataFrame([tuple(row.get(c) for c in COLUMNS)], REVIEW_SCHEMA)
+    writers.write_reviews_csv(saved, str(tmp_path / "csv"))
+    store.import_reviews(readers.read_reviews_csv(spark, str(tmp_path / "csv")), target)
+    pages = spark.createDataFrame([page(1, "ann", "Bob")], PAGE_SCHEMA)
+    ingest.ingest(pages, listings(spark, [1]), target)
+    rows = store.read_store(spark, target).orderBy("id").collect()
+    assert [(r["id"], r["reviewer_name"], r["language"]) for r in rows] == [(7, "Ann", "IT"), (8, "Bob", "EN")]
+
+
+def test_metrics_of_a_batch_run_again_count_once(spark, tmp_path):
+    target, metrics = str(tmp_path / "store"), str(tmp_path / "metrics")
+    pages = spark.createDataFrame([page(1, "Ann", "Bob")], PAGE_SCHEMA)
+    for _ in range(2):
+        ingest.ingest(pages, listings(spark, [1]), target, metrics_path=metrics, batch=0)
+    assert [(r["n"], r["total"]) for r in spark.read.parquet(metrics).collect()] == [(2, 2)]
+
+
+def test_files_are_read_by_column_name(spark, tmp_path):
+    (tmp_path / "l.csv").write_text(
+        "url,platform,region,city,host_name,max_pages,note\nu,Viator,r,c,h,3,x\n")
+    row = readers.read_listings(spark, str(tmp_path / "l.csv")).first()
+    assert (row["host_name"], row["url"], row["max_pages"], row["note"]) == ("h", "u", 3, "x")
+    (tmp_path / "bad.csv").write_text("url,platform\nu,Viator\n")
+    try:
+        readers.read_listings(spark, str(tmp_path / "bad.csv"))
+    except ValueError as refused:
+        assert "host_name" in str(refused)
+    else:
+        raise AssertionError("a column is missing")
+
+
+def test_absent_notes_are_skipped(spark, tmp_path):
+    (tmp_path / "a.md").write_text("x", encoding="utf-8")
+    found = readers.read_notes(spark, [f"{tmp_path}/a.md", f"{tmp_path}/b.md", f"{tmp_path}/*.txt"])
+    assert [r["value"] for r in found.collect()] == ["x"]
+    assert readers.read_notes(spark, f"{tmp_path}/none.md").count() == 0
+
+
+def test_a_listing_whose_own_address_has_an_offset(spark):
+    html = page(0, "Ann")[2]
+    pages = spark.createDataFrame(
+        [(1, "http://p/tour-or2-days", html), (2, "http://p/tour-or2-days-or10-x", html),
+         (3, "http://q/other", html)], PAGE_SCHEMA)
+    seed = listings(spark, [1]).withColumn("url", F.lit("http://p/tour-or2-days"))
+    assert [r["page_id"] for r in ingest.page_candidates(pages, seed).collect()] == [1]
