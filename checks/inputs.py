@@ -26,6 +26,12 @@ DATES = [
     "Reviewed 2021", "yesterday evening",
 ]
 
+# What a text says last: a keyword of each occasion, and none.
+OCCASIONS = [
+    "on our honeymoon", "after ten years together", "a birthday treat", "with the kids", "",
+    "for a hen night", "traveling alone", "a group of friends", "for team building", "no reason",
+]
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_texts(spark, f"{sf_dir}/documents.parquet")
@@ -56,7 +62,7 @@ def raw_columns() -> dict[str, Column]:
         "language": normalise_language(F.col("lang")),
         "rating": F.when(n % 7 != 0, F.lit(5.0) - (n % 4) * 0.5),
         "date_raw": cycle(DATES, n),
-        "review_text": F.col("text"),
+        "review_text": F.concat("text", F.lit(" "), cycle(OCCASIONS, n)),
         "url": F.concat(F.lit("https://example.com/r/"), n.cast("string")),
     }
 
@@ -95,6 +101,13 @@ def document_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         "platform", "reviewer_name", "review_text", "url")
 
 
+def titled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captured pages, every fifth of which says that it was refused."""
+    refused = F.regexp_replace("html", "(?i)<title>", "<title>Access Denied ")
+    return pages(spark, sf_dir).withColumn(
+        "html", F.when(F.col("page_id") % 5 == 0, refused).otherwise(F.col("html")))
+
+
 def _escaped(c: Column) -> Column:
     for raw, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(raw), F.lit(written))
@@ -237,13 +250,16 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown note per document; quotes and line breaks become blanks."""
+    """One Markdown note per document; quotes and line breaks become blanks.
+
+    The guests have names of their own, so a note is no copy of a page's review.
+    """
     flat = F.regexp_replace("review_text", "[\"“”\\n]", " ")
     return raw_reviews(spark, sf_dir).select(
         F.col("seq").alias("page_id"),
         F.concat(F.lit("note-"), F.col("seq").cast("string"), F.lit(".md")).alias("path"),
         F.concat(
-            F.lit("**"), "reviewer_name", F.lit("** from "), "reviewer_location", F.lit(" — "),
+            F.lit("**Guest "), "reviewer_name", F.lit("** from "), "reviewer_location", F.lit(" — "),
             "date_raw", F.lit("\n★★★★★\n\""), flat, F.lit("\"\n")).alias("value"))
 
 

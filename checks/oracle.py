@@ -1,6 +1,6 @@
 """The same results as plain SQL over the given tables, for DuckDB."""
 
-from checks.inputs import DATES, LOCATIONS, PLATFORMS, PROFILE_NAMES, REGIONS
+from checks.inputs import DATES, LOCATIONS, OCCASIONS, PLATFORMS, PROFILE_NAMES, REGIONS
 from checks.queries import TOPICS
 from reviewloom.lookups import (
     CITY_COUNTRY, LANGUAGE_LABELS, MONTHS, OCCASION_KEYWORDS, STATE_CODES, STOP_WORDS,
@@ -81,7 +81,7 @@ RAW = f"""raw AS (
   'city' || (doc_id % 23) AS city, 'host' || (doc_id % 37) AS host_name,
   source AS reviewer_name, {cycle(LOCATIONS)} AS reviewer_location, {_LANG} AS language,
   CASE WHEN doc_id % 7 <> 0 THEN CAST(5.0 - (doc_id % 4) * 0.5 AS DOUBLE) END AS rating,
-  {cycle(DATES)} AS date_raw, text AS review_text,
+  {cycle(DATES)} AS date_raw, text || ' ' || {cycle(OCCASIONS)} AS review_text,
   'https://example.com/r/' || doc_id AS url
  FROM documents)"""
 
@@ -216,7 +216,7 @@ found AS (SELECT seq AS page_id, url,
 _NOTE = (rf"(?m)\*\*([^*]+)\*\*[{WS}]*(?:from[{WS}]+([^\n—–-]+?))?[{WS}—–-]+([^\n]+)?\n"
          r"(?:[★\*]{1,5}[^\n]*\n)?"
          rf"[\"“”]?[{WS}]*([^\"“”\n]{{20,}}(?:\n[^\n]{{0,200}})*)[\"“”]?")
-NOTES = f"""note AS (SELECT seq, 'note-' || seq || '.md' AS url, '**' || reviewer_name || '** from '
+NOTES = f"""note AS (SELECT seq, 'note-' || seq || '.md' AS url, '**Guest ' || reviewer_name || '** from '
   || reviewer_location || ' — ' || date_raw || chr(10) || '★★★★★' || chr(10) || '"' ||
   regexp_replace(review_text, '["“”\\n]', ' ', 'g') || '"' || chr(10) AS v FROM raw),
 noted AS (SELECT seq, url, {strip(f"regexp_extract(v, '{_NOTE}', 1)")} AS reviewer_name,
@@ -325,7 +325,10 @@ ORACLE = {
         f"FROM documents) WHERE {ENOUGH}",
     "drop_block_pages":
         "SELECT page_id, title FROM (SELECT page_id, "
-        "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages) "
+        "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM ("
+        "SELECT page_id, CASE page_id % 5 WHEN 0 THEN "
+        "regexp_replace(html, '(?i)<title>', '<title>Access Denied ', 'g') ELSE html END AS html "
+        "FROM pages)) "
         "WHERE NOT regexp_matches(lower(title), 'access denied|captcha|robot|blocked')",
     "rated_and_dated": with_reviews(
         "SELECT * FROM reviews WHERE rating IS NOT NULL AND date <> ''"),
@@ -334,9 +337,9 @@ ORACLE = {
     "infer_countries": with_raw(
         f"SELECT seq, reviewer_location, {country('reviewer_location')} AS reviewer_country "
         "FROM raw"),
-    "detect_occasions":
+    "detect_occasions": with_raw(
         f"SELECT {occasion('text')} AS occasion, text FROM "
-        "(SELECT text FROM documents UNION ALL SELECT text FROM conversations)",
+        "(SELECT review_text AS text FROM raw UNION ALL SELECT text FROM conversations)"),
     "detect_topics":
         "SELECT doc_id, " + contains_case("lower(text)", TOPICS, "'unknown'")
         + " AS topic FROM documents",

@@ -149,7 +149,7 @@ def min_words_documents(spark, sf_dir):
 
 @query
 def drop_block_pages(spark, sf_dir):
-    return filters.drop_block_pages(inputs.pages(spark, sf_dir)).select(
+    return filters.drop_block_pages(inputs.titled_pages(spark, sf_dir)).select(
         "page_id", page_title(F.col("html")).alias("title"))
 
 
@@ -182,7 +182,7 @@ def infer_countries(spark, sf_dir):
 
 @query
 def detect_occasions(spark, sf_dir):
-    docs = inputs.documents(spark, sf_dir).select(F.col("text"))
+    docs = inputs.raw_reviews(spark, sf_dir).select(F.col("review_text").alias("text"))
     chat = inputs.conversations(spark, sf_dir).select(F.col("text"))
     return docs.unionByName(chat).select(
         detect_occasion(F.col("text")).alias("occasion"), "text")
@@ -423,7 +423,7 @@ def stream_distinct_keys(spark, sf_dir):
     target = scratch_dir(spark)
     source = f"{sf_dir}/documents*.parquet"
     arrivals = read_arrivals(spark, source, spark.read.parquet(source).schema).select(
-        F.col("source").alias("reviewer_name"), F.col("text").alias("review_text"),
+        F.col("source").alias("reviewer_name"), inputs.raw_columns()["review_text"].alias("review_text"),
         F.timestamp_seconds(F.col("doc_id") + 86_400).alias("arrived"))
     (
         stream_dedup(arrivals, "arrived", "36500 days").select("k_name", "k_text")

@@ -52,11 +52,12 @@ CITY_COUNTRY = [
 ]
 
 # US state codes.
-STATE_CODES = (
-    "ny ca tx fl il pa oh ga nc mi nj va wa az ma tn in mo md wi "
-    "mn co al sc la ky or ok ct ut nv ia ms ar ks ne id nm wv nh "
-    "me ri de sd nd ak vt wy mt hi"
-).split()
+STATE_CODES = [
+    "ny", "ca", "tx", "fl", "il", "pa", "oh", "ga", "nc", "mi", "nj", "va", "wa", "az",
+    "ma", "tn", "in", "mo", "md", "wi", "mn", "co", "al", "sc", "la", "ky", "or", "ok",
+    "ct", "ut", "nv", "ia", "ms", "ar", "ks", "ne", "id", "nm", "wv", "nh", "me", "ri",
+    "de", "sd", "nd", "ak", "vt", "wy", "mt", "hi",
+]
 
 # Occasion -> keywords, first group with a hit wins.
 OCCASION_KEYWORDS = [

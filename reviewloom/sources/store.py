@@ -81,17 +81,21 @@ def append_reviews(
 ) -> DataFrame:
     """Add the candidates nobody has stored yet, and return what was added.
 
-    Duplicates go first and ids next, so that language, country and occasion
-    are worked out once and for new reviews only. Rows of the same batch of the
+    Duplicates and ids are settled on narrow rows of keys and order; the texts
+    are written once ahead of that and once at the end. Language, country and
+    occasion are worked out for new reviews only. Of reviews with one key and
+    one place in the order any may stay. Rows of the same batch of the
     same writer are replaced. Ids go on from the highest one in other folders.
     """
     spark = candidates.sparkSession
     own = (F.col("writer") == writer) & (F.col("batch") == batch)
     with locked(spark, path, writer), own_scratch(spark):
         stored = read_store(spark, path).where(~own)
-        first = staged(dedup_first(candidates, order))
+        rows = staged(with_keys(candidates).withColumn("_row", F.monotonically_increasing_id()))
+        first = dedup_first(rows.select(*KEY_COLUMNS, *order, "_row"), [*order, "_row"])
         last = stored.agg(F.max("id")).first()[0] or 0
-        new = assign_ids(only_new(first, stored), order, last)
+        ids = assign_ids(only_new(first, stored), order, last).select("_row", "id")
+        new = rows.drop("id").join(ids, "_row")
         reviews = build_reviews(new, profiles, keep=KEY_COLUMNS).select(*COLUMNS, *KEY_COLUMNS)
         reviews.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch}")
     return read_store(spark, path).where(own)
