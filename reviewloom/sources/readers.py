@@ -7,18 +7,19 @@ from pyspark.sql.types import StructType
 
 from reviewloom.schema import LISTING_OPTIONS, LISTING_SCHEMA, PAGE_SCHEMA, REVIEW_SCHEMA
 
+#: Splits of a scan that are enough on any cluster.
+FEW = 64
+
 
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for a scan that yields fewer splits than there are cores.
 
     Text work is bound by the processor, and one small file is one split. A
-    scan of many splits, as any large table is, stays as it is: no shuffle.
-    ``df`` must be a plain scan.
+    scan of FEW splits or more, as any table of some gigabytes is, stays as it
+    is on any number of cores: no shuffle. ``df`` must be a plain scan.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 2 * cores:
-        return df
-    return df.repartition(2 * cores)
+    wanted = min(2 * df.sparkSession.sparkContext.defaultParallelism, FEW)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,9 @@ from collections import Counter
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from reviewloom.functions.enrichment import language_code
 from reviewloom.operators import (
-    dedup, filters, frequency, language, lookup, phrases, skew,
+    dedup, filters, frequency, language, lookup, phrases,
 )
 from reviewloom.plans import report
 from reviewloom.schema import COLUMNS, REVIEW_SCHEMA
@@ -191,3 +192,13 @@ def test_counts_add_up_to_the_labelled_rows(spark):
     assert counted == sum(p is not None for p in labels)
     rollup = frequency.ingest_rollup(df).where("level = 3").first()
     assert rollup["n"] == 50
+
+
+def test_languages_of_unseen_texts(spark):
+    """Profiles from every other document, on the documents between them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = language.collect_profiles(
+        language.train_language_profiles(docs.where("doc_id % 2 = 0")))
+    code = language_code(F.col("text"), profiles)
+    unseen = docs.where("doc_id % 2 = 1").select((code == F.col("lang")).cast("int").alias("right"))
+    assert unseen.agg(F.avg("right")).first()[0] >= 0.99
