@@ -45,12 +45,13 @@ def source_targets(
     total, weight = sums.agg(F.sum("source_size"), F.sum("weight")).first()
     rest = F.lit(total or 0) - cap * (F.col("_sizes") - F.col("source_size"))
     left = F.lit(weight or 0) - (F.col("_weights") - F.col("weight"))
-    open_ones = cap * F.col("source_size") * left >= F.col("weight") * rest
+    exact = lambda c: c.cast("decimal(19,0)")  # noqa: E731  their products may pass 64 bits
+    open_ones = exact(cap * F.col("source_size")) * exact(left) >= exact(F.col("weight") * rest)
     at = sums.where(open_ones).agg(
         F.min(F.struct("_weights", rest.alias("rest"), left.alias("left"), "weight"))).first()[0]
     share = (at["rest"], at["left"]) if at else (0, 1)
     full = F.lit(cap) * F.col("source_size")
-    stopped = full * F.lit(share[1]) < F.col("weight") * F.lit(share[0])
+    stopped = exact(full) * exact(F.lit(share[1])) < exact(F.col("weight") * F.lit(share[0]))
     return ranked.select(
         "source", "source_size",
         F.when(stopped, full.cast("double"))
