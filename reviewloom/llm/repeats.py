@@ -1,9 +1,9 @@
 """Long repeated byte strings, by run-length compressed Burrows-Wheeler indexes.
 
-Every string of ``length`` bytes has an anchor in it, chosen by its content
-alone: its piece of GRAM bytes with the least hash. Equal strings have equal
-anchors, so the strings around one anchor can be judged without the rest of the
-corpus. What surrounds an anchor is its context: all strings that chose it.
+Every string of ``length`` bytes has an anchor, told by its content alone: the
+least hash of a piece of GRAM bytes in it. Equal strings have equal anchors, so
+the strings of one anchor can be judged without the rest of the corpus. Strings
+in a row that have one anchor form a context.
 
 Contexts that occur twice or more as a whole are told by counting their hashes.
 The remaining ones that share an anchor go to shards by anchor. A shard's index
@@ -48,66 +48,71 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_places(keys: np.ndarray, width: int) -> np.ndarray:
-    """The least of ``width`` keys from each place on, while there are as many."""
+def sliding(keys: np.ndarray, width: int, pick: np.ufunc = np.minimum) -> np.ndarray:
+    """The least (or greatest) of ``width`` keys from each place on, while there are as many."""
     n = len(keys) - width + 1
     if n <= 0:
         return keys[:0]
     blocks = -(-len(keys) // width)
-    filled = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
+    filled = np.full(blocks * width, keys[-1], np.uint64)
     filled[:len(keys)] = keys
-    ahead = np.minimum.accumulate(filled.reshape(blocks, width), axis=1).ravel()
-    behind = np.minimum.accumulate(filled.reshape(blocks, width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
+    rows = filled.reshape(blocks, width)
+    ahead = pick.accumulate(rows, axis=1).ravel()
+    behind = pick.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(behind[:n], ahead[width - 1:width - 1 + n])
 
 
 def contexts_of(data: np.ndarray, lengths: np.ndarray, length: int):
-    """(row, start, strings, anchor, context) of the contexts of the texts of a slab.
+    """(row, start, strings, twice, anchor, context) of the contexts of a slab's texts.
 
-    A context begins at byte ``start`` and holds ``strings`` strings in a row.
+    A context begins at byte ``start`` and holds ``strings`` strings in a row of
+    one anchor. ``twice`` tells that a string may occur twice within it, as in a
+    text that repeats a few words; such a text is cut into contexts anywhere.
     """
-    none = np.zeros(0, np.int64)
-    hashes = gram_hashes(data)
     grams = length - GRAM + 1
-    low = np.uint64((1 << 24) - 1)
-    if len(data) - length < 0:
-        return none, none, none, none, none
-    place = np.empty(len(data) - length + 1, np.int64)
-    # Keys hold a place in 24 bits, so longer texts go in overlapping pieces.
-    piece = 1 << 23
-    for at in range(0, len(place), piece):
-        part = hashes[at:at + piece + grams - 1]
-        keys = (part & ~low) | np.arange(len(part), dtype=np.uint64)
-        least = least_places(keys[:min(len(part), len(place) - at + grams - 1)], grams)[:piece]
-        place[at:at + len(least)] = (least & low).astype(np.int64) + at
+    if len(data) < length:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none > 0, none, none
+    hashes = gram_hashes(data)[:len(data) - GRAM + 1]
+    least = sliding(hashes, grams)
+    # A place holds an anchor if its hash is the least of some string.
+    around = np.concatenate([np.zeros(grams - 1, np.uint64), least, np.zeros(grams - 1, np.uint64)])
+    chosen = np.flatnonzero(sliding(around, grams, np.maximum) == hashes)
+    pair = np.flatnonzero((hashes[chosen][1:] == hashes[chosen][:-1]) & (np.diff(chosen) < grams))
+    left, right = chosen[pair], chosen[pair + 1]
     begin = np.cumsum(lengths) - lengths
     counts = np.maximum(lengths - length + 1, 0)
     row = np.repeat(np.arange(len(lengths)), counts)
     start = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + begin[row]
-    anchor = place[start]
-    if not len(start):
-        return none, none, none, none, none
-    first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])))
-    strings = np.diff(np.append(first, len(start)))
-    row, start, anchor = row[first], start[first], anchor[first]
+    own = least[start]
+    change = np.append(True, (own[1:] != own[:-1]) | (row[1:] != row[:-1]))[:len(start)]
+    first = np.flatnonzero(change)
+    sizes = np.diff(np.append(first, len(start)))
+    # What is longer than one anchor's reach is cut.
+    pieces = -(-sizes // grams)
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    strings = np.minimum(np.repeat(sizes, pieces) - nth * grams, grams)
+    first = np.repeat(first, pieces) + nth * grams
+    row, start, own = row[first], start[first], own[first]
     end = start + strings + length - 1
-    whole = mix((anchor - start).astype(np.uint64) * STEP + strings.astype(np.uint64))
+    at = np.searchsorted(left, start)
+    near = np.append(right, len(data))[at] <= end - GRAM
+    whole = strings.astype(np.uint64) * STEP
     for i in range(-(-(2 * length) // GRAM)):
-        at = np.minimum(start + GRAM * i, end - GRAM)
-        whole = mix(whole + hashes[at] + STEP)
-    return (row, start - begin[row], strings, hashes[anchor].view(np.int64), whole.view(np.int64))
+        whole = mix(whole + hashes[np.minimum(start + GRAM * i, end - GRAM)] + STEP)
+    return (row, start - begin[row], strings, near, own.view(np.int64), whole.view(np.int64))
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
         for first, last, data, lengths in slabs(batch.column(2), _SLAB):
-            row, start, strings, anchor, context = contexts_of(data, lengths, length)
+            row, start, strings, twice, anchor, context = contexts_of(data, lengths, length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[0][first:last][row]), pa.array(ids[1][first:last][row]),
-                 pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)),
+                 pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(twice),
                  pa.array(anchor), pa.array(context)],
-                names=["_id", "_th", "start", "strings", "anchor", "context"])
+                names=["_id", "_th", "start", "strings", "twice", "anchor", "context"])
 
 
 class RunLengthIndex:
@@ -282,22 +287,27 @@ def repeated_spans(docs: DataFrame, length: int = 200, together: int = TOGETHER)
     keyed = _keyed(docs).drop("doc_id")
     places = keyed.where(F.octet_length("text") >= length).mapInArrow(
         lambda batches: _contexts(batches, length),
-        "_id long, _th int, start int, strings int, anchor long, context long")
-    # One number for each anchor and task reaches the shuffle.
-    shared = places.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
+        "_id long, _th int, start int, strings int, twice boolean, anchor long, context long")
+    # One number for each anchor and task reaches the shuffle. Written tables on
+    # both sides let adaptive execution split the join of a hot anchor.
+    shared = staged(
+        places.groupBy("anchor").agg(F.count("*").alias("_n"), F.max("twice").alias("_twice"))
+        .where("_n > 1 OR _twice").select("anchor"))
     places = staged(places.join(shared, "anchor"))
-    contexts = places.groupBy("anchor", "context").agg(
-        F.count("*").alias("n"), F.min(F.struct("_id", "_th", "start", "strings")).alias("at"))
-    variants = contexts.groupBy("anchor").agg(F.count("*").alias("variants"))
-    wanted = staged(contexts.join(variants, "anchor").where("n > 1 OR variants > 1"))
+    contexts = staged(places.groupBy("anchor", "context").agg(
+        F.count("*").alias("n"), F.max("twice").alias("twice"),
+        F.min(F.struct("_id", "_th", "start", "strings")).alias("at")))
+    variants = staged(
+        contexts.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("twice").alias("_any"))
+        .where("variants > 1 OR _any").drop("_any"))
+    wanted = contexts.join(variants, "anchor")
     whole = (
-        places.join(wanted.where("n > 1").select("anchor", "context"), ["anchor", "context"])
+        places.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"])
         .select("_id", "_th", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("stop"))
         .distinct())
     # The text of one context of each kind, cut out of its document.
     single = (
-        wanted.where("variants > 1")
-        .select("at._id", "at._th", F.struct(
+        wanted.select("at._id", "at._th", F.struct(
             "anchor", "variants", F.col("at.start").alias("start"),
             F.col("at.strings").alias("strings"), (F.col("n") == 1).alias("once")).alias("_c"))
         .groupBy("_id", "_th").agg(F.collect_list("_c").alias("_cs")))

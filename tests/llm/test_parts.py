@@ -66,9 +66,11 @@ def test_run_length_index_marks_what_repeats(strings, length):
 
 
 @given(st.lists(st.integers(0, 20), max_size=50), st.integers(1, 9))
-def test_least_places(keys, width):
+def test_sliding_minimum(keys, width):
     want = [min(keys[i:i + width]) for i in range(len(keys) - width + 1)]
-    assert repeats.least_places(np.array(keys, np.uint64), width).tolist() == want
+    assert repeats.sliding(np.array(keys, np.uint64), width).tolist() == want
+    want = [max(keys[i:i + width]) for i in range(len(keys) - width + 1)]
+    assert repeats.sliding(np.array(keys, np.uint64), width, np.maximum).tolist() == want
 
 
 @pytest.mark.parametrize("percent", [80, 90])
