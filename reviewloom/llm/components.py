@@ -10,7 +10,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hangs neighbours under the least neighbour known to them. A node
     with very many neighbours is a hot join key, which adaptive execution
-    splits, and a minimum reduced ahead of its shuffle. The number of rounds
+    splits as both sides are written tables, and a minimum that is reduced ahead
+    of its shuffle. The number of rounds
     grows with the logarithm of the longest chain.
     """
     stars = staged(
@@ -19,11 +20,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(stars)
     while before[0]:
         both = stars.unionAll(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("_m"))
-        large = (
+        least = staged(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("_m")))
+        large = staged(
             both.where("b > a").join(least, "a")
             .select(F.col("b").alias("a"), F.col("_m").alias("b")).distinct())
-        lowest = large.groupBy("a").agg(F.min("b").alias("_m"))
+        lowest = staged(large.groupBy("a").agg(F.min("b").alias("_m")))
         stars = staged(
             large.join(lowest, "a").where("b <> _m")
             .select(F.col("b").alias("a"), F.col("_m").alias("b"))

@@ -1,10 +1,11 @@
 """Documents linked by the Jaccard similarity of their shingles, by PartEnum.
 
-Sets are put into bands of size. Within a band, sets similar enough differ in
-at most k features; the features are dealt to more than k parts by hash, so
-such sets agree in a whole part, and the hash of that part is their common
+Sets are put into bands of size. Within a band the feature domain is dealt to
+parts by hash. Linked sets differ in at most k features and so in at most k
+parts; what they hold in the others is the same, and its hash is a common
 signature. (Of the subsets of parts that may be enumerated those of one part
-are the fewest, k + 1.)
+need the fewest signatures.) A set signs with the k + 1 least of its parts'
+hashes: two sets that miss at most k of each other's have one of these in common.
 
 Null and empty texts have no set and are linked with nothing. Rows that share
 a doc_id count as one document. A null doc_id is never a component's id unless
@@ -15,9 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewloom.llm.common import BLANKS, row_keys
+from reviewloom.llm.common import BLANKS, text_hash
 from reviewloom.llm.components import components
 from reviewloom.llm.textnum import SLAB, STEP, Words, mix, shingles, slabs
 from reviewloom.session import staged
@@ -36,7 +37,7 @@ class PartEnum:
     """
 
     def __init__(self, percent: int, growth: float = 1.5):
-        self.percent, self.growth = percent, growth
+        self.percent, self.growth = percent, max(growth, 100 / percent + 0.01)
 
     def edges(self, largest: int) -> list[int]:
         out = [1]
@@ -44,70 +45,76 @@ class PartEnum:
             out.append(max(out[-1] + 1, int(np.ceil(out[-1] * self.growth))))
         return out
 
-    def parts(self, low: int, high: int) -> tuple[int, int]:
-        """(k, parts) of the band of sizes ``low`` to ``high`` - 1.
+    def differing(self, a, b):
+        """Features in which linked sets of sizes ``a`` and ``b`` differ at most."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-        Linked sets a <= b have b <= a / t, and differ in at most
-        (a + b)(1 - t) / (1 + t) features. More parts than k + 1 leave
-        room for parts that are empty in both sets.
-        """
-        a = high - 1
-        b = a * 100 // self.percent
-        k = (a + b) * (100 - self.percent) // (100 + self.percent)
-        return k, k + 2 + k // 16
+    def parts(self, high: int) -> int:
+        """Parts of the band of sizes below ``high``: enough that more than k are filled."""
+        largest = high - 1
+        return max(int(1.3 * self.differing(largest, largest * 100 // self.percent)) + 3, 16)
 
     def sign(self, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray):
         """(row, signature) for sorted distinct features of rows of these sizes."""
         out_rows, out_signs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         edges = self.edges(int(sizes.max(initial=0)))
         band = np.searchsorted(edges, sizes, side="right") - 1
+        # The largest partner of a set decides how far the two may differ.
+        own_reach = self.differing(sizes, sizes * 100 // self.percent)
         for b in range(len(edges) - 1):
-            k, parts = self.parts(edges[b], edges[b + 1])
-            if not k:
-                continue  # only equal sets are linked here
-            above = (band == b + 1) & (sizes * self.percent <= (edges[b + 1] - 1) * 100)
-            chosen = ((band == b) | above)[rows]
+            high = edges[b + 1]
+            above = (band == b + 1) & (sizes * self.percent <= (high - 1) * 100)
+            reach = np.where(band == b, own_reach, np.where(above, self.differing(sizes, high - 1), 0))
+            chosen = (reach > 0)[rows]  # without reach only equal sets are linked
             if not chosen.any():
                 continue
             row, value = rows[chosen], values[chosen]
-            part = (value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            part = (value >> np.uint64(32)) * np.uint64(self.parts(high)) >> np.uint64(32)
             first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
             tag = np.uint64((b + 1) * int(STEP) & ALL)
-            total = np.add.reduceat(mix(value), first)
-            out_rows.append(row[first])
-            out_signs.append(mix(total + mix(part[first] + tag)))
-            full = np.bincount(row[first], minlength=len(sizes))
-            for r in np.flatnonzero((full > 0) & (full <= k)):
-                # Two such sets may agree in nothing but empty parts.
-                empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first][row[first] == r])
-                out_rows.append(np.full(len(empty), r))
-                out_signs.append(mix(mix(empty + tag)))
+            held = mix(np.add.reduceat(mix(value), first) + mix(part[first] + tag))
+            row = row[first]
+            order = np.lexsort((held, row))
+            filled = np.bincount(row, minlength=len(sizes))
+            rank = np.arange(len(row)) - np.repeat(np.cumsum(filled) - filled, filled)
+            kept = order[rank <= reach[row]]
+            # Sets with so few parts may have none of them in common.
+            sparse = np.flatnonzero((filled > 0) & (filled <= reach))
+            out_rows += [row[kept], sparse]
+            out_signs += [held[kept], np.full(len(sparse), mix(np.array([tag]))[0])]
         return np.concatenate(out_rows), np.concatenate(out_signs)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    enum = PartEnum(percent)
+def _texts(batches: Iterator[pa.RecordBatch], size: int):
+    """(part of a batch, row, shingle, number of shingles by row) over slabs."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        for first, last, data, lengths in slabs(texts):
+        for first, last, data, lengths in slabs(batch.column(batch.schema.get_field_index("text"))):
             rows, values = shingles(Words(data, lengths), size)
-            n = np.bincount(rows, minlength=last - first)
-            prints = []
-            for salt in (1, 2):
-                bits = mix(values + np.uint64(salt * int(STEP) & ALL))
-                begin = np.append(0, np.cumsum(n))
-                sums = np.append(np.uint64(0), np.cumsum(bits, dtype=np.uint64))
-                prints.append(mix(sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
-            row, sign = enum.sign(rows, values, n)
-            order = np.argsort(row, kind="stable")
-            starts = np.append(0, np.cumsum(np.bincount(row, minlength=last - first)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index(c)).slice(first, last - first)
-                 for c in ("doc_id", "_id", "_th")]
-                + [pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
-                   pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)),
-                                            pa.array(sign[order].view(np.int64)))],
-                names=["doc_id", "_id", "_th", "n", "f1", "f2", "signs"])
+            yield batch.slice(first, last - first), rows, values, np.bincount(rows, minlength=last - first)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each row, the size of its set and two hashes of the whole set."""
+    for part, _, values, n in _texts(batches, size):
+        prints = []
+        begin = np.append(0, np.cumsum(n))
+        for salt in (1, 2):
+            bits = mix(values + np.uint64(salt * int(STEP) & ALL))
+            sums = np.append(np.uint64(0), np.cumsum(bits, dtype=np.uint64))
+            prints.append(mix(sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "_id", "_th")]
+            + [pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1])],
+            names=["doc_id", "_id", "_th", "n", "f1", "f2"])
+
+
+def _signs(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    enum = PartEnum(percent)
+    for part, rows, values, n in _texts(batches, size):
+        row, sign = enum.sign(rows, values, n)
+        ids = part.column(part.schema.get_field_index("_id"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(sign.view(np.int64)), ids.take(pa.array(row))], names=["sign", "_id"])
 
 
 class _Forest:
@@ -197,9 +204,42 @@ def _link(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterato
         yield done(units, nodes, texts)
 
 
+def _own_id() -> Column:
+    """The doc_id, or a hash of the text in place of null."""
+    return F.coalesce("doc_id", F.xxhash64(F.lit("none"), "text"))
+
+
+def _chunks(block_rows: int, block_shingles: int):
+    """Into how many parts a group is cut so that each is of bounded size."""
+    return F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles))
+
+
+def _blocks(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(unit, node): each two blocks of a cluster (node, root) together in a unit.
+
+    ``sizes`` has the number of ``_blocks`` of each root.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    return (
+        clusters.join(sizes, "root").select("node", "root", own.alias("_own"), other.alias("_other"))
+        .select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other"))
+                .alias("unit"), "node"))
+
+
+def _stars(candidates: DataFrame, classes: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """(unit, node): the nodes ``a`` of a ``b`` in parts, ``b`` itself in each part."""
+    sized = candidates.join(classes.select(F.col("node").alias("a"), "n"), "a")
+    parts = staged(sized.groupBy("b").agg(_chunks(block_rows, block_shingles).alias("_parts")))
+    dealt = candidates.join(parts, "b").select(
+        F.xxhash64(F.lit("star"), "b", F.pmod(F.xxhash64("a"), F.col("_parts"))).alias("unit"), "a", "b")
+    return dealt.select("unit", F.col("a").alias("node")).unionAll(
+        dealt.select("unit", F.col("b").alias("node")).distinct())
+
+
 def link_documents(
     docs: DataFrame, size: int = 5, percent: int = 80, block_rows: int = 1024,
-    block_shingles: int = 1 << 20,
+    block_shingles: int = 1 << 20, blocks_at_once: int = 8,
 ) -> DataFrame:
     """(doc_id, _id, _th, n, node, root) of every row of ``docs``.
 
@@ -207,14 +247,20 @@ def link_documents(
     document reachable by links (``node`` the least with the very same set).
 
     Equal sets become one class first. Classes with a common signature form
-    clusters of candidates. A cluster is compared in one task, or, beyond
-    ``block_rows`` classes or ``block_shingles`` shingles, in one task for each
-    two of its blocks, so that no link is lost and no task is unbounded.
+    clusters of candidates, and a cluster is compared in one task. One of more
+    than ``block_rows`` classes or ``block_shingles`` shingles is cut into
+    blocks, and each two blocks are compared in one task. One of more blocks than
+    ``blocks_at_once`` is connected first: every class is compared with the
+    least one of each of its signatures, in parts. Then only signatures whose
+    classes aren't all connected can hide another link, and the clusters that
+    these form are compared by blocks. So no link is lost, no task is
+    unbounded, and a large group of near copies costs its size.
     """
-    keyed = docs.select("doc_id", *row_keys(), F.col("text"))
+    keyed = docs.select(
+        "doc_id", _own_id().alias("_id"), text_hash(F.col("text")).alias("_th"), "text")
     base = staged(keyed.mapInArrow(
-        lambda batches: _sets(batches, size, percent),
-        "doc_id long, _id long, _th long, n long, f1 long, f2 long, signs array<long>"))
+        lambda batches: _sets(batches, size),
+        "doc_id long, _id long, _th long, n long, f1 long, f2 long"))
     # A class without any doc_id takes its number from its set.
     node = F.coalesce(
         F.min("doc_id"), F.lit(NO_ID_BELOW) - 1 - F.shiftrightunsigned(F.min("f1"), 3))
@@ -222,35 +268,64 @@ def link_documents(
     classes = staged(
         full.groupBy("f1", "f2").agg(
             node.alias("node"), F.min(F.struct("_id", "_th")).alias("_row"),
-            F.max("n").alias("n"), F.first("signs").alias("signs")))
-    signed = classes.select("node", F.explode("signs").alias("sign"))
-    shared = (
-        signed.groupBy("sign").agg(F.min("node").alias("b"), F.max("node").alias("_last"))
-        .where("b <> _last").select("sign", "b"))
-    candidates = signed.join(shared, "sign").select(F.col("node").alias("a"), "b").distinct()
-    clusters = staged(
-        components(candidates).join(classes.select("node", "_row", "n"), "node"))
-    blocks = clusters.groupBy("root").agg(
-        F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_shingles)).alias("_blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    members = (
-        clusters.join(blocks, "root")
-        .select("node", "root", "_row._id", "_row._th", own.alias("_own"), other.alias("_other"))
-        .groupBy("_id", "_th").agg(F.collect_set(F.struct(
-            F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("unit"),
-            "node")).alias("_units"))
-    )
-    texts = keyed.select("_id", "_th", "text").join(members, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
-    units = texts.select(F.explode("_units").alias("_u"), "text").select("_u.unit", "_u.node", "text")
-    links = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(
-        lambda batches: _link(batches, size, percent), "a long, b long")
+            F.max("n").alias("n")))
+    named = staged(
+        full.join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("_id", "node").distinct())
+    # Exact copies sign alike; candidates are put down to classes further below.
+    signed = keyed.select("_id", "text").mapInArrow(
+        lambda batches: _signs(batches, size, percent), "sign long, _id long")
+    # Written tables on both sides let adaptive execution split a hot key's join.
+    shared = staged(
+        signed.groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows"))
+        .where("_rows > 1").select("sign", "b"))
+    rows = staged(signed.join(shared, "sign").where("_id <> b").select("_id", "b").distinct())
+    candidates = staged(
+        rows.join(named, "_id").select(F.col("node").alias("a"), F.col("b").alias("_id"))
+        .join(named, "_id").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+
+    def compared(units: DataFrame) -> DataFrame:
+        """Links (a, b) found among the nodes of each unit; enough to connect them."""
+        members = units.join(classes.select("node", "_row"), "node").groupBy(
+            "_row._id", "_row._th").agg(F.collect_set(F.struct("unit", "node")).alias("_units"))
+        texts = keyed.select("_id", "_th", "text").join(
+            members, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+        rows = texts.select(F.explode("_units").alias("_u"), "text").select("_u.unit", "_u.node", "text")
+        return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
+            lambda batches: _link(batches, size, percent), "a long, b long")
+
+    def sized(clusters: DataFrame) -> DataFrame:
+        return staged(clusters.join(classes.select("node", "n"), "node").groupBy("root").agg(
+            _chunks(block_rows, block_shingles).alias("_blocks")))
+
+    clusters = staged(components(candidates))
+    sizes = sized(clusters)
+    large = staged(
+        clusters.join(sizes.where(F.col("_blocks") > blocks_at_once), "root", "left_semi")
+        .select("node"))
+    if large.isEmpty():
+        links = compared(_blocks(clusters, sizes))
+    else:
+        within_large = candidates.join(large.withColumnRenamed("node", "a"), "a", "left_semi")
+        near = staged(compared(_stars(within_large, classes, block_rows, block_shingles)))
+        told = staged(
+            signed.join(named, "_id").select("sign", "node").distinct()
+            .join(large, "node", "left_semi").join(components(near), "node", "left")
+            .select("sign", "node", F.coalesce("root", "node").alias("_part")))
+        open_signs = staged(
+            told.groupBy("sign").agg(
+                F.min("node").alias("b"), F.min("_part").alias("_low"), F.max("_part").alias("_high"))
+            .where("_low <> _high").select("sign", "b"))
+        rest = staged(components(
+            told.join(open_signs, "sign").select(F.col("node").alias("a"), "b").distinct()))
+        units = _blocks(clusters, sizes.where(F.col("_blocks") <= blocks_at_once)).unionAll(
+            _blocks(rest, sized(rest)))
+        links = compared(units).unionAll(near)
     roots = components(links)
     labels = (
         classes.select("f1", "f2", "node").join(roots, "node", "left")
         .select("f1", "f2", "node", F.coalesce("root", "node").alias("root")))
     return (
-        base.select("doc_id", "_id", "_th", "n", "f1", "f2").join(labels, ["f1", "f2"], "left")
+        base.join(labels, ["f1", "f2"], "left")
         .select("doc_id", "_id", "_th", "n",
                 F.when(F.col("n") > 0, F.col("node")).alias("node"),
                 F.when(F.col("n") > 0, F.col("root")).alias("root"))
@@ -276,6 +351,7 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         (F.col("root") < NO_ID_BELOW) & (F.col("node") == F.col("root")))
     kept = found.where(chosen).select("_id", "_th").distinct()
     some = F.coalesce(F.btrim("text", F.lit(BLANKS)), F.lit("")) != ""
-    rows = docs.where(some).select(F.struct("*").alias("row"), *row_keys())
+    rows = docs.where(some).select(
+        F.struct("*").alias("row"), _own_id().alias("_id"), text_hash(F.col("text")).alias("_th"))
     full = rows.join(kept, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("row.*")
     return full.unionByName(docs.where(~some))

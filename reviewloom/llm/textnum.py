@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on together; a longer text is worked on alone.
-SLAB = 4 << 20
+SLAB = 2 << 20
 
 _byte = np.arange(256)
 #: Bytes that are part of a word: all but blanks; letters, digits and non-ASCII.
