@@ -115,7 +115,8 @@ def dedup_lines(
     runs = LineRuns(spark, fanout=fanout)
     for number in range(batches):
         runs.add(lines.where(F.col("_batch") == number))
-    shared = runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc")
+    # Written, so that adaptive execution can split the join of a hot line.
+    shared = staged(runs.totals().where(F.col("n_docs") >= min_docs).select(*KEY, "last_doc"))
     drops = (
         lines.join(shared, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
         .groupBy("doc_id", "_th").agg(F.collect_set("_pos").alias("_drops"))
