@@ -105,18 +105,17 @@ def occurrences(
     found = staged(aligned(index, rarest).groupBy("doc_id", "_th").agg(
         F.collect_list(F.struct("item", "delta")).alias("_at")))
     texts = docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text")
-    longest = items.agg(F.max(F.size("tokens")).alias("_longest"))
+    longest = F.lit(items.agg(F.max(F.size("tokens"))).first()[0] or 0)
     cut = lambda a: F.struct(
         a["item"].alias("item"), a["delta"].alias("delta"),
         F.greatest(-a["delta"], F.lit(0)).alias("skip"),
         F.slice(F.col("_doc_tokens"), F.greatest(a["delta"], F.lit(0)) + 1,
-                F.greatest(F.col("_longest") + F.least(a["delta"], F.lit(0)), F.lit(0))).alias("part"))
+                F.greatest(longest + F.least(a["delta"], F.lit(0)), F.lit(0))).alias("part"))
     near = (
         texts.join(found.select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_hash"), "_at"),
                    F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash")))
         .select("doc_id", "_th", "_at", terms(F.col("text")).alias("_doc_tokens"))
         .dropDuplicates(["doc_id", "_th"])
-        .crossJoin(F.broadcast(longest))
         .select("doc_id", "_th", F.explode(F.transform("_at", cut)).alias("_a"))
         .select("doc_id", "_th", "_a.*")
     )
