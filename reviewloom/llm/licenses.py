@@ -1,10 +1,11 @@
 """Licences in documents, by a positional index of rare words.
 
 The licence notices are templates. Each is indexed by its rarest words, by
-their frequency in the documents at hand: word to (template, place). The rarest
-of them in a document propose where a template may stand, namely where several
-agree on its beginning; the template is then compared there word by word, and
-its key phrases must be found.
+their frequency in the documents at hand: word to (template, place). Each of
+them in a document votes for where the template may begin. A template has so
+many postings that one of which a large enough share stands gets enough votes,
+whichever of its words differ; it is then compared there word by word, and its
+key phrases must be found.
 
 Null and empty texts have no words and no labels. Rows are judged one by one,
 so repeated rows agree; counts are over rows. Extra columns are ignored.
@@ -104,9 +105,14 @@ def document_frequency(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dic
 
 
 class RareWordIndex:
-    """Postings of the rarest words of each template."""
+    """Postings of the rarest words of each template.
 
-    def __init__(self, templates: dict, documents: int, frequency: dict[str, int], rare: int = 10):
+    At least ``rare`` words, and as many as it takes that three of their places
+    are left where a share of ``cover`` stands and all other words differ.
+    """
+
+    def __init__(self, templates: dict, documents: int, frequency: dict[str, int], cover: float = 0.7,
+                 rare: int = 10):
         self.labels = list(templates)
         texts = [words_of(text) for text, _ in templates.values()]
         self.words = [_hashes(t) for t in texts]
@@ -114,41 +120,70 @@ class RareWordIndex:
         self.idf = {w: float(np.log((documents + 1) / (frequency.get(w, 0) + 1)))
                     for t in texts for w in t}
         self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.weight: dict[int, float] = {}
+        #: Of each template, how many words must agree, and how many postings then do.
+        self.least: list[int] = []
+        self.votes: list[int] = []
         for number, (text, hashes) in enumerate(zip(texts, self.words, strict=True)):
-            chosen = sorted(set(text), key=lambda w: (-self.idf[w], w))[:rare]
+            least = next((k for k in range(1, len(text) + 1) if k / len(text) >= cover), len(text) + 1)
+            differ = len(text) - least
+            chosen: set[str] = set()
+            placed = 0
+            for word in sorted(set(text), key=lambda w: (-self.idf[w], w)):
+                if len(chosen) >= rare and placed >= differ + 3:
+                    break
+                chosen.add(word)
+                placed += text.count(word)
             for place, (word, h) in enumerate(zip(text, hashes.tolist(), strict=True)):
                 if word in chosen:
                     self.postings[h].append((number, place))
-                    self.weight[h] = self.idf[word]
+            self.least.append(least)
+            self.votes.append(placed - differ)
         self.listed = np.array(sorted(self.postings), dtype=np.uint64)
 
-    def scan(self, own: np.ndarray, places: np.ndarray, cover: float, look_up: int):
-        """(label, share of the template) of what stands in a document.
+    def scan(self, words: Words, h: np.ndarray) -> dict[int, dict[str, float]]:
+        """By row of a slab, the templates that stand in it: label to share of the template.
 
-        ``own`` are the word hashes of the document, ``places`` where the
-        indexed ones stand. Only its ``look_up`` rarest words propose places.
+        ``h`` are the hashes of the words. All that are listed vote.
         """
-        h = own[places].tolist()
-        rarest = set(sorted(set(h), key=lambda x: (-self.weight[x], x))[:look_up])
-        votes: dict[tuple[int, int], int] = defaultdict(int)
-        for value, place in zip(h, places.tolist(), strict=True):
-            if value in rarest:
-                for number, at in self.postings[value]:
-                    votes[number, place - at] += 1
-        out = {}
-        for (number, begin), agree in votes.items():
-            template = self.words[number]
-            if agree < min(3, len(template)):
+        if not len(self.listed) or not len(h):
+            return {}
+        near = np.minimum(np.searchsorted(self.listed, h), len(self.listed) - 1)
+        hit = np.flatnonzero(self.listed[near] == h)
+        hit = hit[np.argsort(near[hit], kind="stable")]
+        cuts = np.searchsorted(near[hit], np.arange(len(self.listed) + 1))
+        begins: list[list[np.ndarray]] = [[] for _ in self.labels]
+        # A beginning ahead of the slab is still a number from 0, one for each row.
+        ahead = max(len(t) for t in self.words)
+        wide = len(h) + ahead
+        for i, value in enumerate(self.listed.tolist()):
+            places = hit[cuts[i]:cuts[i + 1]]
+            rows = words.doc[places] * wide + places + ahead
+            for number, at in self.postings[value]:
+                begins[number].append(rows - at)
+        out: dict[int, dict[str, float]] = defaultdict(dict)
+        for number, found in enumerate(begins):
+            if not found:
                 continue
-            first, last = max(begin, 0), min(begin + len(template), len(own))
-            same = int((own[first:last] == template[first - begin:last - begin]).sum())
-            share = same / len(template)
-            if share >= cover and share > out.get(self.labels[number], 0) and all(
-                    _stands(key, own[first:last]) for key in self.keys[number]):
-                out[self.labels[number]] = share
+            voted, agree = np.unique(np.concatenate(found), return_counts=True)
+            voted = voted[agree >= self.votes[number]]
+            self._compare(number, voted // wide, voted % wide - ahead, words, h, out)
         return out
 
+    def _compare(self, number: int, doc: np.ndarray, begin: np.ndarray, words: Words, h: np.ndarray, out):
+        template, label = self.words[number], self.labels[number]
+        low, high = words.bounds[doc], words.bounds[doc + 1]
+        same = np.zeros(len(doc), np.int64)
+        for i, value in enumerate(template):
+            at = begin + i
+            inside = (at >= low) & (at < high)
+            same += inside & (h[np.where(inside, at, 0)] == value)
+        first, last = np.maximum(begin, low), np.minimum(begin + len(template), high)
+        for c in np.flatnonzero(same >= self.least[number]):
+            share, found = int(same[c]) / len(template), out.get(int(doc[c]), {})
+            if share > found.get(label, 0) and all(
+                    _stands(key, h[first[c]:last[c]]) for key in self.keys[number]):
+                out[int(doc[c])][label] = share
+
 
 def _stands(key: np.ndarray, own: np.ndarray) -> bool:
     n = len(own) - len(key) + 1
@@ -165,27 +200,26 @@ _RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 
 
 def scan_licenses(docs: DataFrame, templates: dict = TEMPLATES, phrases: dict = PHRASES,
-                  cover: float = 0.7, look_up: int = 12) -> DataFrame:
+                  cover: float = 0.7) -> DataFrame:
     """One row of findings for each row of ``docs``.
 
     ``score`` is the largest share of a template that was found, at least a
     half where a phrase stands, else 0.
     """
     vocabulary = sorted({w for text, _ in templates.values() for w in words_of(text)})
-    index = RareWordIndex(templates, *document_frequency(docs, vocabulary))
+    index = RareWordIndex(templates, *document_frequency(docs, vocabulary), cover)
     wanted = [(label, _hashes(words_of(phrase))) for phrase, label in phrases.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, lengths in slabs(batch.column(1)):
                 yield _findings(
-                    batch.column(0).slice(first, last - first), *_words(data, lengths), index, wanted,
-                    cover, look_up)
+                    batch.column(0).slice(first, last - first), *_words(data, lengths), index, wanted)
 
     return docs.select("doc_id", "text").mapInArrow(run, _RESULT)
 
 
-def _findings(ids, words: Words, h: np.ndarray, index: RareWordIndex, wanted, cover, look_up):
+def _findings(ids, words: Words, h: np.ndarray, index: RareWordIndex, wanted):
     rows, bounds = len(ids), words.bounds
     n_base = np.zeros(rows, np.int64)
     low, high = np.full(rows, np.iinfo(np.int64).max), np.full(rows, -1, np.int64)
@@ -203,17 +237,7 @@ def _findings(ids, words: Words, h: np.ndarray, index: RareWordIndex, wanted, co
         np.maximum.at(high, doc, place)
         for d in np.unique(doc):
             base[d].add(label)
-    hit = np.zeros(0, np.int64)
-    if len(index.listed):
-        near = np.minimum(np.searchsorted(index.listed, h), len(index.listed) - 1)
-        hit = np.flatnonzero(index.listed[near] == h)
-    doc = words.doc[hit]
-    cuts = np.searchsorted(doc, np.arange(rows + 1))
-    more: dict[int, dict] = {}
-    for d in np.unique(doc):
-        places = hit[cuts[d]:cuts[d + 1]] - bounds[d]
-        if len(places) >= 3:
-            more[int(d)] = index.scan(h[bounds[d]:bounds[d + 1]], places, cover, look_up)
+    more = index.scan(words, h)
     score = [max([0.5 if base[d] else 0.0, *more.get(d, {}).values()]) for d in range(rows)]
     none = n_base == 0
     return pa.RecordBatch.from_arrays([

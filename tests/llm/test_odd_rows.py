@@ -169,6 +169,36 @@ def test_licenses(spark, odd, none):
     assert got[3]["labels"] == "" and got[None]["n_words"] == 0
 
 
+def test_every_notice_of_a_document_is_found(spark):
+    notices = {label: text for label, (text, _) in licenses.TEMPLATES.items()}
+    scattered = " ".join(
+        f"w{i} {w}" for i, w in enumerate(
+            w for text in notices.values() for w in licenses.words_of(text)))
+    docs = spark.createDataFrame(
+        [(1, "\n\n".join(notices.values())), (2, scattered),
+         *[(10 + i, f"{scattered} {text} {scattered} " * 20) for i, text in enumerate(notices.values())]],
+        "doc_id long, text string")
+    got = {r["doc_id"]: (set(r["labels"].split(",")) - set(licenses.PHRASES.values()), r["score"])
+           for r in licenses.query(docs).collect()}
+    assert got[1] == (set(notices), 1.0)
+    assert got[2] == ({""}, 0.0)
+    for i, label in enumerate(notices):
+        assert got[10 + i] == ({label}, 1.0)
+
+
+def test_a_notice_without_its_rarest_words_is_found(spark):
+    # Three tenths of the words are changed in one of two documents, so they are the rarest.
+    text, keys = licenses.TEMPLATES["mit-notice"]
+    words = licenses.words_of(text)
+    kept = set(licenses.words_of(" ".join(keys)))
+    other = [w for w in sorted(set(words) - kept) if words.count(w) == 1][:len(words) * 3 // 10]
+    changed = " ".join("changed" if w in other else w for w in words)
+    docs = spark.createDataFrame([(1, changed), (2, changed + " changed " + text)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.query(docs).collect()}
+    assert len(other) == 8 and got[2] == ("mit-notice", 1.0)
+    assert got[1] == ("mit-notice", (len(words) - len(other)) / len(words))
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "<s>a</s>"), (1, 1, "assistant", "<\\s> [INST] <|role|>"),
             (1, 1, "assistant", "again"), (None, None, None, None), (2, 5, "", "x<"),
