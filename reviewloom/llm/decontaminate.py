@@ -1,7 +1,8 @@
 """Benchmark passages in documents, by a positional inverted index.
 
 Null texts have no words. Rows that share doc_id and text are one document and
-get the same result. An item without words has no windows. Extra columns are
+get the same result. An item without words has no windows. Items whose item_id is
+null hit as any other, and count together as one item. Extra columns are
 ignored. Words are compared by 64-bit hashes, thirteen of them at a time.
 """
 
@@ -19,6 +20,14 @@ def terms(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def benchmark_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, tokens, item): ``item`` tells apart what differs in either, and is never null."""
+    return (
+        benchmark.select("item_id", terms(F.col("text")).alias("tokens"))
+        .where(F.size("tokens") > 0).distinct()
+        .withColumn("item", F.xxhash64("item_id", "tokens")))
+
+
 def document_frequency(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, df) of every term of ``vocabulary`` that some document holds."""
     return (
@@ -89,14 +98,12 @@ def aligned(index: DataFrame, rarest: DataFrame) -> DataFrame:
 def occurrences(
     docs: DataFrame, benchmark: DataFrame, window: int = 13,
 ) -> DataFrame:
-    """(doc_id, _th, item, places): document words inside windows of an item.
+    """(doc_id, _th, item_id, places): document words inside windows of an item.
 
     One row for each alignment with at least one whole window; ``places`` are
     word numbers from 0. An item shorter than ``window`` is one window. Exact.
     """
-    items = staged(
-        benchmark.select(F.col("item_id").alias("item"), terms(F.col("text")).alias("tokens"))
-        .where(F.size("tokens") > 0).distinct())
+    items = staged(benchmark_items(benchmark))
     frequency = staged(document_frequency(
         docs, items.select(F.explode("tokens").alias("term")).distinct()))
     rarest = staged(rarest_terms(items, frequency, window))
@@ -129,10 +136,10 @@ def occurrences(
         lambda i: F.forall(F.slice("_equal", i + 1, F.col("_size")), lambda x: x))
     return (
         near.join(items, "item")
-        .select("doc_id", "_th", "item", "delta", "tokens", size.alias("_size"), equal.alias("_equal"))
-        .select("doc_id", "_th", "item", "delta", "_size", starts.alias("_starts"))
+        .select("doc_id", "_th", "item_id", "delta", "tokens", size.alias("_size"), equal.alias("_equal"))
+        .select("doc_id", "_th", "item_id", "delta", "_size", starts.alias("_starts"))
         .where(F.size("_starts") > 0)
-        .select("doc_id", "_th", "item", F.array_distinct(F.flatten(F.transform(
+        .select("doc_id", "_th", "item_id", F.array_distinct(F.flatten(F.transform(
             "_starts", lambda s: F.sequence(
                 F.col("delta") + s, F.col("delta") + s + F.col("_size") - 1)))).alias("places"))
     )
@@ -141,14 +148,17 @@ def occurrences(
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """(row, n_words, n_hit, items): every row of ``docs`` with what hits it.
 
-    ``items`` are the item_ids with occurring windows as sorted strings.
+    ``items`` are the item_ids with occurring windows as sorted strings; a null
+    comes first and stands for all items without an item_id.
     """
     found = staged(occurrences(docs, benchmark, window))
     hits = (
         found.select("doc_id", "_th", F.explode("places").alias("_p")).distinct()
         .groupBy("doc_id", "_th").agg(F.count("*").alias("n_hit")))
-    which = found.groupBy("doc_id", "_th").agg(
-        F.sort_array(F.collect_set(F.col("item").cast("string"))).alias("items"))
+    # In structs, since a set of values leaves out null.
+    which = found.groupBy("doc_id", "_th").agg(F.sort_array(F.transform(
+        F.collect_set(F.struct(F.col("item_id").cast("string").alias("id"))),
+        lambda x: x["id"])).alias("items"))
     # One row for each document that is hit.
     result = hits.join(which, same(hits, which, ["doc_id", "_th"])).select(
         hits["doc_id"].alias("_doc"), hits["_th"].alias("_hash"), "n_hit", "items")

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import duckdb
 from pyspark.sql import functions as F
 
 from reviewloom.llm import (
@@ -136,6 +137,24 @@ def test_decontamination(odd, none, benchmark):
     assert decontaminate.query(odd, benchmark.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_items_without_ids_hit(spark):
+    docs = [(1, "so A b c it"), (2, "q r"), (3, "a b c q r 7th"), (4, "none"), (None, "Q, R!")]
+    items = [(None, "a b c"), (None, "q r"), (None, "a b c"), (5, "7th"), (6, "it")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    passages = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["row"]["doc_id"]: (r["n_hit"], r["items"])
+           for r in decontaminate.contamination(rows, passages).collect()}
+    assert got == {1: (4, [None, "6"]), 2: (2, [None]), 3: (6, [None, "5"]), 4: (0, []), None: (2, [None])}
+    assert [r["doc_id"] for r in decontaminate.clean_documents(rows, passages).collect()] == [4]
+    db = duckdb.connect()
+    for name, column, values in (("documents", "doc_id", docs[:-1]), ("benchmark", "item_id", items)):
+        db.execute(f"CREATE TABLE {name} ({column} BIGINT, text VARCHAR)")
+        db.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    want = sorted(db.execute(decontaminate.ORACLE).fetchall())
+    query = decontaminate.query(rows.where("doc_id IS NOT NULL"), passages)
+    assert sorted(tuple(r) for r in query.collect()) == want
+
+
 def test_repeats(odd, none):
     got = repeats.remove_repeats(odd).collect()
     assert len(got) == odd.count()
