@@ -16,29 +16,35 @@ KEY = ["_h1", "_h2"]
 class LineRuns:
     """Sorted runs of (line hash, documents, largest document), in levels.
 
-    A batch is added as a run of level 0. ``fanout`` runs of a level are merged
-    into one run of the next, so that a line is rewritten as often as there are
-    levels and a look-up meets few runs. ``fresh`` marks the run in which a line
-    was first seen. A document must come whole within one batch.
+    The lines of a batch that are in no run are added as a run of level 0, so
+    each line is in one run. Those that are in one are counted in runs of their
+    own, ``again``. ``fanout`` runs of a level are merged into one run of the
+    next, so that a line is rewritten as often as there are levels and a look-up
+    meets few runs. A document must come whole within one batch.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, fanout: int = 4):
         self.spark, self.fanout = spark, fanout
-        self.path, self.levels, self.made = path or scratch_dir(spark), [[]], 0
+        self.path, self.made = path or scratch_dir(spark), 0
+        self.levels: list[list[str]] = [[]]
+        self.again: list[list[str]] = [[]]
 
-    def _write(self, rows: DataFrame, level: int) -> None:
+    def _write(self, rows: DataFrame, levels: list[list[str]], level: int) -> None:
         path = f"{self.path}/run={self.made}"
         self.made += 1
         rows.sortWithinPartitions(*KEY).write.mode("overwrite").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(path)
 
-    def rows(self) -> DataFrame | None:
-        """All runs under each other."""
-        paths = [p for level in self.levels for p in level]
+    def _read(self, levels: list[list[str]]) -> DataFrame | None:
+        paths = [p for level in levels for p in level]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def rows(self) -> DataFrame | None:
+        """All runs under each other: each line once, as its first batch has it."""
+        return self._read(self.levels)
+
     def unseen(self, lines: DataFrame) -> DataFrame:
         """The rows of ``lines`` whose hash is in no run."""
         runs = self.rows()
@@ -51,32 +57,40 @@ class LineRuns:
             .withColumn("last_doc", F.col("doc_id")))
         runs = self.rows()
         if runs is None:
-            self._write(batch.withColumn("fresh", F.lit(True)), 0)
+            self._write(batch, self.levels, 0)
         else:
-            seen = runs.where("fresh").select(*KEY, F.lit(False).alias("fresh"))
-            self._write(
-                batch.join(seen, KEY, "left")
-                .withColumn("fresh", F.coalesce("fresh", F.lit(True))), 0)
+            batch = staged(batch)
+            new, seen = self.unseen(batch), batch.join(runs.select(*KEY), KEY, "left_semi")
+            self._write(new, self.levels, 0)
+            self._write(seen, self.again, 0)
         self.compact()
 
     def compact(self) -> None:
         """Merge every level that is full into one run of the next."""
-        level = 0
-        while level < len(self.levels):
-            if len(self.levels[level]) >= self.fanout:
-                full = self.spark.read.parquet(*self.levels[level])
-                self._write(summed(full, F.max("fresh").alias("fresh")), level + 1)
-                self.levels[level] = []
-            level += 1
+        for levels in (self.levels, self.again):
+            level = 0
+            while level < len(levels):
+                if len(levels[level]) >= self.fanout:
+                    full = self.spark.read.parquet(*levels[level])
+                    self._write(full if levels is self.levels else summed(full), levels, level + 1)
+                    levels[level] = []
+                level += 1
 
     def totals(self) -> DataFrame:
-        """One row for each line hash over all runs."""
-        return summed(self.rows())
-
-
-def summed(rows: DataFrame, *more: Column) -> DataFrame:
+        """One row for each line hash: its run's, and what was counted again."""
+        first, again = self.rows(), self._read(self.again)
+        if again is None:
+            return first
+        more = summed(again).select(
+            *KEY, F.col("n_docs").alias("_more"), F.col("last_doc").alias("_later"))
+        return first.join(more, KEY, "left").select(
+            *KEY, (F.col("n_docs") + F.coalesce("_more", F.lit(0))).alias("n_docs"),
+            F.greatest("last_doc", "_later").alias("last_doc"))
+
+
+def summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(
-        F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), *more)
+        F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
 
 def line_key(line: Column) -> Column:

@@ -123,6 +123,18 @@ def test_runs_are_compacted_and_tell_new_lines(spark):
     assert [r["_h1"] for r in runs.unseen(batch((1, 9), (5, 9))).collect()] == [5]
 
 
+def test_a_line_is_in_one_run(spark):
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    batches = [[(1, 1), (2, None)], [(1, 2), (3, 2)], [(1, 3), (2, 3), (4, 3)], [(4, 4)], [(3, 1), (1, None)]]
+    for ids in batches:
+        runs.add(spark.createDataFrame(
+            [(k, k, i) for k, i in ids], "_h1 long, _h2 long, doc_id long"))
+        held = [r["_h1"] for r in runs.rows().collect()]
+        assert len(held) == len(set(held))
+    got = {r["_h1"]: (r["n_docs"], r["last_doc"]) for r in runs.totals().collect()}
+    assert got == {1: (4, 3), 2: (2, 3), 3: (2, 2), 4: (2, 4)}
+
+
 def test_decontamination(odd, none, benchmark):
     got = {(r["row"]["doc_id"], r["row"]["text"]): r
            for r in decontaminate.contamination(odd, benchmark).collect()}
