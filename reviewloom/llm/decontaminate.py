@@ -1,12 +1,13 @@
 """Benchmark passages in documents, by a positional inverted index.
 
+Exact windows decide what is contaminated; ``proximity`` tells what is near.
 Null texts have no words. Rows that share doc_id and text are one document and
 get the same result. An item without words has no windows. Items whose item_id is
 null hit as any other, and count together as one item. Extra columns are
 ignored. Words are compared by 64-bit hashes, thirteen of them at a time.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.llm.common import GAP, lower_ascii, parts, same, small, text_hash
 from reviewloom.session import staged
@@ -145,6 +146,77 @@ def occurrences(
     )
 
 
+def near_terms(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
+    """(item, item_id, terms): the three rarest different terms of each window, sorted.
+
+    Of those that some document holds; a window of fewer terms has them all. A
+    window of which documents hold fewer is left out. Equal sets of an item are one.
+    """
+    size = F.least(F.size("tokens"), F.lit(window))
+    starts = F.sequence(F.lit(0), F.size("tokens") - size)
+    placed = (
+        items.select("item", "item_id", "tokens", size.alias("_size"), F.explode(starts).alias("_start"))
+        .select("item", "item_id", "_start", F.array_distinct(
+            F.slice("tokens", F.col("_start") + 1, F.col("_size"))).alias("_w"))
+        .select("item", "item_id", "_start", F.least(F.size("_w"), F.lit(3)).alias("_n"),
+                F.explode("_w").alias("term"))
+    )
+    return (
+        placed.join(frequency, "term")
+        .groupBy("item", "item_id", "_start", "_n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "term"))).alias("_t"))
+        .where(F.size("_t") >= F.col("_n"))
+        .select("item", "item_id", F.sort_array(
+            F.transform(F.slice("_t", F.lit(1), F.col("_n")), lambda t: t["term"])).alias("terms"))
+        .distinct()
+    )
+
+
+def proximity(
+    docs: DataFrame, benchmark: DataFrame, window: int = 13, distance: int = 26,
+) -> DataFrame:
+    """(doc_id, _th, item_id, n_sets, n_near, start, stop): items that a document comes near to.
+
+    An item has ``n_sets`` sets of rarest terms, one for each window, equal ones
+    once. Of these, ``n_near`` stand in the document, in any order, within
+    ``distance`` words; the closest is from word ``start`` to ``stop``, which isn't
+    in it. One row for each document and benchmark text with any. An exact
+    occurrence is near as well, if ``distance`` is at least ``window``. A document
+    that lacks a rarest term of every window isn't near, whatever else it shares.
+    """
+    items = staged(benchmark_items(benchmark))
+    frequency = staged(document_frequency(
+        docs, items.select(F.explode("tokens").alias("term")).distinct()))
+    sets = staged(near_terms(items, frequency, window))
+    wanted = sets.select("terms").distinct().select("terms", F.explode("terms").alias("term"))
+    index = postings(docs, wanted.select("term").distinct()).distinct()
+    # Where each term of a set stood last, so that a long document is read once.
+    so_far = Window.partitionBy("doc_id", "_th", "terms").orderBy("pos").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    last = [
+        F.max(F.when(F.col("term") == F.coalesce(F.get("terms", F.lit(i)), F.get("terms", F.lit(0))),
+                     F.col("pos"))).over(so_far).alias(f"p{i}")
+        for i in range(3)]
+    spans = (
+        index.join(small(wanted), "term")
+        .select("doc_id", "_th", "terms", F.col("pos"), *last)
+        .where("p0 IS NOT NULL AND p1 IS NOT NULL AND p2 IS NOT NULL")
+        .select("doc_id", "_th", "terms", F.least("p0", "p1", "p2").alias("start"),
+                (F.col("pos") + 1).alias("stop"))
+        .where(F.col("stop") - F.col("start") <= distance)
+        .groupBy("doc_id", "_th", "terms")
+        .agg(F.min(F.struct((F.col("stop") - F.col("start")).alias("size"), "start", "stop")).alias("_s"))
+    )
+    number = sets.groupBy("item").agg(F.count("*").alias("n_sets"))
+    return (
+        spans.join(small(sets), "terms")
+        .groupBy("doc_id", "_th", "item", "item_id")
+        .agg(F.count("*").alias("n_near"), F.min("_s").alias("_s"))
+        .join(small(number), "item")
+        .select("doc_id", "_th", "item_id", "n_sets", "n_near", "_s.start", "_s.stop")
+    )
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """(row, n_words, n_hit, items): every row of ``docs`` with what hits it.
 

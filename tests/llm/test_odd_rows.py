@@ -167,6 +167,26 @@ def test_items_without_ids_hit(spark):
     assert sorted(tuple(r) for r in query.collect()) == want
 
 
+def test_changed_passages_are_near(spark, odd, none, benchmark):
+    passage = PROSE.split()
+    every = " ".join("new" if i % 6 == 5 else w for i, w in enumerate(passage))
+    apart = f"{' pad' * 30} ".join(every.split())
+    docs = spark.createDataFrame(
+        [(2, every), (2, every), (3, apart), (4, " ".join(every.split()[::-1])), (None, every),
+         (5, "z y x"), (6, "x y"), (7, None)], "doc_id long, text string")
+    items = spark.createDataFrame(
+        [(1, PROSE), (None, "x y z"), (3, "absent x")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontaminate.proximity(docs, items).collect()}
+    assert set(got) == {(2, 1), (None, 1), (4, 1), (5, None)}
+    assert got[2, 1]["n_near"] == got[4, 1]["n_near"] == got[2, 1]["n_sets"] > 1
+    assert tuple(got[5, None])[3:] == (1, 1, 0, 3)
+    assert decontaminate.query(docs, items).agg(F.sum("n_hit")).first()[0] == 0
+    near = plain(decontaminate.proximity(odd, benchmark), "doc_id", "_th", "item_id")
+    exact = plain(decontaminate.occurrences(odd, benchmark), "doc_id", "_th", "item_id")
+    assert max(near.values()) == 1 and set(exact) <= set(near)
+    assert decontaminate.proximity(none, benchmark).count() == 0
+
+
 def test_repeats(odd, none):
     got = repeats.remove_repeats(odd).collect()
     assert len(got) == odd.count()
