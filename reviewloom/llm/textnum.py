@@ -1,5 +1,6 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes."""
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,3 +105,34 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     value, rows = value[order], rows[order]
     new = np.append(True, (value[1:] != value[:-1]) | (rows[1:] != rows[:-1]))
     return rows[new], value[new]
+
+
+#: Bytes as they are, for words whose case counts.
+AS_IS = np.arange(256, dtype=np.uint8)
+
+
+def joined_digests(words: Words, chosen: np.ndarray, counts: np.ndarray, piece: int = 1 << 18) -> list[str]:
+    """The SHA-256 of each row's ``chosen`` words joined by one space.
+
+    ``counts`` tells how many of ``chosen`` (numbers of words, in order) each row
+    has. Bytes are laid out for ``piece`` words at once.
+    """
+    digests = [hashlib.sha256() for _ in counts]
+    ends = np.cumsum(counts)
+    for low in range(0, len(chosen), piece):
+        some = chosen[low:low + piece]
+        sizes = words.sizes[some] + 1
+        stops = np.cumsum(sizes)
+        out = words.buffer[np.arange(int(stops[-1])) + np.repeat(words.starts[some] - (stops - sizes), sizes)]
+        out[stops - 1] = 32
+        row = int(np.searchsorted(ends, low, side="right"))
+        at, high = low, low + len(some)
+        while at < high:
+            until = min(int(ends[row]), high)
+            begin = int(stops[at - low - 1]) if at > low else 0
+            stop = int(stops[until - low - 1]) - (until == ends[row])  # none after the last word
+            if until > at:
+                digests[row].update(out[begin:stop])
+            at = until
+            row += 1
+    return [d.hexdigest() for d in digests]
