@@ -1,8 +1,8 @@
 """The registered queries of this subpackage, and their SQL."""
 
 from reviewloom.llm import (
-    chat, decontaminate, licenses, line_dedup, mixing, ngram_join, periodic, quality, quality_rules,
-    repeats, secrets,
+    chat, decontaminate, licenses, line_dedup, mixing, ngram_join, periodic, prefix_trie, quality,
+    quality_rules, repeats, secrets,
 )
 from reviewloom.llm.common import table
 
@@ -47,6 +47,10 @@ def op10_decontamination(spark, folder):
     return decontaminate.query(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op11_prefix_trie(spark, folder):
+    return prefix_trie.query(table(spark, folder, "conversations"))
+
+
 def op13_periodic_runs(spark, folder):
     return periodic.query(table(spark, folder, "documents"))
 
@@ -55,7 +59,8 @@ QUERIES = {
     f.__name__: f for f in (
         op1_mix_sources, op2_ngram_jaccard_join, op3_quality_classifier, op4_secret_scan,
         op5_quality_rules, op6_line_dedup, op7_chat_format, op8_repeated_strings,
-        op9_license_scan, op10_decontamination, op13_periodic_runs)
+        op9_license_scan, op10_decontamination, op11_prefix_trie,
+        op13_periodic_runs)
 }
 
 ORACLE = {
@@ -64,4 +69,5 @@ ORACLE = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
 }
