@@ -2,7 +2,7 @@
 
 from reviewloom.llm import (
     chat, decontaminate, licenses, line_dedup, mixing, ngram_join, periodic, prefix_trie, quality,
-    quality_rules, repeats, secrets,
+    quality_rules, recompress, repeats, secrets,
 )
 from reviewloom.llm.common import table
 
@@ -51,6 +51,10 @@ def op11_prefix_trie(spark, folder):
     return prefix_trie.query(table(spark, folder, "conversations"))
 
 
+def op12_substring_dedup(spark, folder):
+    return recompress.query(table(spark, folder, "documents"))
+
+
 def op13_periodic_runs(spark, folder):
     return periodic.query(table(spark, folder, "documents"))
 
@@ -60,7 +64,7 @@ QUERIES = {
         op1_mix_sources, op2_ngram_jaccard_join, op3_quality_classifier, op4_secret_scan,
         op5_quality_rules, op6_line_dedup, op7_chat_format, op8_repeated_strings,
         op9_license_scan, op10_decontamination, op11_prefix_trie,
-        op13_periodic_runs)
+        op12_substring_dedup, op13_periodic_runs)
 }
 
 ORACLE = {
@@ -70,4 +74,5 @@ ORACLE = {
     "op7_chat_format": chat.ORACLE,
     "op10_decontamination": decontaminate.ORACLE,
     "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_substring_dedup": recompress.ORACLE,
 }
