@@ -10,7 +10,7 @@ from reviewloom.operators.filters import drop_block_pages
 from reviewloom.operators.frequency import ingest_counts, running_total
 from reviewloom.operators.notes import parse_notes
 from reviewloom.operators.profiles import PROFILES, Profile
-from reviewloom.sources.store import BATCHES, append_reviews, next_batch, read_store
+from reviewloom.sources.store import BATCHES, append_reviews, next_batch, stored_rows
 from reviewloom.sources.writers import write_metrics
 
 # Arrival order: which source, which page of it, which place on the page.
@@ -87,7 +87,7 @@ def ingest(
     if notes is not None:
         candidates = note_candidates(notes).unionByName(candidates)
     if batch is None:
-        batch = next_batch(read_store(pages.sparkSession, store_path))
+        batch = next_batch(pages.sparkSession, store_path)
     added = append_reviews(candidates, store_path, batch, ORDER, language_profiles)
     if metrics_path:
         log_added(added, store_path, metrics_path, batch)
@@ -98,7 +98,7 @@ def log_added(
     added: DataFrame, store_path: str, metrics_path: str, batch: int, writer: str = BATCHES,
 ) -> None:
     """Reviews added per source, and the size of the table after each source."""
-    before = read_store(added.sparkSession, store_path).count() - added.count()
+    before = stored_rows(added.sparkSession, store_path, but=(writer, batch))
     counts = running_total(ingest_counts(added), ["platform", "region", "host_name"])
     write_metrics(
         counts.withColumn("total", F.col("total") + F.lit(before)), metrics_path, batch, writer)

@@ -1,25 +1,31 @@
-"""The stored review table: append-only Parquet, one folder per writer and batch.
+"""The stored review table: Parquet, one folder per writer and batch, merged by and by.
 
 A folder is replaced as a whole, so a batch that is run again after a failure
 leaves one copy of its rows. Every writer numbers its own batches; the rows of
 all other folders count as stored. Writers take turns: a lock file names the
-one at work.
+one at work. Before a batch is added, a writer's folders are merged where there
+are many (:mod:`reviewloom.sources.folders`). A batch that was merged stays as it
+is: given again, it adds nothing.
 """
 
 from collections.abc import Iterator
 from contextlib import contextmanager
 from hashlib import sha256
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewloom.operators.dedup import assign_ids, dedup_first, only_new, with_keys
 from reviewloom.operators.reviews import build_reviews
-from reviewloom.schema import COLUMNS, KEY_COLUMNS, STORE_SCHEMA
+from reviewloom.schema import COLUMNS, KEY_COLUMNS
 from reviewloom.session import own_scratch, staged
+from reviewloom.sources.folders import (
+    FAN, Folder, bucketed, compact, files_of, folders, held_by, key_of, observed, rows_of, write_note,
+)
 
 #: Writers other than streams, which are named after their checkpoints.
 BATCHES, IMPORTS = "batches", "imports"
+#: Up to as many keys of a batch are named in the filter of the stored ones.
+NAMED_KEYS = 1000
 
 
 def stream_writer(checkpoint: str) -> str:
@@ -28,23 +34,30 @@ def stream_writer(checkpoint: str) -> str:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored reviews, with their keys, writer and batch; empty where none exist."""
-    try:
-        return spark.read.schema(STORE_SCHEMA).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STORE_SCHEMA)
+    """The stored reviews, with their keys, writer and batch; empty where none exist.
+
+    The folders are those of now: read the store again once it has been added to.
+    """
+    return rows_of(spark, path, folders(spark, path))
 
 
-def next_batch(store: DataFrame, writer: str = BATCHES) -> int:
-    last = store.where(F.col("writer") == writer).agg(F.max("batch")).first()[0]
-    return 0 if last is None else last + 1
+def read_batch(spark: SparkSession, path: str, writer: str, batch: int) -> DataFrame:
+    """The reviews that one batch has added."""
+    held = [f for f in folders(spark, path) if f.writer == writer and f.holds(batch)]
+    return rows_of(spark, path, held).where(F.col("batch") == batch)
 
 
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+def next_batch(spark: SparkSession, path: str, writer: str = BATCHES) -> int:
+    return max((f.batches[-1][1] + 1 for f in folders(spark, path) if f.writer == writer), default=0)
+
+
+def stored_rows(spark: SparkSession, path: str, but: tuple[str, int] | None = None) -> int:
+    """How many reviews are stored, but those of one batch; reads no reviews.
+
+    Every folder's number was noted as it was written.
+    """
+    return sum(f.rows for f in folders(spark, path)
+               if not (but and f.writer == but[0] and f.level == 0 and f.holds(but[1])))
 
 
 @contextmanager
@@ -53,7 +66,7 @@ def locked(spark: SparkSession, path: str, writer: str) -> Iterator[None]:
 
     A writer that was ended at work finds its own lock and goes on.
     """
-    files, lock = _files(spark, f"{path}/_lock/{writer}")
+    files, lock = files_of(spark, f"{path}/_lock/{writer}")
     folder = lock.getParent()
     if files.exists(folder):
         others = [f.getPath().getName() for f in files.listStatus(folder)]
@@ -70,14 +83,43 @@ def locked(spark: SparkSession, path: str, writer: str) -> Iterator[None]:
 
 
 def is_written(spark: SparkSession, path: str, writer: str, batch: int) -> bool:
-    """Whether the folder of a batch is there as a whole."""
-    files, mark = _files(spark, f"{path}/writer={writer}/batch={batch}/_SUCCESS")
-    return files.exists(mark)
+    """Whether a batch is there as a whole, in its folder or in a merged one."""
+    return any(f.writer == writer and f.holds(batch) for f in folders(spark, path))
+
+
+def _known_keys(first: DataFrame, path: str, held: list[Folder], named: int = NAMED_KEYS) -> DataFrame:
+    """The keys of ``first`` (one row each) that are in some of the folders.
+
+    Merged folders are bucketed by the key, so their keys are met where they are:
+    the new ones go to the buckets, and no stored one is shuffled. Where the new
+    ones are few, buckets that can't hold any of them aren't read.
+    """
+    spark = first.sparkSession
+    single, merged = [f for f in held if not f.level], [f for f in held if f.level]
+    known = rows_of(spark, path, single).select(*KEY_COLUMNS).join(
+        first.select(*KEY_COLUMNS), KEY_COLUMNS, "left_semi").distinct()
+    if not merged:
+        return known
+    keys = first.select(key_of().alias("k"))
+    some = [r["k"] for r in keys.limit(named + 1).collect()]
+    stored = bucketed(spark, path, merged).select("k", *KEY_COLUMNS)
+    if len(some) <= named:
+        stored = stored.where(F.col("k").isin(some))
+    return known.unionByName(
+        stored.join(keys, "k", "left_semi").select(*KEY_COLUMNS).distinct())
+
+
+def _write_batch(reviews: DataFrame, path: str, writer: str, batch: int) -> None:
+    """Write a folder and note what it holds, as seen by the write itself."""
+    folder = f"{path}/writer={writer}/batch={batch}"
+    rows, seen = observed(reviews.select(*COLUMNS, *KEY_COLUMNS))
+    rows.write.mode("overwrite").parquet(folder)
+    write_note(reviews.sparkSession, folder, held_by(seen))
 
 
 def append_reviews(
     candidates: DataFrame, path: str, batch: int, order: list[str],
-    profiles: dict[str, list[str]] | None = None, writer: str = BATCHES,
+    profiles: dict[str, list[str]] | None = None, writer: str = BATCHES, fan: int = FAN,
 ) -> DataFrame:
     """Add the candidates nobody has stored yet, and return what was added.
 
@@ -85,20 +127,24 @@ def append_reviews(
     are written once ahead of that and once at the end. Language, country and
     occasion are worked out for new reviews only. Of reviews with one key and
     one place in the order any may stay. Rows of the same batch of the
-    same writer are replaced. Ids go on from the highest one in other folders.
+    same writer are replaced, unless that batch was merged. Ids go on from the
+    highest one in other folders.
     """
     spark = candidates.sparkSession
-    own = (F.col("writer") == writer) & (F.col("batch") == batch)
     with locked(spark, path, writer), own_scratch(spark):
-        stored = read_store(spark, path).where(~own)
+        compact(spark, path, fan)
+        held = folders(spark, path)
+        if any(f.level and f.writer == writer and f.holds(batch) for f in held):
+            return read_batch(spark, path, writer, batch)
+        held = [f for f in held if f.writer != writer or not f.holds(batch)]
         rows = staged(with_keys(candidates).withColumn("_row", F.monotonically_increasing_id()))
-        first = dedup_first(rows.select(*KEY_COLUMNS, *order, "_row"), [*order, "_row"])
-        last = stored.agg(F.max("id")).first()[0] or 0
-        ids = assign_ids(only_new(first, stored), order, last).select("_row", "id")
+        first = staged(dedup_first(rows.select(*KEY_COLUMNS, *order, "_row"), [*order, "_row"]))
+        fresh = only_new(first, _known_keys(first, path, held))
+        last = max((f.last_id for f in held), default=0)
+        ids = assign_ids(fresh, order, last).select("_row", "id")
         new = rows.drop("id").join(ids, "_row")
-        reviews = build_reviews(new, profiles, keep=KEY_COLUMNS).select(*COLUMNS, *KEY_COLUMNS)
-        reviews.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch}")
-    return read_store(spark, path).where(own)
+        _write_batch(build_reviews(new, profiles, keep=KEY_COLUMNS), path, writer, batch)
+    return read_batch(spark, path, writer, batch)
 
 
 def import_reviews(reviews: DataFrame, path: str) -> DataFrame:
@@ -110,8 +156,7 @@ def import_reviews(reviews: DataFrame, path: str) -> DataFrame:
     """
     spark = reviews.sparkSession
     with locked(spark, path, IMPORTS):
-        if not read_store(spark, path).isEmpty():
+        if any(f.rows for f in folders(spark, path)):
             raise ValueError("saved reviews can only be put into an empty store")
-        with_keys(reviews.select(*COLUMNS)).write.mode("overwrite").parquet(
-            f"{path}/writer={IMPORTS}/batch=0")
+        _write_batch(with_keys(reviews.select(*COLUMNS)), path, IMPORTS, 0)
     return read_store(spark, path)

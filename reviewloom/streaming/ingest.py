@@ -2,14 +2,15 @@
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from reviewloom.operators.dedup import with_keys
 from reviewloom.plans.ingest import ORDER, log_added, page_candidates
 from reviewloom.schema import KEY_COLUMNS, PAGE_SCHEMA
-from reviewloom.sources.store import append_reviews, is_written, read_store, stream_writer
+from reviewloom.sources.folders import FAN
+from reviewloom.sources.store import append_reviews, is_written, read_batch, stream_writer
 
 
 def read_arrivals(
@@ -26,7 +27,7 @@ def store_stream(
     arrivals: DataFrame, candidates_of: Callable[[DataFrame], DataFrame],
     store_path: str, checkpoint: str, order: Sequence[str] = tuple(ORDER),
     language_profiles: Mapping[str, Sequence[str]] | None = None,
-    metrics_path: str | None = None,
+    metrics_path: str | None = None, fan: int = FAN,
 ) -> StreamingQuery:
     """Store the new reviews of every micro-batch and stop when all is read.
 
@@ -34,18 +35,18 @@ def store_stream(
     batch. What was seen before is looked up in the stored table, so the query
     holds no state that grows. The checkpoint and the batch number name the
     folder that is written, so no other writer's rows are replaced. A batch that
-    comes again after a failure is stored if it wasn't as a whole.
+    comes again after a failure is stored if it wasn't as a whole. ``fan`` folders
+    of the stream are merged into one, as often as there are so many.
     """
     writer = stream_writer(checkpoint)
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         if is_written(spark, store_path, writer, number):
-            own = (F.col("writer") == writer) & (F.col("batch") == number)
-            added = read_store(spark, store_path).where(own)
+            added = read_batch(spark, store_path, writer, number)
         else:
             added = append_reviews(
-                candidates_of(batch), store_path, number, list(order), language_profiles, writer)
+                candidates_of(batch), store_path, number, list(order), language_profiles, writer, fan)
         if metrics_path:
             log_added(added, store_path, metrics_path, number, writer)
 
