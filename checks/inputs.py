@@ -215,6 +215,25 @@ def block_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         block_html(F.col("profile")).alias("html"))
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three reviews to a page, the second one's element within the first one's."""
+    inside = F.concat(
+        _tag('h3 class="name"', _escaped(F.col("reviewer_name"))),
+        _tag('p class="body"', _escaped(F.col("review_text"))))
+    three = raw_reviews(spark, sf_dir).select(
+        F.floor(F.col("seq") / 3).alias("page_id"), F.struct("seq", inside.alias("inside")).alias("r"),
+    ).groupBy("page_id").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    opening, closing = '<div class="x ReviewCard">', F.lit("</div>")
+
+    def block(i: int, *within: Column) -> Column:
+        given = F.get("r", F.lit(i))["inside"]
+        return F.coalesce(F.concat(F.lit(opening), given, *within, closing), F.lit(""))
+
+    return three.select(
+        "page_id", F.lit("cesarine").alias("profile"),
+        _html(block(0, block(1)), block(2)).alias("html"))
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing of every derived page; all are read with one profile."""
     return raw_reviews(spark, sf_dir).select(

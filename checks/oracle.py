@@ -162,6 +162,25 @@ best AS (SELECT conv_id, turn, lang FROM (SELECT *, row_number() OVER (
  PARTITION BY conv_id, turn ORDER BY hits DESC, lang) AS r FROM scores) WHERE r = 1)"""
 
 
+RANKED = PROFILE_ROWS + ", " + _trigrams("t", "conv_id, turn", "conversations") + """,
+ranked AS (SELECT conv_id, turn, gram, row_number() OVER (
+ PARTITION BY conv_id, turn ORDER BY count(*) DESC, gram) AS place FROM t GROUP BY conv_id, turn, gram),
+own AS (SELECT * FROM ranked WHERE place <= 300),
+far AS (SELECT o.conv_id, o.turn, p.lang, sum(coalesce(abs(o.place - q.place), 300)) AS distance,
+  count(q.gram) AS shared
+ FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profile) p
+ LEFT JOIN profile q ON q.lang = p.lang AND q.gram = o.gram GROUP BY ALL),
+best AS (SELECT conv_id, turn, lang FROM (SELECT *, row_number() OVER (
+ PARTITION BY conv_id, turn ORDER BY distance, lang) AS r FROM far WHERE shared > 0) WHERE r = 1)"""
+RAW_LANGUAGES = f"{RAW}, " + PROFILE_ROWS + ", " + _trigrams(
+    "t", "seq", "(SELECT seq, review_text AS text FROM raw)") + f""",
+scores AS (SELECT seq, lang, count(*) AS hits FROM t JOIN profile USING (gram) GROUP BY ALL),
+best AS (SELECT seq, lang FROM (SELECT *, row_number() OVER (
+ PARTITION BY seq ORDER BY hits DESC, lang) AS r FROM scores) WHERE r = 1),
+told AS (SELECT raw.* EXCLUDE (language), CASE WHEN lang IS NULL THEN 'EN' ELSE {_LANG} END AS language
+ FROM raw LEFT JOIN best USING (seq))"""
+
+
 # Sources and keys
 SOURCES = f"""{RAW}, sources AS (
  SELECT 0 AS source_priority, seq AS page_id, 0 AS pos, platform, reviewer_name, review_text, url
@@ -428,4 +447,53 @@ ORACLE = {
         "SELECT 5::BIGINT AS max_pages, url, host_name, seq % 3 AS source_priority, city, region, "
         "'Cesarine' AS platform, 'site' AS profile FROM raw"),
 }
+ORACLE |= {
+    "stream_first_wins": ORACLE["dedup_first"],
+    "report_of_batches": ORACLE["summary_report"],
+    "report_json": ORACLE["summary_report"],
+    # Seven batches, of which the first six are merged by threes.
+    "store_compacted": with_raw(
+        "SELECT k_name, k_text, row_number() OVER (ORDER BY batch, seq) AS id, batch, 3 AS folders, "
+        "count(*) OVER () AS noted FROM (SELECT k_name, k_text, min(seq % 7) AS batch, "
+        f"arg_min(seq, (seq % 7, seq)) AS seq FROM (SELECT seq, {keys()} FROM raw) GROUP BY ALL)"),
+    "ingest_totals": with_raw(
+        "SELECT *, CAST(sum(n) OVER (ORDER BY batch, platform, region, host_name) AS BIGINT) AS total, "
+        "true AS logged_now FROM (SELECT seq % 3 AS batch, platform, region, host_name, count(*) AS n "
+        f"FROM (SELECT *, {keys()} FROM raw QUALIFY row_number() OVER (PARTITION BY k_name, k_text "
+        "ORDER BY seq % 3, seq) = 1) GROUP BY ALL)"),
+    "merged_figures": with_reviews(
+        "SELECT min(date) FILTER (date <> '') AS first_date, max(date) FILTER (date <> '') AS last_date, "
+        "round(avg(rating), 2) AS rating_mean, count(rating) AS rating_count, true AS one_median "
+        "FROM reviews"),
+    "pages_from_files": "SELECT html, NULL::VARCHAR AS error FROM pages WHERE html <> ''",
+    "ingest_note_files": with_raw(f"SELECT DISTINCT 'Блог' AS platform, {keys()} FROM notes", NOTES),
+    "build_reviews_languages":
+        f"WITH {RAW_LANGUAGES} SELECT url, language, {occasion('review_text')} AS occasion FROM told",
+    "store_languages_stream":
+        f"WITH {RAW_LANGUAGES} SELECT language, count(*) AS n FROM (SELECT *, {keys()} FROM told "
+        "QUALIFY row_number() OVER (PARTITION BY k_name, k_text ORDER BY seq % 2, seq) = 1) "
+        "GROUP BY language",
+    "detect_languages_by_rank":
+        f"WITH {RANKED} SELECT conv_id, CAST(turn AS BIGINT) AS turn, "
+        f"CASE WHEN lang IS NULL THEN 'EN' ELSE {_LANG} END AS language "
+        "FROM conversations LEFT JOIN best USING (conv_id, turn)",
+    "first_indexed_terms":
+        "WITH entries AS (SELECT DISTINCT needle FROM (SELECT unnest(regexp_extract_all(lower(text), "
+        "'\\p{L}+')) AS needle FROM conversations) WHERE length(needle) >= 9) "
+        "SELECT doc_id, upper(arg_min(needle, (-length(needle), needle))) AS label "
+        f"FROM (SELECT doc_id, {strip('lower(text)')} AS low FROM documents) JOIN entries "
+        "ON contains(low, needle) GROUP BY doc_id",
+    "unknown_names": with_raw(
+        "SELECT seq, CASE WHEN seq % 3 = 1 THEN coalesce(nullif(reviewer_name, ''), 'Unknown') "
+        "ELSE 'Unknown' END AS either, CASE seq % 3 WHEN 0 THEN '' WHEN 1 THEN "
+        "coalesce(reviewer_name, 'Unknown') ELSE 'Unknown' END AS missing FROM raw"),
+    "places_in_source":
+        "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) "
+        "AS place FROM documents QUALIFY place <= 5000",
+    "mixed_pages_without_reviews": with_raw(
+        "SELECT seq AS page_id, url FROM shown WHERE seq NOT IN (SELECT seq FROM found)", CASCADE),
+    "extract_several_blocks": with_raw(
+        "SELECT seq // 3 AS page_id, row_number() OVER (PARTITION BY seq // 3 ORDER BY seq) - 1 AS pos, "
+        f"reviewer_name, body AS review_text FROM {TEXT} WHERE {ENOUGH}"),
+}
 ORACLE["import_saved_reviews"] = ORACLE["merge_new"]

@@ -9,15 +9,17 @@ from reviewloom.functions.dates import parse_date
 from reviewloom.functions.enrichment import (
     detect_language, detect_occasion, infer_country, normalise_language,
 )
-from reviewloom.functions.text import clean_text, page_title, word_count
+from reviewloom.functions.text import clean_text, or_unknown, page_title, word_count
 from reviewloom.lookups import CITY_COUNTRY
 from reviewloom.operators import (
     dedup, extract, filters, frequency, frontier, language, lookup, notes, phrases, reviews,
 )
-from reviewloom.plans import ingest, report
+from reviewloom.operators.skew import ranked_within
+from reviewloom.plans import ingest, partials, report
 from reviewloom.schema import COLUMNS
-from reviewloom.session import scratch_dir, tune
-from reviewloom.sources import readers, store, writers
+from reviewloom.session import scratch_dir, staged, tune
+from reviewloom.sources import folders, readers, store, writers
+from reviewloom.streaming.first import first_in_order, read_first, settle_first, write_first
 from reviewloom.streaming.ingest import read_arrivals, store_stream, stream_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +243,70 @@ def build_reviews(spark, sf_dir):
     return reviews.build_reviews(inputs.raw_reviews(spark, sf_dir)).drop("id")
 
 
+@query
+def build_reviews_languages(spark, sf_dir):
+    """Reviews whose language is detected by profiles of the documents."""
+    profiles = language.collect_profiles(
+        language.train_language_profiles(inputs.documents(spark, sf_dir)))
+    return reviews.build_reviews(inputs.raw_reviews(spark, sf_dir), profiles).select(
+        "url", "language", "occasion")
+
+
+@query
+def store_languages_stream(spark, sf_dir):
+    """Detected languages as they stand in the store, by batch and by stream."""
+    target = scratch_dir(spark)
+    profiles = language.collect_profiles(
+        language.train_language_profiles(inputs.documents(spark, sf_dir)))
+    rows = inputs.raw_reviews(spark, sf_dir).drop("language").withColumn("page_id", F.col("seq"))
+    store.append_reviews(
+        rows.where("seq % 2 = 0"), f"{target}/reviews", 0, ["page_id"], profiles)
+    rows.where("seq % 2 = 1").write.parquet(f"{target}/arrivals")
+    store_stream(
+        read_arrivals(spark, f"{target}/arrivals", rows.schema, 10_000), lambda batch: batch,
+        f"{target}/reviews", f"{target}/checkpoint", order=["page_id"],
+        language_profiles=profiles).awaitTermination()
+    return store.read_store(spark, f"{target}/reviews").groupBy("language").agg(F.count("*").alias("n"))
+
+
+@query
+def detect_languages_by_rank(spark, sf_dir):
+    """Languages of the turns by how far their trigrams are out of place."""
+    profiles = language.train_language_profiles(inputs.documents(spark, sf_dir))
+    turns = inputs.conversations(spark, sf_dir).withColumn("key", F.struct("conv_id", "turn"))
+    found = language.detect_by_rank(turns, "key", staged(profiles))
+    return found.select(
+        "key.conv_id", F.col("key.turn").cast("long").alias("turn"), "language")
+
+
+@query
+def first_indexed_terms(spark, sf_dir):
+    """All longer words of the conversations as a dictionary, looked up in whole documents."""
+    words = inputs.conversations(spark, sf_dir).select(
+        F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("needle"))
+    entries = words.where("length(needle) >= 9").distinct().select(
+        F.struct(-F.length("needle"), "needle").alias("ord"), "needle", F.upper("needle").alias("label"))
+    return lookup.first_indexed(
+        inputs.documents(spark, sf_dir), "doc_id", "text", staged(entries))
+
+
+@query
+def unknown_names(spark, sf_dir):
+    """Names of which some are empty and some missing, by both rules."""
+    name = F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, F.col("reviewer_name"))
+    return inputs.raw_reviews(spark, sf_dir).select(
+        "seq", or_unknown(name).alias("either"), or_unknown(name, empty_too=False).alias("missing"))
+
+
+@query
+def places_in_source(spark, sf_dir):
+    """The place of each document in its source by length, for sources of any size."""
+    return ranked_within(
+        inputs.documents(spark, sf_dir).select("doc_id", "source", "n_chars"), ["source"],
+        [F.desc("n_chars"), F.asc("doc_id")]).where("place <= 5000").select(
+            "source", "doc_id", F.col("place").cast("long").alias("place"))
+
+
 # Deduplication, merging, ids
 
 @query
@@ -349,6 +415,21 @@ def pages_without_reviews(spark, sf_dir):
     return extract.pages_without_reviews(extract.extract_reviews(pages))
 
 
+@query
+def mixed_pages_without_reviews(spark, sf_dir):
+    """Those of the derived pages on which nothing is found; most have a review."""
+    listed = lookup.attach_listing(inputs.mixed_pages(spark, sf_dir), inputs.listings(spark, sf_dir))
+    return extract.pages_without_reviews(extract.extract_reviews(listed)).select("page_id", "url")
+
+
+@query
+def extract_several_blocks(spark, sf_dir):
+    """Pages of three reviews each, the second within the first one's element."""
+    pages = inputs.nested_pages(spark, sf_dir)
+    found = extract.extract_blocks(pages)
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), "reviewer_name", "review_text")
+
+
 @query
 def parse_notes(spark, sf_dir):
     found = notes.parse_notes(inputs.note_files(spark, sf_dir))
@@ -418,22 +499,115 @@ def store_documents_stream(spark, sf_dir):
         "id", "platform", "reviewer_name", "reviewer_country", "rating", "date", "review_text")
 
 
+def _arrivals(spark, rows, target, slices):
+    """``rows`` as files that arrive in several slices, by ``seq``; the last numbers come first."""
+    for rest in reversed(range(slices)):
+        rows.where(F.col("seq") % slices == rest).write.mode("append").parquet(f"{target}/arrivals")
+    return read_arrivals(spark, f"{target}/arrivals", rows.schema, files_per_batch=8)
+
+
 @query
 def stream_distinct_keys(spark, sf_dir):
+    """Keys of documents that arrive in several micro-batches, copies among them."""
     target = scratch_dir(spark)
-    source = f"{sf_dir}/documents*.parquet"
-    arrivals = read_arrivals(spark, source, spark.read.parquet(source).schema).select(
-        F.col("source").alias("reviewer_name"), inputs.raw_columns()["review_text"].alias("review_text"),
-        F.timestamp_seconds(F.col("doc_id") + 86_400).alias("arrived"))
-    (
-        stream_dedup(arrivals, "arrived", "36500 days").select("k_name", "k_text")
-        .writeStream.format("parquet").outputMode("append")
-        .option("checkpointLocation", f"{target}/checkpoint").option("path", f"{target}/keys")
-        .trigger(availableNow=True).start().awaitTermination()
-    )
+    rows = inputs.raw_reviews(spark, sf_dir).select(
+        "seq", "reviewer_name", "review_text", F.timestamp_seconds(F.col("seq") + 86_400).alias("arrived"))
+    arrivals = _arrivals(spark, rows, target, 3)
+    for _ in range(2):  # the second start finds nothing new
+        (
+            stream_dedup(arrivals, "arrived", "36500 days").select("k_name", "k_text")
+            .writeStream.format("parquet").outputMode("append")
+            .option("checkpointLocation", f"{target}/checkpoint").option("path", f"{target}/keys")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
     return spark.read.parquet(f"{target}/keys")
 
 
+@query
+def stream_first_wins(spark, sf_dir):
+    """The first review of each key, most of which arrive behind their copies.
+
+    Half of the files are there when the stream starts, the others when it starts again.
+    """
+    target = scratch_dir(spark)
+    rows = inputs.raw_reviews(spark, sf_dir).withColumn(
+        "arrived", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("seq") % 4 * 3600))
+    for part in ((3, 2), (1, 0)):
+        for rest in part:
+            rows.where(F.col("seq") % 4 == rest).write.mode("append").parquet(f"{target}/arrivals")
+        arrivals = read_arrivals(spark, f"{target}/arrivals", rows.schema, files_per_batch=8)
+        write_first(
+            first_in_order(arrivals, ["seq"], "arrived", "30 days"), f"{target}/first",
+            f"{target}/checkpoint").awaitTermination()
+    settle_first(spark, f"{target}/first", ["seq"])
+    return read_first(spark, f"{target}/first", ["seq"]).select(
+        "seq", "reviewer_name", "review_text", "url")
+
+
+@query
+def store_compacted(spark, sf_dir):
+    """Documents as a stream of many micro-batches, whose folders are merged on the way."""
+    target = scratch_dir(spark)
+    rows = inputs.raw_reviews(spark, sf_dir).drop("language").withColumn("page_id", F.col("seq"))
+    for rest in range(7):
+        rows.where(F.col("seq") % 7 == rest).write.mode("append").parquet(f"{target}/arrivals")
+        for _ in range(2):  # the second start finds nothing new
+            store_stream(
+                read_arrivals(spark, f"{target}/arrivals", rows.schema), lambda batch: batch,
+                f"{target}/reviews", f"{target}/checkpoint", order=["page_id"], fan=3,
+                metrics_path=f"{target}/metrics").awaitTermination()
+    held = folders.folders(spark, f"{target}/reviews")
+    stored = store.read_store(spark, f"{target}/reviews")
+    return stored.select(
+        "k_name", "k_text", "id", "batch", F.lit(len(held)).cast("long").alias("folders"),
+        F.lit(sum(f.rows for f in held)).cast("long").alias("noted"))
+
+
+@query
+def ingest_totals(spark, sf_dir):
+    """What each source added in three batches, and the store's size after it."""
+    target = scratch_dir(spark)
+    rows = inputs.raw_reviews(spark, sf_dir).drop("language").withColumn("page_id", F.col("seq"))
+    for batch in range(3):
+        added = store.append_reviews(
+            rows.where(F.col("seq") % 3 <= batch), f"{target}/reviews", batch, ["page_id"])
+        ingest.log_added(added, f"{target}/reviews", f"{target}/metrics", batch)
+    return spark.read.parquet(f"{target}/metrics").select(
+        F.col("batch").cast("long").alias("batch"), "platform", "region", "host_name", "n", "total",
+        (F.abs(F.col("logged_at").cast("long") - F.unix_timestamp()) < 86_400).alias("logged_now"))
+
+
+@query
+def report_of_batches(spark, sf_dir):
+    """The report of ten batches from what each of them left behind."""
+    path = scratch_dir(spark)
+    rows = inputs.reviews(spark, sf_dir)
+    for batch in range(10):
+        partials.write_partials(rows.where(F.col("id") % 10 == batch), path, batch)
+    row = partials.report_of_batches(spark, path)
+    return row.select(*[
+        F.to_json(c).alias(c) if c in {**report.WHOLE, **report.TOPS} else F.col(c)
+        for c in row.columns])
+
+
+@query
+def merged_figures(spark, sf_dir):
+    """Dates and ratings of ten batches; whether the sketched median is near enough."""
+    path = scratch_dir(spark)
+    rows = inputs.reviews(spark, sf_dir)
+    for batch in range(10):
+        partials.write_partials(rows.where(F.col("id") % 10 == batch), path, batch)
+    figures = partials.merged_figures(spark, path)
+    return figures.select("first_date", "last_date", "rating_mean", "rating_count").withColumn(
+        "one_median", F.lit(_near_median(rows, figures.first()["rating_median"])))
+
+
+def _near_median(rows, value):
+    below, upto, n = rows.where("rating IS NOT NULL").agg(
+        F.count_if(F.col("rating") < value), F.count_if(F.col("rating") <= value), F.count("*")).first()
+    return below / n <= 0.5 + frequency.SKETCH_ERROR and upto / n >= 0.5 - frequency.SKETCH_ERROR
+
+
 @query
 def store_in_turns(spark, sf_dir):
     """Even documents as a batch, the others as a stream of several micro-batches."""
@@ -510,10 +684,36 @@ def reviews_json(spark, sf_dir):
 def report_json(spark, sf_dir):
     path = scratch_dir(spark)
     report.export_report(inputs.reviews(spark, sf_dir), path)
-    schema = (
-        "total_reviews long, reviews_20_words_plus long, by_language map<string,long>, "
-        "by_occasion map<string,long>, rating_mean double, rating_count long, "
-        "five_star_pct double")
+    maps = [*report.WHOLE, *report.TOPS]
+    schema = ", ".join([
+        "total_reviews long, reviews_20_words_plus long",
+        *[f"{field} map<string,long>" for field in maps],
+        "rating_mean double, rating_count long, five_star_pct double"])
     saved = spark.read.schema(schema).json(path)
-    return saved.select(*[
-        F.to_json(c).alias(c) if c.startswith("by_") else F.col(c) for c in saved.columns])
+    return saved.select(*[F.to_json(c).alias(c) if c in maps else F.col(c) for c in saved.columns])
+
+
+@query
+def pages_from_files(spark, sf_dir):
+    """The captured pages as a file each, read as bytes and decoded."""
+    path = scratch_dir(spark)
+    pages = inputs.pages(spark, sf_dir).where("html <> ''")
+    pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
+    found = readers.read_page_files(spark, f"{path}/*.txt")
+    return found.select(
+        F.expr("substring(html, 1, length(html) - 1)").alias("html"), "error")
+
+
+@query
+def ingest_note_files(spark, sf_dir):
+    """Notes of several entries, as files of their own, into the store."""
+    target = scratch_dir(spark)
+    notes_of_five = inputs.note_files(spark, sf_dir).groupBy(
+        F.floor(F.col("page_id") / 5).alias("_file")).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("page_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    notes_of_five.select("value").write.option("maxRecordsPerFile", 1).text(f"{target}/notes")
+    none = spark.createDataFrame([], readers.PAGE_SCHEMA)
+    added = ingest.ingest(
+        none, inputs.listings(spark, sf_dir), f"{target}/reviews",
+        notes=readers.read_notes(spark, f"{target}/notes/*.txt"))
+    return added.select("platform", "k_name", "k_text")

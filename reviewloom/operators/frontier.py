@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.functions.urls import has_next_link, next_page_url, page_number
 from reviewloom.operators.lookup import missing_from
+from reviewloom.operators.skew import WINDOW_LIMIT, ranked_within
 
 
 def next_pages(pages: DataFrame) -> DataFrame:
@@ -33,7 +34,15 @@ def crawl_frontier(pages: DataFrame, max_pages: int) -> DataFrame:
 
 
 def cap_pages(pages: DataFrame, listing: str, max_pages: int) -> DataFrame:
-    """The first ``max_pages`` pages of every listing, by offset."""
+    """The first ``max_pages`` pages of every listing, by offset.
+
+    Where that is more than Spark cuts down ahead of a window, places are counted
+    over ranges, so that no listing is sorted by one task.
+    """
+    if max_pages > WINDOW_LIMIT:
+        numbered = pages.withColumn("_offset", page_number(F.col("url")))
+        ranked = ranked_within(numbered, [listing], ["_offset", "page_id"], "place")
+        return ranked.drop("_offset").where(F.col("place") <= max_pages)
     place = F.row_number().over(
         Window.partitionBy(listing).orderBy(
             page_number(F.col("url")), "page_id"))

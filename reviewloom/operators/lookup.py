@@ -2,10 +2,17 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.functions.enrichment import windows
 from reviewloom.functions.text import strip
+from reviewloom.operators.skew import within
+from reviewloom.session import staged
+
+#: Characters of the grams that index a dictionary.
+GRAM = 3
+#: Up to as many different grams are broadcast to be filtered by.
+LISTED_GRAMS = 500_000
 
 
 def first_contained(
@@ -34,6 +41,64 @@ def first_contained(
         key, F.col("entry.label").alias("label"))
 
 
+def rarest_grams(df: DataFrame, text: str, dictionary: DataFrame, size: int = GRAM) -> DataFrame:
+    """Each dictionary entry under one gram: gram, needle, entry.
+
+    It is the entry's gram that the fewest texts hold, of equally rare ones the
+    first. Entries with a gram that no text holds can't occur and are left out. One
+    shorter than ``size`` is a gram of its own.
+    """
+    entries = dictionary.where(F.col("needle") != "").groupBy(F.lower("needle").alias("needle")).agg(
+        F.min(F.struct("ord", "label")).alias("entry"))
+    grams = staged(entries.select("needle", "entry", F.explode(_grams(F.col("needle"), size)).alias("gram")))
+    found = df.select(F.explode(text_grams(F.col(text), size)).alias("gram"))
+    wanted = grams.select("gram").distinct()
+    held = found.join(F.broadcast(wanted) if within(wanted, LISTED_GRAMS) else wanted, "gram") \
+        .groupBy("gram").agg(F.count("*").alias("texts"))
+    chosen = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("_first")
+    return (
+        grams.join(held, "gram", "left").groupBy("needle", "entry").agg(chosen)
+        .where("_first.texts > 0").select("_first.gram", "needle", "entry")
+    )
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct grams of a short string, or the string itself where it is shorter."""
+    return F.when(F.length(text) < size, F.array(text)).otherwise(F.array_distinct(windows(text, size)))
+
+
+def text_grams(text: Column, size: int = GRAM) -> Column:
+    """The distinct pieces of 1 to ``size`` characters of a lower-cased text."""
+    low = strip(F.lower(F.coalesce(text, F.lit(""))))
+    return F.array_distinct(F.concat(*[windows(low, n) for n in range(1, size + 1)]))
+
+
+def first_indexed(
+    df: DataFrame, key: str, text: str, dictionary: DataFrame, size: int = GRAM,
+) -> DataFrame:
+    """What :func:`first_contained` returns, for long dictionaries and whole texts.
+
+    An index holds each entry under its rarest gram only. A text proposes the
+    entries under the grams it holds, and those are looked for in it, the lowest
+    ``ord`` first. Nothing is longer than the text but the entries proposed for it.
+    """
+    index = staged(rarest_grams(df, text, dictionary, size))
+    wanted = index.select("gram").distinct()
+    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), size)).alias("gram"))
+    if within(wanted, LISTED_GRAMS):
+        grams = grams.join(F.broadcast(wanted), "gram")
+    proposed = (
+        grams.join(index, "gram").groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct("entry", "needle"))).alias("_entries")))
+    low = strip(F.lower(F.col(text)))
+    found = F.get(F.filter("_entries", lambda e: F.contains(low, e["needle"])), 0)
+    return (
+        df.select(key, text).join(proposed, key).select(key, found["entry"]["label"].alias("label"),
+                                                        found.isNotNull().alias("_any"))
+        .where("_any").drop("_any")
+    )
+
+
 def attach_listing(pages: DataFrame, listings: DataFrame, on: str = "url") -> DataFrame:
     """Host, city, region and platform of the page's listing (one per address)."""
     return pages.join(listings, on)

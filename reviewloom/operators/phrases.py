@@ -11,6 +11,9 @@ LENGTHS = (2, 3, 4)
 MIN_DOCUMENTS = 2
 FREQUENT_PARTS = 20_000
 
+#: Phrases are told apart by as many bits ahead of their strings: bitmaps of 8 MB.
+NUMBER_BITS = 26
+
 _TOKEN = r"([\p{L}\p{N}_]{2,})"
 
 
@@ -29,9 +32,11 @@ def runs(words: Column, length: int) -> Column:
     return F.when(last >= 0, phrases).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(phrase_lists: DataFrame) -> DataFrame:
+def _counts(phrase_lists: DataFrame, passed: DataFrame | None = None, bits: int = 0) -> DataFrame:
     """Total (``tf``) and document (``df``) counts of ``phrases`` arrays.
 
+    With ``passed``, of those only whose number is set in its bitmaps.
+
     Sorting the phrases of a document marks the first of each equal run, so
     both counts come from one aggregation by phrase, combined on the map side.
     """
@@ -42,9 +47,12 @@ def _counts(phrase_lists: DataFrame) -> DataFrame:
         "p", lambda g, i: F.struct(
             g.alias("phrase"),
             F.when((i > 0) & (g == F.get(F.col("p"), i - 1)), 0).otherwise(1).alias("is_new"),
-        ))).alias("e"))
-    return marked.where(F.col("e").isNotNull()).groupBy(F.col("e.phrase").alias("phrase")).agg(
-        F.count("*").alias("tf"), F.sum("e.is_new").alias("df"))
+        ))).alias("e")).where(F.col("e").isNotNull()).select("e.phrase", "e.is_new")
+    if passed is not None:
+        marked = marked.withColumn("_number", _number(F.col("phrase"), bits)).join(
+            F.broadcast(passed), F.bitmap_bucket_number("_number") == F.col("bucket")).where(
+                _is_set(F.col("bitmap"), F.bitmap_bit_position("_number")))
+    return marked.groupBy("phrase").agg(F.count("*").alias("tf"), F.sum("is_new").alias("df"))
 
 
 def _totals(phrase_lists: DataFrame, min_documents: int) -> DataFrame:
@@ -77,11 +85,44 @@ def _phrases(words: DataFrame, lengths: Sequence[int]) -> DataFrame:
 def phrase_counts(
     df: DataFrame, text: str = "review_text",
     lengths: Sequence[int] = LENGTHS, stop_words: Sequence[str] = tuple(STOP_WORDS),
-    min_documents: int = MIN_DOCUMENTS,
+    min_documents: int = MIN_DOCUMENTS, bits: int = NUMBER_BITS,
 ) -> DataFrame:
-    """Every phrase found in at least ``min_documents`` texts, with both counts."""
-    return _counts(_phrases(_words(df, text, stop_words), lengths)) \
-        .where(F.col("df") >= min_documents)
+    """Every phrase found in at least ``min_documents`` texts, with both counts.
+
+    Most phrases occur in one text. A first pass counts texts by a short number, a
+    hash of the phrase; only phrases whose number occurs in enough texts go on as
+    strings. Different phrases of one number are let through together and told
+    apart there.
+    """
+    phrases = _phrases(_words(df, text, stop_words), lengths)
+    passed = _frequent_numbers(phrases, min_documents, bits) if min_documents > 1 else None
+    return _counts(phrases, passed, bits).where(F.col("df") >= min_documents)
+
+
+def _number(phrase: Column, bits: int) -> Column:
+    """The number, from 1 on, that stands for a phrase in the first pass."""
+    return F.xxhash64(phrase).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+
+
+def _frequent_numbers(phrases: DataFrame, min_documents: int, bits: int) -> DataFrame:
+    """(bucket, bitmap): the numbers of phrases in enough texts, 4 KB for 32,768 of them.
+
+    All bitmaps together are of a fixed size, whatever the corpus.
+    """
+    numbers = phrases.select(F.explode_outer(
+        F.array_distinct(F.transform("phrases", lambda p: _number(p, bits)))).alias("number"))
+    frequent = (
+        numbers.where(F.col("number").isNotNull()).groupBy("number")
+        .agg(F.count("*").alias("texts")).where(F.col("texts") >= min_documents))
+    return staged(
+        frequent.groupBy(F.bitmap_bucket_number("number").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")))
+
+
+def _is_set(bitmap: Column, position: Column) -> Column:
+    byte = F.substring(bitmap, (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    return F.bit_get(value, position.bitwiseAND(F.lit(7)).cast("int")) == 1
 
 
 def top_phrases(

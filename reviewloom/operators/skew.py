@@ -1,12 +1,15 @@
 """Numbers and running sums without a single task, and a check of a table's size."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewloom.session import staged
 
 BROADCAST_BYTES = 64 << 20
+#: Spark cuts a ranking down ahead of its shuffle up to this rank.
+WINDOW_LIMIT = 1000
 
 
 def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
@@ -60,6 +63,29 @@ def running_sum(df: DataFrame, order: Sequence[str], value: str, out: str) -> Da
     )
 
 
+def ranked_within(df: DataFrame, groups: Sequence[str], order: Sequence, out: str = "place") -> DataFrame:
+    """The 1-based place of each row in its group, by ``order``, for groups of any size.
+
+    Rows are dealt by ranges of group and order, so a large group is many ranges.
+    A row's place is that within its range and group, behind those of the group in
+    the ranges ahead, of which there is one count each. A null group is one too.
+    """
+    placed = staged(
+        df.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    ahead = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = ["_part", *groups]
+    starts = placed.groupBy(*keys).agg(F.count("*").alias("_total")).select(
+        *[F.col(c).alias(f"_at_{c}") for c in keys],
+        F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in keys])
+    return (
+        placed.withColumn("_local", local).join(starts, same)
+        .withColumn(out, F.col("_start") + F.col("_local"))
+        .drop("_part", "_local", "_start", *[f"_at_{c}" for c in keys])
+    )
+
+
 def _starts(totals: DataFrame) -> DataFrame:
     """Sum of the partitions ahead of each partition; one row per partition."""
     ahead = (

@@ -10,6 +10,7 @@ from reviewloom.operators.filters import drop_block_pages
 from reviewloom.operators.frequency import ingest_counts, running_total
 from reviewloom.operators.notes import parse_notes
 from reviewloom.operators.profiles import PROFILES, Profile
+from reviewloom.plans.partials import write_partials
 from reviewloom.sources.store import BATCHES, append_reviews, next_batch, stored_rows
 from reviewloom.sources.writers import write_metrics
 
@@ -80,9 +81,13 @@ def ingest(
     pages: DataFrame, listings: DataFrame, store_path: str,
     notes: DataFrame | None = None, metrics_path: str | None = None,
     language_profiles: Mapping[str, Sequence[str]] | None = None,
-    batch: int | None = None,
+    batch: int | None = None, partials_path: str | None = None,
 ) -> DataFrame:
-    """Add the new reviews of the given captures to the store; returns them."""
+    """Add the new reviews of the given captures to the store; returns them.
+
+    With a ``metrics_path`` it logs what each source has added, and with a
+    ``partials_path`` it keeps the batch's part of the report.
+    """
     candidates = page_candidates(pages, listings)
     if notes is not None:
         candidates = note_candidates(notes).unionByName(candidates)
@@ -91,6 +96,8 @@ def ingest(
     added = append_reviews(candidates, store_path, batch, ORDER, language_profiles)
     if metrics_path:
         log_added(added, store_path, metrics_path, batch)
+    if partials_path:
+        write_partials(added, partials_path, batch)
     return added
 
 

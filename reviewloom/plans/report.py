@@ -35,11 +35,14 @@ def report_counts(reviews: DataFrame, k: int = TOP_LABELS) -> DataFrame:
 
     Reads the seven label columns once; the totals read the others.
     """
-    counts = dimension_counts(reviews, [*WHOLE.values(), *TOPS.values()])
+    return field_counts(staged(dimension_counts(reviews, [*WHOLE.values(), *TOPS.values()])), k)
+
+
+def field_counts(counts: DataFrame, k: int = TOP_LABELS) -> DataFrame:
+    """The report's fields out of counts by dimension and label."""
     fields = F.create_map(
         *[F.lit(x) for field, dim in {**WHOLE, **TOPS}.items() for x in (dim, field)])
     top = F.col("dimension").isin(list(TOPS.values()))
-    counts = staged(counts)
     kept = counts.where(~top).unionByName(
         top_per_dimension(counts.where(top), k).drop("place"))
     return kept.select(fields[F.col("dimension")].alias("field"), "label", "n")
@@ -60,8 +63,11 @@ def summary_report(reviews: DataFrame) -> DataFrame:
     listings. For columns with any number of labels there is
     :func:`report_counts`, which has the same tables in long form.
     """
-    counts = report_counts(reviews)
-    scalars = report_scalars(reviews)
+    return report_row(report_counts(reviews), report_scalars(reviews))
+
+
+def report_row(counts: DataFrame, scalars: DataFrame) -> DataFrame:
+    """One row out of the report's counts by field and its scalar figures."""
     figures, types = scalars.first(), scalars.schema
     maps = counts.agg(*[_label_map(field) for field in {**WHOLE, **TOPS}])
 

@@ -2,7 +2,8 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from reviewloom.schema import LISTING_OPTIONS, LISTING_SCHEMA, PAGE_SCHEMA, REVIEW_SCHEMA
@@ -40,6 +41,61 @@ def read_html_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
         F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
 
 
+def read_page_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Saved page files in whatever encoding: page_id, url, html, error.
+
+    The encoding is told by a byte order mark, else by the page's own meta tag, else
+    it is UTF-8. A file that can't be decoded has no html but an error, and ends
+    nothing. UTF-8, as most are, stays an expression; Python sees the others.
+    """
+    files = spark.read.format("binaryFile").load(paths)
+    url = F.col("path")
+    plain = F.col("content").cast("string")
+    named = F.lower(F.regexp_extract(
+        F.decode(F.substring("content", 1, HEAD_BYTES), "ISO-8859-1"), CHARSET, 1))
+    # Half a character order mark is no valid UTF-8, so these never pass as such.
+    utf8 = named.isin("", "utf-8", "utf8") & F.is_valid_utf8(plain)
+    read = F.when(~utf8, _decoded(F.when(~utf8, F.col("content")), named))
+    return files.select(
+        F.xxhash64(url).alias("page_id"), url.alias("url"),
+        F.when(utf8, F.regexp_replace(plain, "^\ufeff", "")).otherwise(read["html"]).alias("html"),
+        read["error"].alias("error"))
+
+
+def unreadable_files(pages: DataFrame) -> DataFrame:
+    """(page_id, strategy, error) of the files that couldn't be decoded."""
+    return pages.where("error IS NOT NULL").select("page_id", F.lit("file").alias("strategy"), "error")
+
+
+#: Where a page may name its encoding, and how (fixed values).
+HEAD_BYTES = 1024
+CHARSET = r"(?i)<meta[^>]*?charset\s*=\s*[\"']?\s*([a-z0-9_:.-]+)"
+_MARKS = ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in ("html", "error")]))
+def _decoded(contents: pd.Series, names: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([decoded(c, n) for c, n in zip(contents, names, strict=True)],
+                        columns=["html", "error"])
+
+
+def decoded(content: bytes | None, named: str) -> tuple[str | None, str | None]:
+    """The text of a page's bytes, or what is wrong with them."""
+    if content is None:
+        return None, None
+    for mark, encoding in _MARKS:
+        if content.startswith(mark):
+            content = content[len(mark):]
+            break
+    else:
+        # A tag that could be read as it stands isn't in UTF-16 itself.
+        encoding = "utf-8" if not named or named.startswith("utf-16") else named
+    try:
+        return content.decode(encoding), None
+    except (LookupError, UnicodeError, ValueError) as error:
+        return None, f"{encoding}: {type(error).__name__}"
+
+
 def read_notes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Whole text files of review notes; names and patterns without a file are skipped.
 

@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from reviewloom.operators.dedup import with_keys
 from reviewloom.plans.ingest import ORDER, log_added, page_candidates
+from reviewloom.plans.partials import write_partials
 from reviewloom.schema import KEY_COLUMNS, PAGE_SCHEMA
 from reviewloom.sources.folders import FAN
 from reviewloom.sources.store import append_reviews, is_written, read_batch, stream_writer
@@ -27,7 +28,7 @@ def store_stream(
     arrivals: DataFrame, candidates_of: Callable[[DataFrame], DataFrame],
     store_path: str, checkpoint: str, order: Sequence[str] = tuple(ORDER),
     language_profiles: Mapping[str, Sequence[str]] | None = None,
-    metrics_path: str | None = None, fan: int = FAN,
+    metrics_path: str | None = None, fan: int = FAN, partials_path: str | None = None,
 ) -> StreamingQuery:
     """Store the new reviews of every micro-batch and stop when all is read.
 
@@ -49,6 +50,8 @@ def store_stream(
                 candidates_of(batch), store_path, number, list(order), language_profiles, writer, fan)
         if metrics_path:
             log_added(added, store_path, metrics_path, number, writer)
+        if partials_path:
+            write_partials(added, partials_path, number, writer)
 
     return (
         arrivals.writeStream.foreachBatch(store)
