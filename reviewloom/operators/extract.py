@@ -180,14 +180,25 @@ def first_strategy(
     return candidates.join(best, [group, rank], "left_semi")
 
 
+#: Characters of a text that an excerpt is made from.
+SNIPPET_FROM = 500
+
+
 @F.pandas_udf(T.StringType())
 def _plain(texts: pd.Series) -> pd.Series:
     return texts.map(unescape, na_action="ignore")
 
 
 def page_snippet(html: Column) -> Column:
-    """The short excerpt of a page's text, character references resolved."""
-    return snippet(_plain(visible_text(html)))
+    """The short excerpt of a page's text, character references resolved.
+
+    Python sees a text only if there is a reference in the part that is shown.
+    """
+    def shown(text: Column) -> Column:
+        written = F.contains(F.substring(text, 1, SNIPPET_FROM), F.lit("&"))
+        return snippet(F.when(written, _plain(F.when(written, text))).otherwise(text))
+
+    return shown(visible_text(html))
 
 
 def extraction_failures(pages: DataFrame) -> DataFrame:

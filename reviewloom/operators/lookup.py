@@ -5,12 +5,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.functions.enrichment import windows
-from reviewloom.functions.text import strip
+from reviewloom.functions.text import bind, strip
 from reviewloom.operators.skew import within
 from reviewloom.session import staged
 
 #: Characters of the grams that index a dictionary.
-GRAM = 3
+GRAM = 5
 #: Up to as many different grams are broadcast to be filtered by.
 LISTED_GRAMS = 500_000
 
@@ -51,8 +51,8 @@ def rarest_grams(df: DataFrame, text: str, dictionary: DataFrame, size: int = GR
     entries = dictionary.where(F.col("needle") != "").groupBy(F.lower("needle").alias("needle")).agg(
         F.min(F.struct("ord", "label")).alias("entry"))
     grams = staged(entries.select("needle", "entry", F.explode(_grams(F.col("needle"), size)).alias("gram")))
-    found = df.select(F.explode(text_grams(F.col(text), size)).alias("gram"))
     wanted = grams.select("gram").distinct()
+    found = df.select(F.explode(text_grams(F.col(text), _lengths(grams))).alias("gram"))
     held = found.join(F.broadcast(wanted) if within(wanted, LISTED_GRAMS) else wanted, "gram") \
         .groupBy("gram").agg(F.count("*").alias("texts"))
     chosen = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("_first")
@@ -67,10 +67,17 @@ def _grams(text: Column, size: int) -> Column:
     return F.when(F.length(text) < size, F.array(text)).otherwise(F.array_distinct(windows(text, size)))
 
 
-def text_grams(text: Column, size: int = GRAM) -> Column:
-    """The distinct pieces of 1 to ``size`` characters of a lower-cased text."""
+def _lengths(grams: DataFrame) -> list[int]:
+    """The lengths of an index's grams: at most as many as a gram has characters."""
+    return sorted(r[0] for r in grams.select(F.length("gram")).distinct().collect())
+
+
+def text_grams(text: Column, lengths: Sequence[int]) -> Column:
+    """The distinct pieces of these lengths of a lower-cased text."""
+    if not lengths:
+        return F.array().cast("array<string>")
     low = strip(F.lower(F.coalesce(text, F.lit(""))))
-    return F.array_distinct(F.concat(*[windows(low, n) for n in range(1, size + 1)]))
+    return bind(low, lambda t: F.array_distinct(F.concat(*[windows(t, n) for n in lengths])))
 
 
 def first_indexed(
@@ -84,14 +91,14 @@ def first_indexed(
     """
     index = staged(rarest_grams(df, text, dictionary, size))
     wanted = index.select("gram").distinct()
-    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), size)).alias("gram"))
+    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), _lengths(index))).alias("gram"))
     if within(wanted, LISTED_GRAMS):
         grams = grams.join(F.broadcast(wanted), "gram")
     proposed = (
         grams.join(index, "gram").groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("entry", "needle"))).alias("_entries")))
-    low = strip(F.lower(F.col(text)))
-    found = F.get(F.filter("_entries", lambda e: F.contains(low, e["needle"])), 0)
+    found = bind(strip(F.lower(F.col(text))), lambda low: F.get(
+        F.filter("_entries", lambda e: F.contains(low, e["needle"])), 0))
     return (
         df.select(key, text).join(proposed, key).select(key, found["entry"]["label"].alias("label"),
                                                         found.isNotNull().alias("_any"))
