@@ -48,10 +48,11 @@ def postings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def rarest_terms(items: DataFrame, frequency: DataFrame, window: int) -> DataFrame:
-    """(item, t1, q1, t2, q2, t3, q3): the three rarest terms of each window.
+    """(item, t1, q1, t2, q2, t3, q3, lo, reach): the three rarest terms of each window.
 
-    ``q`` is the place in the item. A window with a term that no document holds
-    cannot occur and is left out.
+    ``q`` is the place in the item. Windows with the same three are one row: they
+    lie in the ``reach`` words from ``lo`` on, fewer than two windows. A window with a
+    term that no document holds cannot occur and is left out.
     """
     size = F.least(F.size("tokens"), F.lit(window))
     starts = F.sequence(F.lit(0), F.size("tokens") - size)
@@ -69,13 +70,19 @@ def rarest_terms(items: DataFrame, frequency: DataFrame, window: int) -> DataFra
         .where(F.size("_t") == F.col("_size"))
     )
     pick = [F.coalesce(F.get("_t", F.lit(i)), F.get("_t", F.lit(0))) for i in range(3)]
-    return found.select("item", *[
-        c for i, p in enumerate(pick, 1)
-        for c in (p["term"].alias(f"t{i}"), p["q"].alias(f"q{i}"))]).distinct()
+    names = [f"{c}{i}" for i in range(1, 4) for c in "tq"]
+    return (
+        found.select("item", "_start", "_size", *[
+            c for i, p in enumerate(pick, 1)
+            for c in (p["term"].alias(f"t{i}"), p["q"].alias(f"q{i}"))])
+        .groupBy("item", "_size", *names)
+        .agg(F.min("_start").alias("lo"), F.max("_start").alias("_hi"))
+        .select("item", *names, "lo", (F.col("_hi") - F.col("lo") + F.col("_size")).alias("reach"))
+    )
 
 
 def aligned(index: DataFrame, rarest: DataFrame) -> DataFrame:
-    """(doc_id, _th, item, delta): places where the rarest terms of a window meet.
+    """(doc_id, _th, item, delta, lo, reach): places where the rarest terms of a window meet.
 
     The postings of the rarest term come first; those of the second and third
     are met at their offset from it.
@@ -83,7 +90,7 @@ def aligned(index: DataFrame, rarest: DataFrame) -> DataFrame:
     found = (
         index.withColumnRenamed("term", "t1").join(rarest, "t1")
         .withColumn("delta", F.col("pos") - F.col("q1"))
-        .select("doc_id", "_th", "item", "delta", "t2", "q2", "t3", "q3").distinct()
+        .select("doc_id", "_th", "item", "delta", "t2", "q2", "t3", "q3", "lo", "reach").distinct()
     )
     for i in (2, 3):
         places = index.select(
@@ -93,7 +100,7 @@ def aligned(index: DataFrame, rarest: DataFrame) -> DataFrame:
             places, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash"))
             & (F.col("_pos") == F.col("delta") + F.col(f"q{i}"))
             & (F.col("_term") == F.col(f"t{i}")), "left_semi")
-    return found.select("doc_id", "_th", "item", "delta").distinct()
+    return found.select("doc_id", "_th", "item", "delta", "lo", "reach").distinct()
 
 
 def occurrences(
@@ -101,8 +108,9 @@ def occurrences(
 ) -> DataFrame:
     """(doc_id, _th, item_id, places): document words inside windows of an item.
 
-    One row for each alignment with at least one whole window; ``places`` are
-    word numbers from 0. An item shorter than ``window`` is one window. Exact.
+    One row for each place where windows were proposed and at least one is whole;
+    ``places`` are word numbers from 0. An item shorter than ``window`` is one
+    window. Exact. A row holds fewer than two windows of words, however long the item is.
     """
     items = staged(benchmark_items(benchmark))
     frequency = staged(document_frequency(
@@ -111,14 +119,17 @@ def occurrences(
     wanted = rarest.select(F.explode(F.array("t1", "t2", "t3")).alias("term")).distinct()
     index = staged(postings(docs, wanted))
     found = staged(aligned(index, rarest).groupBy("doc_id", "_th").agg(
-        F.collect_list(F.struct("item", "delta")).alias("_at")))
+        F.collect_list(F.struct("item", "delta", "lo", "reach")).alias("_at")))
     texts = docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text")
-    longest = F.lit(items.agg(F.max(F.size("tokens"))).first()[0] or 0)
-    cut = lambda a: F.struct(
-        a["item"].alias("item"), a["delta"].alias("delta"),
-        F.greatest(-a["delta"], F.lit(0)).alias("skip"),
-        F.slice(F.col("_doc_tokens"), F.greatest(a["delta"], F.lit(0)) + 1,
-                F.greatest(longest + F.least(a["delta"], F.lit(0)), F.lit(0))).alias("part"))
+
+    def cut(a):
+        begin = a["delta"] + a["lo"]
+        skip = F.greatest(-begin, F.lit(0))
+        return F.struct(
+            a["item"].alias("item"), a["lo"].alias("lo"), a["reach"].alias("reach"), begin.alias("begin"),
+            skip.alias("skip"), F.slice(F.col("_doc_tokens"), F.greatest(begin, F.lit(0)) + 1,
+                                        F.greatest(a["reach"] - skip, F.lit(0))).alias("part"))
+
     near = (
         texts.join(found.select(F.col("doc_id").alias("_doc"), F.col("_th").alias("_hash"), "_at"),
                    F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash")))
@@ -127,7 +138,10 @@ def occurrences(
         .select("doc_id", "_th", F.explode(F.transform("_at", cut)).alias("_a"))
         .select("doc_id", "_th", "_a.*")
     )
-    size = F.least(F.size("tokens"), F.lit(window))
+    pieces = (
+        rarest.select("item", "lo", "reach").distinct().join(items, "item")
+        .select("item", "lo", "reach", "item_id", F.least(F.size("tokens"), F.lit(window)).alias("_size"),
+                F.slice("tokens", F.col("lo") + 1, F.col("reach")).alias("tokens")))
     equal = F.transform(
         F.col("tokens"),
         lambda t, j: F.coalesce(
@@ -136,13 +150,13 @@ def occurrences(
         F.sequence(F.lit(0), F.size("tokens") - F.col("_size")),
         lambda i: F.forall(F.slice("_equal", i + 1, F.col("_size")), lambda x: x))
     return (
-        near.join(items, "item")
-        .select("doc_id", "_th", "item_id", "delta", "tokens", size.alias("_size"), equal.alias("_equal"))
-        .select("doc_id", "_th", "item_id", "delta", "_size", starts.alias("_starts"))
+        near.join(pieces, ["item", "lo", "reach"])
+        .select("doc_id", "_th", "item_id", "begin", "tokens", "_size", equal.alias("_equal"))
+        .select("doc_id", "_th", "item_id", "begin", "_size", starts.alias("_starts"))
         .where(F.size("_starts") > 0)
         .select("doc_id", "_th", "item_id", F.array_distinct(F.flatten(F.transform(
             "_starts", lambda s: F.sequence(
-                F.col("delta") + s, F.col("delta") + s + F.col("_size") - 1)))).alias("places"))
+                F.col("begin") + s, F.col("begin") + s + F.col("_size") - 1)))).alias("places"))
     )
 
 

@@ -101,7 +101,11 @@ def plan_mix(
 def mix(
     docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: str = "mix",
 ) -> DataFrame:
-    """The columns of ``docs`` and ``copy`` (from 1), a row for each copy taken."""
+    """The columns of ``docs`` and ``copy`` (from 1), a row for each copy taken.
+
+    A column of that name in ``docs`` is replaced.
+    """
+    docs = docs.drop("copy")
     taken = (
         plan_mix(docs, weights, cap, seed).where("copies > 0")
         .groupBy("_id", "_th", F.col("source").alias("_s")).agg(F.sum("copies").alias("_copies")))

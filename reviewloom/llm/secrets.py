@@ -9,7 +9,12 @@ postings and get the same result. Extra columns are ignored.
 """
 
 from dataclasses import dataclass
-from re import _constants as kinds, _parser as regex_parser
+
+try:  # the standard library's own parser of patterns, under its names of now and before
+    from re import _constants as kinds, _parser as regex_parser
+except ImportError:
+    import sre_constants as kinds
+    import sre_parse as regex_parser
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,15 +81,20 @@ def _analysed(items, most: int = 64) -> tuple[frozenset[str] | None, Query]:
     return (run, _of_strings(run)) if exact else (None, _both(query, _of_strings(run)))
 
 
+def _lowered(code: int) -> str:
+    """A character as texts are indexed: A-Z in lower case, all others as they are."""
+    return chr(code + 32) if 65 <= code <= 90 else chr(code)
+
+
 def _one(kind, value) -> tuple[frozenset[str] | None, Query]:
     if kind is kinds.LITERAL:
-        return frozenset([chr(value).lower()]), ALWAYS
+        return frozenset([_lowered(value)]), ALWAYS
     if kind is kinds.AT:
         return frozenset([""]), ALWAYS
     if kind is kinds.SUBPATTERN:
         return _analysed(value[-1])
     if kind is kinds.IN and all(k is kinds.LITERAL for k, _ in value):
-        return frozenset(chr(c).lower() for _, c in value), ALWAYS
+        return frozenset(_lowered(c) for _, c in value), ALWAYS
     if kind is kinds.BRANCH:
         found = [_analysed(branch) for branch in value[1]]
         if all(strings is not None for strings, _ in found):

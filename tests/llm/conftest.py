@@ -6,7 +6,7 @@ from reviewloom.llm.common import table
 FOLDER = "/root/testdata/sf0.001"
 #: Columns that operators use for themselves, and texts of every odd kind.
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " \
-    "size int, row string, _th string, _id int, n int, kept string, copies int, items int"
+    "size int, row string, _th string, _id int, n int, kept string, copies int, items int, copy int"
 LONG = "a line of more than forty characters that several documents share"
 PROSE = " ".join(f"word{i}" for i in range(40))
 
@@ -38,7 +38,7 @@ def odd(spark):
         (15, "the same " * 20_000, "d"),
     ]
     return spark.createDataFrame(
-        [(i, t, "en", s, None, 1, "r", "t", 2, 3, "k", 4, 5) for i, t, s in texts], SCHEMA)
+        [(i, t, "en", s, None, 1, "r", "t", 2, 3, "k", 4, 5, 6) for i, t, s in texts], SCHEMA)
 
 
 @pytest.fixture(scope="session")
