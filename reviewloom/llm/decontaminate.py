@@ -9,7 +9,7 @@ ignored. Words are compared by 64-bit hashes, thirteen of them at a time.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewloom.llm.common import GAP, lower_ascii, parts, same, small, text_hash
+from reviewloom.llm.common import GAP, lower_ascii, marked, parts, same, small, text_hash
 from reviewloom.session import staged
 
 
@@ -120,7 +120,9 @@ def occurrences(
     index = staged(postings(docs, wanted))
     found = staged(aligned(index, rarest).groupBy("doc_id", "_th").agg(
         F.collect_list(F.struct("item", "delta", "lo", "reach")).alias("_at")))
-    texts = docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text")
+    texts = marked(
+        docs.select("doc_id", text_hash(F.col("text")).alias("_th"), "text"),
+        [F.col("doc_id"), F.col("_th")], found, ["doc_id", "_th"]).where("_marked")
 
     def cut(a):
         begin = a["delta"] + a["lo"]
@@ -253,8 +255,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
         F.struct("*").alias("row"), F.col("doc_id").alias("_id"),
         text_hash(F.col("text")).alias("_th"),
         F.size(parts(F.col("text"), gap)).cast("long").alias("n_words"))
-    return (
-        rows.join(result, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash")),
+    # Documents that nothing hits, by far the most, need no shuffle.
+    rows = marked(rows, [F.col("_id"), F.col("_th")], found, ["doc_id", "_th"])
+    clean = rows.where("NOT _marked").select(
+        "row", "n_words", F.lit(0).cast("long").alias("n_hit"),
+        F.array().cast("array<string>").alias("items"))
+    return clean.unionByName(
+        rows.where("_marked").join(result, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_th") == F.col("_hash")),
                   "left")
         .select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
                 F.coalesce("items", F.array().cast("array<string>")).alias("items"))
