@@ -154,16 +154,19 @@ def buckets_of(spark: SparkSession, path: str) -> int:
 def bucketed(spark: SparkSession, path: str, held: list[Folder]) -> DataFrame:
     """The rows of merged folders as a table that Spark knows to be bucketed by ``k``.
 
-    One table for each store, of which the folders are the partitions.
+    One table for each store, of which the folders are the partitions. A store that
+    was made anew with other buckets has another one.
     """
     files, where = files_of(spark, path)
-    name = "reviewloom_" + sha256(files.makeQualified(where).toString().encode()).hexdigest()[:24]
+    buckets = buckets_of(spark, path)
+    address = f"{files.makeQualified(where).toString()} {buckets}"
+    name = "reviewloom_" + sha256(address.encode()).hexdigest()[:24]
     columns = ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in STORE_SCHEMA.fields if f.name != "writer")
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {name} ({columns}, k string, writer string, part string) "
         f"USING parquet PARTITIONED BY (writer, part) CLUSTERED BY (k) SORTED BY (k) "
-        f"INTO {buckets_of(spark, path)} BUCKETS LOCATION '{path}/_merged'")
+        f"INTO {buckets} BUCKETS LOCATION '{path}/_merged'")
     wanted = {f"writer={f.writer}/part={f.part}": f for f in held}
     present = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
     for gone in present - set(wanted):

@@ -169,3 +169,18 @@ def test_notes_are_replaced(spark, tmp_path):
     files, where = files_of(spark, folder)
     assert [s.getPath().getName() for s in files.listStatus(where)] == ["_held"]
     assert Folder(folder, "w", 0, ((3, 3),), 0, 0).holds(3)
+
+
+def test_a_store_made_anew_with_other_buckets(spark, tmp_path):
+    path, setting = str(tmp_path / "s"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    try:
+        for buckets in ("8", "3"):
+            spark.conf.set(setting, buckets)
+            for n in range(4):
+                add(spark, path, n, f"p{n}", "p0")
+            add(spark, path, 4, "p0", "p1", "p2", "p3", "p4")
+            assert [n for _, n in names(spark, path)] == ["p0", "p1", "p2", "p3", "p4"]
+            shutil.rmtree(path)
+    finally:
+        spark.conf.set(setting, before)
