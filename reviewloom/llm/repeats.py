@@ -6,7 +6,10 @@ the strings of one anchor can be judged without the rest of the corpus. Strings
 in a row that have one anchor form a context.
 
 Contexts that occur twice or more as a whole are told by counting their hashes.
-The remaining ones that share an anchor go to shards by anchor. A shard's index
+Of the string that two others share around an anchor, one side is half of what the
+anchor leaves; a context stays only if another one has the same anchor and the same
+bytes next to it, as many as that, on the left or on the right. (Contexts within
+which a string may occur twice all stay.) Those go to shards by anchor. A shard's index
 is the Burrows-Wheeler transform of its contexts, kept as runs with the suffix
 positions at the run ends. Two neighbouring suffixes in one run have the match
 of their predecessors, one byte shorter; so the matches at the run ends, laid
@@ -28,8 +31,9 @@ from reviewloom.llm.textnum import STEP, mix, slabs
 from reviewloom.session import staged
 
 GRAM = 32
-#: Contexts of one anchor that are indexed together; beyond, its strings are
-#: counted one by one instead, which spreads over all tasks.
+#: Contexts of one anchor that are indexed together; beyond, they are dealt once more,
+#: by a second anchor, and beyond that strings are counted one by one, which spreads
+#: over all tasks.
 TOGETHER = 2_000
 #: Bytes of contexts in one index, but for an anchor's contexts, which stay together.
 SHARD = 1 << 20
@@ -63,16 +67,18 @@ def sliding(keys: np.ndarray, width: int, pick: np.ufunc = np.minimum) -> np.nda
 
 
 def contexts_of(data: np.ndarray, lengths: np.ndarray, length: int):
-    """(row, start, strings, twice, anchor, context) of the contexts of a slab's texts.
+    """(row, start, strings, twice, anchor, context, left, right) of a slab's contexts.
 
     A context begins at byte ``start`` and holds ``strings`` strings in a row of
     one anchor. ``twice`` tells that a string may occur twice within it, as in a
     text that repeats a few words; such a text is cut into contexts anywhere.
+    ``left`` and ``right`` stand for the anchor and the bytes next to it, half of
+    what it leaves of a string, or are 0 where the context doesn't reach so far.
     """
     grams = length - GRAM + 1
     if len(data) < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none > 0, none, none
+        return none, none, none, none > 0, none, none, none, none
     hashes = gram_hashes(data)[:len(data) - GRAM + 1]
     least = sliding(hashes, grams)
     # A place holds an anchor if its hash is the least of some string.
@@ -100,19 +106,33 @@ def contexts_of(data: np.ndarray, lengths: np.ndarray, length: int):
     whole = strings.astype(np.uint64) * STEP
     for i in range(-(-(2 * length) // GRAM)):
         whole = mix(whole + hashes[np.minimum(start + GRAM * i, end - GRAM)] + STEP)
-    return (row, start - begin[row], strings, near, own.view(np.int64), whole.view(np.int64))
+    # The anchor's place: the first of its hash that the context's last string holds.
+    kinds, kind = np.unique(hashes[chosen], return_inverse=True)
+    size = len(data) + 1
+    places = np.sort(kind * size + chosen)
+    found = np.searchsorted(places, np.searchsorted(kinds, own) * size + start + strings - 1)
+    anchor = places[np.minimum(found, max(len(places) - 1, 0))] % size
+    half = (length - GRAM + 1) // 2
+    sides = []
+    for first, inside, salt in ((anchor - half, anchor - half >= start, 1),
+                                (anchor + GRAM, anchor + GRAM + half <= end, 2)):
+        value = mix(own + np.uint64(salt))
+        for i in range(-(-half // GRAM)):
+            value = mix(value + hashes[np.clip(first + min(GRAM * i, half - GRAM), 0, len(hashes) - 1)] + STEP)
+        sides.append(np.where(inside & ~near, value, np.uint64(0)).view(np.int64))
+    return (row, start - begin[row], strings, near, own.view(np.int64), whole.view(np.int64), *sides)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
         for first, last, data, lengths in slabs(batch.column(2), _SLAB):
-            row, start, strings, twice, anchor, context = contexts_of(data, lengths, length)
+            row, start, strings, twice, anchor, context, left, right = contexts_of(data, lengths, length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[0][first:last][row]), pa.array(ids[1][first:last][row]),
                  pa.array(start.astype(np.int32)), pa.array(strings.astype(np.int32)), pa.array(twice),
-                 pa.array(anchor), pa.array(context)],
-                names=["_id", "_th", "start", "strings", "twice", "anchor", "context"])
+                 pa.array(anchor), pa.array(context), pa.array(left), pa.array(right)],
+                names=["_id", "_th", "start", "strings", "twice", "anchor", "context", "left", "right"])
 
 
 class RunLengthIndex:
@@ -207,7 +227,8 @@ def covered(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 def _groups(sorted_values: np.ndarray) -> tuple[list, list, list]:
     """(value, first, end) of each run of equal values."""
     first = np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1]))[:len(sorted_values)]
-    return sorted_values[first].tolist(), first.tolist(), np.append(first[1:], len(sorted_values)).tolist()
+    ends = np.append(first[1:], len(sorted_values))[:len(first)]
+    return sorted_values[first].tolist(), first.tolist(), ends.tolist()
 
 
 _SPANS = "_id long, _th int, start int, stop int"
@@ -248,18 +269,55 @@ def _index(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
         yield done(held)
 
 
+def _string_hashes(data: np.ndarray, h: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of some bytes; ``h`` are the hashes of their grams."""
+    n = len(data) - length + 1
+    whole = np.zeros(n, np.uint64)
+    for i in range(-(-length // GRAM)):
+        off = min(GRAM * i, length - GRAM)
+        whole = mix(whole + h[off:off + n] + STEP)
+    return whole
+
+
+def _second(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts cut where the second least hash of their strings changes.
+
+    With the first anchor that one makes an anchor of its own; ``part`` is a hash of
+    the piece, and ``twice`` tells that a string occurs twice in it.
+    """
+    grams = length - GRAM + 1
+    last = np.uint64((1 << 64) - 1)
+    for batch in batches:
+        out = []
+        for anchor, _id, _th, at, context, once in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            data = np.frombuffer(context, np.uint8)
+            hashes = gram_hashes(data)
+            h = hashes[:len(data) - GRAM + 1]
+            own = np.int64(anchor).astype(np.uint64)
+            least = sliding(np.where(h == own, last, h), grams)
+            whole = _string_hashes(data, hashes, length)
+            first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+            for a, b in zip(first.tolist(), np.append(first[1:], len(least)).tolist(), strict=True):
+                strings = whole[a:b]
+                part = mix(np.array([strings[0] ^ (strings[-1] >> np.uint64(1))]) + np.uint64(b - a))
+                out.append((int(mix(least[a:a + 1] + own).view(np.int64)[0]), int(part.view(np.int64)[0]),
+                            _id, _th, at + a, context[a:b + length - 1], once,
+                            len(np.unique(strings)) < b - a))
+        columns = list(zip(*out, strict=True)) if out else [()] * 8
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            names=["anchor", "part", "_id", "_th", "start", "context", "once", "twice"])
+
+
 def _strings(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Every string of the contexts of very frequent anchors, by its hash."""
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             anchor, _id, _th, at, context, once = row
             data = np.frombuffer(context, np.uint8)
-            h = gram_hashes(data)
-            n = len(data) - length + 1
-            whole = np.zeros(n, np.uint64)
-            for i in range(-(-length // GRAM)):
-                off = min(GRAM * i, length - GRAM)
-                whole = mix(whole + h[off:off + n] + STEP)
+            whole = _string_hashes(data, gram_hashes(data), length)
+            n = len(whole)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, anchor)), pa.array(whole.view(np.int64)),
                  pa.array(np.full(n, _id)), pa.array(np.full(n, _th, np.int32)),
@@ -279,6 +337,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
         text.cast("binary").alias("text"))
 
 
+def _with_a_like_side(contexts: DataFrame) -> DataFrame:
+    """The contexts that may share a string with another one, or hold one twice.
+
+    A side's hash stands for its anchor as well. Most contexts have no side in
+    common with any; narrow rows tell that.
+    """
+    sides = contexts.where("NOT twice").select(
+        "anchor", "context", F.explode(F.array("left", "right")).alias("side")).where("side <> 0")
+    # As a text that repeats itself is cut anywhere, its sides are no sides.
+    beside = contexts.where("twice").select("anchor").distinct()
+    like = sides.groupBy("side").agg(F.count("*").alias("_n")).where("_n > 1").select("side")
+    found = sides.join(like, "side").select("anchor", "context").unionAll(
+        contexts.join(beside, "anchor", "left_semi").select("anchor", "context"))
+    return contexts.join(found.distinct(), ["anchor", "context"], "left_semi").drop("left", "right")
+
+
+def _dealt_again(heavy: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of pieces that occur twice as a whole, the other pieces with their variants).
+
+    Equal strings have equal second anchors as well, so what holds of contexts and
+    anchors holds of the pieces between the second ones.
+    """
+    pieces = staged(heavy.mapInArrow(
+        lambda batches: _second(batches, length),
+        "anchor long, part long, _id long, _th int, start int, context binary, once boolean, twice boolean"))
+    kinds = staged(pieces.groupBy("anchor", "part").agg(
+        F.count("*").alias("n"), F.max("twice").alias("twice"),
+        F.min(F.struct("_id", "_th", "start", "context", "once")).alias("at")))
+    whole = pieces.where("once").join(
+        kinds.where("n > 1").select("anchor", "part"), ["anchor", "part"]).select(
+            "_id", "_th", "start", (F.col("start") + F.octet_length("context")).alias("stop"))
+    variants = (
+        kinds.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("twice").alias("_twice"))
+        .where("variants > 1 OR _twice").select("anchor", "variants"))
+    others = kinds.join(variants, "anchor").select(
+        "anchor", "at._id", "at._th", "at.start", "at.context",
+        (F.col("at.once") & (F.col("n") == 1)).alias("once"), "variants")
+    return whole, staged(others)
+
+
 def repeated_spans(docs: DataFrame, length: int = 200, together: int = TOGETHER) -> DataFrame:
     """(_id, _th, start, stop): bytes in strings of ``length`` that start elsewhere too.
 
@@ -287,7 +385,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, together: int = TOGETHER)
     keyed = _keyed(docs).drop("doc_id")
     places = keyed.where(F.octet_length("text") >= length).mapInArrow(
         lambda batches: _contexts(batches, length),
-        "_id long, _th int, start int, strings int, twice boolean, anchor long, context long")
+        "_id long, _th int, start int, strings int, twice boolean, anchor long, context long, "
+        "left long, right long")
     # One number for each anchor and task reaches the shuffle. Written tables on
     # both sides let adaptive execution split the join of a hot anchor.
     shared = staged(
@@ -296,11 +395,11 @@ def repeated_spans(docs: DataFrame, length: int = 200, together: int = TOGETHER)
     places = staged(places.join(shared, "anchor"))
     contexts = staged(places.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.max("twice").alias("twice"),
+        F.max("left").alias("left"), F.max("right").alias("right"),
         F.min(F.struct("_id", "_th", "start", "strings")).alias("at")))
-    variants = staged(
-        contexts.groupBy("anchor").agg(F.count("*").alias("variants"), F.max("twice").alias("_any"))
-        .where("variants > 1 OR _any").drop("_any"))
-    wanted = contexts.join(variants, "anchor")
+    near = staged(_with_a_like_side(contexts))
+    variants = staged(near.groupBy("anchor").agg(F.count("*").alias("variants")))
+    wanted = near.join(variants, "anchor")
     whole = (
         places.join(contexts.where("n > 1").select("anchor", "context"), ["anchor", "context"])
         .select("_id", "_th", "start", (F.col("start") + F.col("strings") + (length - 1)).alias("stop"))
@@ -320,17 +419,18 @@ def repeated_spans(docs: DataFrame, length: int = 200, together: int = TOGETHER)
                         (c["strings"] + (length - 1)).cast("int")).alias("context")))).alias("_c"))
         .select("_c.anchor", "_id", "_th", "_c.start", "_c.context", "_c.once", "_c.variants"))
     cut = staged(cut)
+    pieces, dealt = _dealt_again(cut.where(F.col("variants") > together).drop("variants"), length)
+    indexed = cut.where(F.col("variants") <= together).unionByName(dealt.where(F.col("variants") <= together))
     few = (
-        cut.where(F.col("variants") <= together).drop("variants")
-        .repartition("anchor").sortWithinPartitions("anchor")
+        indexed.drop("variants").repartition("anchor").sortWithinPartitions("anchor")
         .mapInArrow(lambda batches: _index(batches, length), _SPANS))
-    strings = cut.where(F.col("variants") > together).drop("variants").mapInArrow(
+    strings = dealt.where(F.col("variants") > together).drop("variants").mapInArrow(
         lambda batches: _strings(batches, length),
         "anchor long, string long, _id long, _th int, start int, once boolean")
     twice = strings.groupBy("anchor", "string").agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
     many = strings.where("once").join(twice, ["anchor", "string"]).select(
         "_id", "_th", "start", (F.col("start") + length).cast("int").alias("stop"))
-    return whole.unionByName(few).unionByName(many)
+    return whole.unionByName(few).unionByName(many).unionByName(pieces)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
