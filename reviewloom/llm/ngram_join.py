@@ -1,21 +1,29 @@
 """Documents linked by the Jaccard similarity of their shingles, by PartEnum.
 
-Sets are put into bands of size. Within a band the feature domain is dealt to
-parts by hash. Linked sets differ in at most k features and so in at most k
-parts; what they hold in the others is the same, and its hash is a common
-signature. (Of the subsets of parts that may be enumerated those of one part
-need the fewest signatures.) A set signs with the k + 1 least of its parts'
-hashes: two sets that miss at most k of each other's have one of these in common.
+Sets are put into bands of size. Within a band the feature domain is dealt by hash
+to parts, and each part to three pieces. Linked sets differ in k features at most,
+so of k // 2 + 1 parts one holds at most one feature in which they differ, and two of
+its pieces are the same: the hash of any two pieces of a part is a signature.
+
+A set signs in a few parts more than that, ``spare`` ones, and leaves out pairs of
+pieces that are empty, which all kinds of sets have in common. Where two linked
+sets have only such a pair in common in a part, the part is weak, with an empty
+pair, in both. If either of them has no more weak parts than spare ones, another
+part is left that they share. Sets with more weak parts sign in one more way, by
+the least k + 1 hashes of smaller parts that are whole: two sets that miss at most k
+of each other's parts have one of these in common.
 
 Null and empty texts have no set and are linked with nothing. Rows that share
 a doc_id count as one document. A null doc_id is never a component's id unless
 all its documents have none. Extra columns are ignored.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewloom.llm.common import BLANKS, text_hash
@@ -25,6 +33,8 @@ from reviewloom.session import staged
 
 
 ALL = (1 << 64) - 1
+#: Bits by which signatures are sorted out ahead of a shuffle: 16 MB.
+SIGN_BITS = 27
 #: Numbers below this stand for classes in which no row has a doc_id.
 NO_ID_BELOW = -(1 << 62)
 
@@ -38,6 +48,7 @@ class PartEnum:
 
     def __init__(self, percent: int, growth: float = 1.5):
         self.percent, self.growth = percent, max(growth, 100 / percent + 0.01)
+        self._parts: dict[tuple[int, int], tuple[int, int]] = {}
 
     def edges(self, largest: int) -> list[int]:
         out = [1]
@@ -49,10 +60,22 @@ class PartEnum:
         """Features in which linked sets of sizes ``a`` and ``b`` differ at most."""
         return (a + b) * (100 - self.percent) // (100 + self.percent)
 
-    def parts(self, high: int) -> int:
-        """Parts of the band of sizes below ``high``: enough that more than k are filled."""
-        largest = high - 1
-        return max(int(1.3 * self.differing(largest, largest * 100 // self.percent)) + 3, 16)
+    def parts(self, low: int, high: int) -> tuple[int, int]:
+        """(parts, spare ones) of the band of sizes from ``low`` up to ``high``.
+
+        As many are spare as most sets of a middle size have weak ones, a fifth at most.
+        """
+        if (low, high) not in self._parts:
+            needed = self.differing(high - 1, (high - 1) * 100 // self.percent) // 2 + 1
+            middle, spare = (low + high) // 2, 0
+            while spare < needed // 4:
+                parts = needed + spare
+                weak = 3 * parts * math.exp(-2 * middle / (3 * parts))
+                if weak + math.sqrt(weak) <= spare:
+                    break
+                spare += 1
+            self._parts[low, high] = needed + spare, spare
+        return self._parts[low, high]
 
     def sign(self, rows: np.ndarray, values: np.ndarray, sizes: np.ndarray):
         """(row, signature) for sorted distinct features of rows of these sizes."""
@@ -62,28 +85,62 @@ class PartEnum:
         # The largest partner of a set decides how far the two may differ.
         own_reach = self.differing(sizes, sizes * 100 // self.percent)
         for b in range(len(edges) - 1):
-            high = edges[b + 1]
+            low, high = edges[b], edges[b + 1]
             above = (band == b + 1) & (sizes * self.percent <= (high - 1) * 100)
             reach = np.where(band == b, own_reach, np.where(above, self.differing(sizes, high - 1), 0))
             chosen = (reach > 0)[rows]  # without reach only equal sets are linked
             if not chosen.any():
                 continue
             row, value = rows[chosen], values[chosen]
-            part = (value >> np.uint64(32)) * np.uint64(self.parts(high)) >> np.uint64(32)
+            parts, spare = self.parts(low, high)
+            signed = np.where(reach > 0, reach // 2 + 1 + spare, 0)
+            part = (value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+            within = part < signed[row].astype(np.uint64)
+            row, value, part = row[within], value[within], part[within]
+            if not len(row):
+                continue
             first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+            piece = (value & np.uint64(0xFFFFFFFF)) * np.uint64(3) >> np.uint64(32)
+            spread = mix(value)
+            held = [np.add.reduceat(np.where(piece == np.uint64(j), spread, np.uint64(0)), first)
+                    for j in range(3)]
+            row, part = row[first], part[first]
             tag = np.uint64((b + 1) * int(STEP) & ALL)
-            held = mix(np.add.reduceat(mix(value), first) + mix(part[first] + tag))
-            row = row[first]
-            order = np.lexsort((held, row))
-            filled = np.bincount(row, minlength=len(sizes))
-            rank = np.arange(len(row)) - np.repeat(np.cumsum(filled) - filled, filled)
-            kept = order[rank <= reach[row]]
-            # Sets with so few parts may have none of them in common.
-            sparse = np.flatnonzero((filled > 0) & (filled <= reach))
-            out_rows += [row[kept], sparse]
-            out_signs += [held[kept], np.full(len(sparse), mix(np.array([tag]))[0])]
+            filled = [h != 0 for h in held]
+            for number, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
+                some = filled[i] | filled[j]
+                place = mix(part[some] * np.uint64(3) + np.uint64(number) + tag)
+                out_rows.append(row[some])
+                out_signs.append(mix(mix(held[i][some] + place) + held[j][some]))
+            strong = np.bincount(row[(filled[0].astype(np.int8) + filled[1] + filled[2]) > 1],
+                                 minlength=len(sizes))
+            weak = (signed > 0) & (signed - strong > spare)
+            if weak.any():
+                rows_of_weak = weak[rows]
+                self._whole_parts(rows[rows_of_weak], values[rows_of_weak], reach, high,
+                                  mix(np.array([tag])), out_rows, out_signs)
         return np.concatenate(out_rows), np.concatenate(out_signs)
 
+    def _whole_parts(self, row, value, reach, high, tag, out_rows, out_signs):
+        """Signatures of sets with many weak parts: the least ``reach`` + 1 hashes of whole parts.
+
+        What two sets miss of each other's lies in ``reach`` parts at most.
+        """
+        largest = high - 1
+        parts = max(int(1.3 * self.differing(largest, largest * 100 // self.percent)) + 3, 16)
+        part = (value >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+        first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])))
+        held = mix(np.add.reduceat(mix(value), first) + mix(part[first] + tag))
+        row = row[first]
+        order = np.lexsort((held, row))
+        filled = np.bincount(row, minlength=len(reach))
+        rank = np.arange(len(row)) - np.repeat(np.cumsum(filled) - filled, filled)
+        kept = order[rank <= reach[row]]
+        # Sets with so few parts may have none of them in common.
+        few = np.flatnonzero((filled > 0) & (filled <= reach))
+        out_rows += [row[kept], few]
+        out_signs += [held[kept], np.full(len(few), mix(tag)[0])]
+
 
 def _texts(batches: Iterator[pa.RecordBatch], size: int):
     """(part of a batch, row, shingle, number of shingles by row) over slabs."""
@@ -108,15 +165,38 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             names=["doc_id", "_id", "_th", "n", "f1", "f2"])
 
 
-def _signs(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def _signs(
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, held: Broadcast | None,
+) -> Iterator[pa.RecordBatch]:
+    """(sign, _id); with ``held``, only signatures whose bit is set there."""
     enum = PartEnum(percent)
     for part, rows, values, n in _texts(batches, size):
         row, sign = enum.sign(rows, values, n)
+        if held is not None:
+            place = (sign & np.uint64((1 << SIGN_BITS) - 1)).astype(np.int64)
+            some = (held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+            row, sign = row[some], sign[some]
         ids = part.column(part.schema.get_field_index("_id"))
         yield pa.RecordBatch.from_arrays(
             [pa.array(sign.view(np.int64)), ids.take(pa.array(row))], names=["sign", "_id"])
 
 
+def _held_bits(shared: DataFrame) -> Broadcast:
+    """A bit for each number that a signature of ``shared`` ends in.
+
+    Always of the same size. What it lets through besides is told apart by the
+    join that follows.
+    """
+    spark = shared.sparkSession
+    place = F.col("sign").bitwiseAND(F.lit((1 << SIGN_BITS) - 1))
+    found = shared.groupBy(F.shiftright(place, 15).cast("int").alias("bucket")).agg(
+        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
+    out = np.zeros(1 << (SIGN_BITS - 3), np.uint8)
+    for bucket, bits in found.toLocalIterator():
+        out[bucket << 12:(bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
 class _Forest:
     def __init__(self, size: int):
         self.up = list(range(size))
@@ -271,13 +351,18 @@ def link_documents(
             F.max("n").alias("n")))
     named = staged(
         full.join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("_id", "node").distinct())
-    # Exact copies sign alike; candidates are put down to classes further below.
-    signed = keyed.select("_id", "text").mapInArrow(
-        lambda batches: _signs(batches, size, percent), "sign long, _id long")
+
+    def sign(held: Broadcast | None) -> DataFrame:
+        """Exact copies sign alike; candidates are put down to classes further below."""
+        return keyed.select("_id", "text").mapInArrow(
+            lambda batches: _signs(batches, size, percent, held), "sign long, _id long")
+
     # Written tables on both sides let adaptive execution split a hot key's join.
     shared = staged(
-        signed.groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows"))
+        sign(None).groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows"))
         .where("_rows > 1").select("sign", "b"))
+    # Most signatures are one document's; the second time only the others are shuffled.
+    signed = sign(_held_bits(shared))
     rows = staged(signed.join(shared, "sign").where("_id <> b").select("_id", "b").distinct())
     candidates = staged(
         rows.join(named, "_id").select(F.col("node").alias("a"), F.col("b").alias("_id"))
