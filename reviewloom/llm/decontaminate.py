@@ -3,7 +3,8 @@
 Exact windows decide what is contaminated; ``proximity`` tells what is near.
 Null texts have no words. Rows that share doc_id and text are one document and
 get the same result. An item without words has no windows. Items whose item_id is
-null hit as any other, and count together as one item. Extra columns are
+null hit as any other, and count together as one item. Empty tables have no rows, and no
+items hit nothing. Documents and items of any length are compared whole. Extra columns are
 ignored. Words are compared by 64-bit hashes, thirteen of them at a time.
 """
 

@@ -8,7 +8,9 @@ whichever of its words differ; it is then compared there word by word, and its
 key phrases must be found.
 
 Null and empty texts have no words and no labels. Rows are judged one by one,
-so repeated rows agree; counts are over rows. Extra columns are ignored.
+so repeated rows agree; counts are over rows. An empty table has no rows. Texts are
+read whole. Of several places of a template the largest share counts. Extra columns are
+ignored.
 """
 
 import re

@@ -2,7 +2,9 @@
 
 Null and empty texts are one empty line. A null doc_id counts as one document
 of its own that is never the largest. Rows that share doc_id and text count as
-one document. Extra columns are passed through or ignored.
+one document, and so do rows that share a doc_id with other texts. An empty table has
+no rows. Lines of any length are keyed whole. Extra columns are passed through or
+ignored.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F

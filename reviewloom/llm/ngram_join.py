@@ -15,7 +15,9 @@ of each other's parts have one of these in common.
 
 Null and empty texts have no set and are linked with nothing. Rows that share
 a doc_id count as one document. A null doc_id is never a component's id unless
-all its documents have none. Extra columns are ignored.
+all its documents have none. An empty table has no rows. A text is taken whole, in
+memory in proportion to it. Equal sets are one class, named by its least doc_id. Extra
+columns are ignored.
 """
 
 import math

@@ -7,7 +7,8 @@ boosting shallow trees, one feature after the other in turn.
 Null and empty texts have all features 0 and a score like any other. Rows are
 scored one by one, so repeated rows agree. A null doc_id is not held out and
 never learnt from. Without usable labels every score is the share of label 1,
-or a half. Extra columns are ignored or passed through.
+or a half. An empty table has no rows. A text is measured whole, a long one alone. A
+score that equals the threshold is good. Extra columns are ignored or passed through.
 """
 
 from collections.abc import Iterator

@@ -1,8 +1,9 @@
 """Quality rules: text statistics, and a decision list learnt from labels.
 
 Null and empty texts have no words and fail. Rows are judged one by one, so
-repeated rows agree. Without usable labels the list is empty. Extra columns are
-ignored.
+repeated rows agree. Without usable labels the list is empty. An empty table has no
+rows. Texts are counted whole. Of conditions of equal gain the first by measure and
+threshold is taken. Extra columns are ignored.
 """
 
 import math

@@ -16,7 +16,8 @@ of their predecessors, one byte shorter; so the matches at the run ends, laid
 over the text, give the longest match at every place.
 
 Null and empty texts have no bytes. Repeated rows are places like any others.
-Rows that share doc_id and text get the same result. Extra columns are ignored.
+Rows that share doc_id and text get the same result. An empty table has no rows. A
+text is cut into contexts whole, in memory in proportion to it. Extra columns are ignored.
 Anchors and contexts are told apart by 64-bit hashes each.
 """
 

@@ -5,7 +5,8 @@ intersected, and the pattern is run only on the documents that are left; a
 pattern without a mandatory trigram is run on all.
 
 Null and empty texts have no spans. Rows that share doc_id and text share their
-postings and get the same result. Extra columns are ignored.
+postings and get the same result. An empty table has no rows. Texts are matched whole.
+Spans of one start go in the order of the rules. Extra columns are ignored.
 """
 
 from dataclasses import dataclass
