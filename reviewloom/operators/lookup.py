@@ -2,15 +2,19 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewloom.functions.enrichment import windows
 from reviewloom.functions.text import bind, strip
 from reviewloom.operators.skew import within
 from reviewloom.session import staged
 
-#: Characters of the grams that index a dictionary.
+#: Characters of the shortest grams that index a dictionary, but for shorter entries.
 GRAM = 5
+#: Longer grams, which few texts hold by chance: an entry has those of the largest size that fits.
+LONGER = (8, 24)
 #: Up to as many different grams are broadcast to be filtered by.
 LISTED_GRAMS = 500_000
 
@@ -42,42 +46,68 @@ def first_contained(
 
 
 def rarest_grams(df: DataFrame, text: str, dictionary: DataFrame, size: int = GRAM) -> DataFrame:
-    """Each dictionary entry under one gram: gram, needle, entry.
+    """Each dictionary entry under one gram: gram, length, needle, entry.
 
     It is the entry's gram that the fewest texts hold, of equally rare ones the
-    first. Entries with a gram that no text holds can't occur and are left out. One
-    shorter than ``size`` is a gram of its own.
+    least. Entries with grams that no text holds can't occur and are left out. One
+    shorter than ``size`` is a gram of its own. Grams are 64-bit numbers.
     """
     entries = dictionary.where(F.col("needle") != "").groupBy(F.lower("needle").alias("needle")).agg(
-        F.min(F.struct("ord", "label")).alias("entry"))
-    grams = staged(entries.select("needle", "entry", F.explode(_grams(F.col("needle"), size)).alias("gram")))
+        F.min(F.struct("ord", "label")).alias("entry")).withColumn("length", _gram_length(F.col("needle"), size))
+    grams = staged(entries.select(
+        "needle", "entry", "length", F.explode(_numbers("needle", F.array("length"))).alias("gram")))
     wanted = grams.select("gram").distinct()
     found = df.select(F.explode(text_grams(F.col(text), _lengths(grams))).alias("gram"))
     held = found.join(F.broadcast(wanted) if within(wanted, LISTED_GRAMS) else wanted, "gram") \
         .groupBy("gram").agg(F.count("*").alias("texts"))
     chosen = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("_first")
     return (
-        grams.join(held, "gram", "left").groupBy("needle", "entry").agg(chosen)
-        .where("_first.texts > 0").select("_first.gram", "needle", "entry")
+        grams.join(held, "gram", "left").groupBy("needle", "entry", "length").agg(chosen)
+        .where("_first.texts > 0").select("_first.gram", "length", "needle", "entry")
     )
 
 
-def _grams(text: Column, size: int) -> Column:
-    """The distinct grams of a short string, or the string itself where it is shorter."""
-    return F.when(F.length(text) < size, F.array(text)).otherwise(F.array_distinct(windows(text, size)))
+def _gram_length(needle: Column, size: int) -> Column:
+    """Characters of an entry's grams: the largest size that fits, or all it has."""
+    fits = [F.when(F.length(needle) >= n, n) for n in (*LONGER, size) if n >= size]
+    return F.coalesce(F.greatest(*fits) if len(fits) > 1 else fits[0], F.length(needle))
 
 
 def _lengths(grams: DataFrame) -> list[int]:
-    """The lengths of an index's grams: at most as many as a gram has characters."""
-    return sorted(r[0] for r in grams.select(F.length("gram")).distinct().collect())
+    """The lengths of an index's grams: the sizes, and those of entries below the shortest."""
+    return sorted(r[0] for r in grams.select("length").distinct().collect())
+
+
+#: An odd number, the base of the grams' numbers, and its inverse, both modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def gram_numbers(text: str, sizes: Sequence[int]) -> np.ndarray:
+    """The distinct numbers of a text's grams of these sizes: equal for equal grams."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = (codes + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    codes ^= codes >> np.uint64(32)
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    scale, back = np.full((2, len(codes) + 1), [[BASE], [_INVERSE]], np.uint64)
+    scale[0] = back[0] = 1
+    scale, back = np.cumprod(scale), np.cumprod(back)
+    np.cumsum(codes * scale[:-1], out=sums[1:])
+    found = [(sums[n:] - sums[:-n]) * back[:len(codes) - n + 1] + np.uint64(n) for n in sizes if n <= len(codes)]
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _numbers(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([gram_numbers(t, s) for t, s in zip(texts, sizes, strict=True)], dtype=object)
 
 
 def text_grams(text: Column, lengths: Sequence[int]) -> Column:
-    """The distinct pieces of these lengths of a lower-cased text."""
+    """The distinct grams of these lengths of a lower-cased text, as numbers."""
     if not lengths:
-        return F.array().cast("array<string>")
+        return F.array().cast("array<long>")
     low = strip(F.lower(F.coalesce(text, F.lit(""))))
-    return bind(low, lambda t: F.array_distinct(F.concat(*[windows(t, n) for n in lengths])))
+    return _numbers(low, F.array(*[F.lit(n) for n in lengths]))
 
 
 def first_indexed(
@@ -87,22 +117,30 @@ def first_indexed(
 
     An index holds each entry under its rarest gram only. A text proposes the
     entries under the grams it holds, and those are looked for in it, the lowest
-    ``ord`` first. Nothing is longer than the text but the entries proposed for it.
+    ``ord`` first, until one is there. Grams are as long as an entry allows, so few
+    entries are proposed that the text doesn't hold. Nothing is longer than the
+    text but the entries proposed for it.
     """
     index = staged(rarest_grams(df, text, dictionary, size))
-    wanted = index.select("gram").distinct()
-    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), _lengths(index))).alias("gram"))
-    if within(wanted, LISTED_GRAMS):
-        grams = grams.join(F.broadcast(wanted), "gram")
+    lengths = _lengths(index)
+    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), lengths)).alias("gram"))
+    index = index.drop("length")
+    if within(index, LISTED_GRAMS):
+        index = F.broadcast(index)
+    else:
+        wanted = index.select("gram").distinct()
+        if within(wanted, LISTED_GRAMS):
+            grams = grams.join(F.broadcast(wanted), "gram")
     proposed = (
         grams.join(index, "gram").groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("entry", "needle"))).alias("_entries")))
-    found = bind(strip(F.lower(F.col(text))), lambda low: F.get(
-        F.filter("_entries", lambda e: F.contains(low, e["needle"])), 0))
+    nothing = F.filter(F.transform("_entries", lambda e: e["entry"]), lambda e: F.lit(False))
+    found = bind(strip(F.lower(F.col(text))), lambda low: F.get(F.aggregate(
+        "_entries", nothing, lambda hit, e: F.when(F.size(hit) > 0, hit).when(
+            F.contains(low, e["needle"]), F.array(e["entry"])).otherwise(hit)), 0))
     return (
-        df.select(key, text).join(proposed, key).select(key, found["entry"]["label"].alias("label"),
-                                                        found.isNotNull().alias("_any"))
-        .where("_any").drop("_any")
+        df.select(key, text).join(proposed, key).select(key, found.alias("_found"))
+        .where("_found IS NOT NULL").select(key, F.col("_found.label").alias("label"))
     )
 
 

@@ -102,3 +102,12 @@ def test_pages_in_all_encodings(spark, tmp_path):
     assert got == {name: text for name, (_, text) in files.items()}
     failures = readers.unreadable_files(read).collect()
     assert len(failures) == 4 and all(r["strategy"] == "file" and r["error"] for r in failures)
+
+
+def test_entries_are_proposed_by_long_grams(spark):
+    """A text that holds every five characters of an entry, but not the entry, proposes nothing."""
+    texts = spark.createDataFrame(
+        [(1, "abcde bcdef cdefg defgh efghi"), (2, "xx ABCDEFGHI yy")], "id long, text string")
+    dictionary = spark.createDataFrame([(1, "abcdefghi", "L")], "ord int, needle string, label string")
+    assert lookup.rarest_grams(texts.where("id = 1"), "text", dictionary).isEmpty()
+    assert [tuple(r) for r in lookup.first_indexed(texts, "id", "text", dictionary).collect()] == [(2, "L")]
