@@ -96,13 +96,14 @@ def page_title(html: Column) -> Column:
     return F.regexp_extract(html, "(?is)<title[^>]*>(.*?)</title>", 1)
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(html: Column, mark: Column | str = "") -> Column:
     """Text between the tags, without comments, scripts and styles.
 
-    Character references stay as written.
+    Character references stay as written. ``mark`` takes the place of what is left out.
     """
-    shown = F.regexp_replace(html, f"(?is){_COMMENT}|{_HIDDEN}", "")
-    return F.regexp_replace(shown, "(?s)<[!/a-zA-Z?][^>]*>", "")
+    mark = F.lit(mark) if isinstance(mark, str) else mark
+    shown = F.regexp_replace(html, F.lit(f"(?is){_COMMENT}|{_HIDDEN}"), mark)
+    return F.regexp_replace(shown, F.lit("(?s)<[!/a-zA-Z?][^>]*>"), mark)
 
 
 def snippet(text: Column) -> Column:

@@ -185,18 +185,24 @@ SNIPPET_FROM = 500
 
 
 @F.pandas_udf(T.StringType())
-def _plain(texts: pd.Series) -> pd.Series:
-    return texts.map(unescape, na_action="ignore")
+def _plain(texts: pd.Series, marks: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else "".join(map(unescape, t.split(m)))
+                      for t, m in zip(texts, marks, strict=True)], dtype=object)
 
 
 def page_snippet(html: Column) -> Column:
     """The short excerpt of a page's text, character references resolved.
 
-    Python sees a text only if there is a reference in the part that is shown.
+    A tag ends a reference: what stands on both sides of one makes none. Python
+    sees a text only if there is a reference in the part that is shown.
     """
+    # A page can't hold its own digest, which marks where tags were.
+    mark = F.concat(F.lit("\0"), F.md5(html), F.lit("\0"))
+
     def shown(text: Column) -> Column:
         written = F.contains(F.substring(text, 1, SNIPPET_FROM), F.lit("&"))
-        return snippet(F.when(written, _plain(F.when(written, text))).otherwise(text))
+        marked = F.when(written, visible_text(html, mark))
+        return snippet(F.when(written, _plain(marked, mark)).otherwise(text))
 
     return shown(visible_text(html))
 

@@ -232,3 +232,12 @@ def test_unreadable_data_is_told(spark):
         [(1, "u", bad), (2, "u", "<p>x</p>"), (3, "u", None)], "page_id long, url string, html string")
     found = extract.extraction_failures(pages).collect()
     assert sorted((r["page_id"], r["strategy"]) for r in found) == [(1, "json_ld"), (1, "state")]
+
+
+def test_references_do_not_reach_across_tags(spark):
+    """A reference ends at a tag, with or without its semicolon; what follows adds nothing to it."""
+    pages = spark.createDataFrame([
+        (1, "<title>Rock &am</title><p>p; Roll</p>"), (2, "<b>A &amp</b>B &lt;i&gt;"),
+        (3, "&<!-- x -->amp;&<script>1</script>gt;"), (4, "no reference"), (5, None)], "id long, html string")
+    got = {r[0]: r[1] for r in pages.select("id", extract.page_snippet(F.col("html"))).collect()}
+    assert got == {1: "Rock &amp; Roll", 2: "A &B <i>", 3: "&amp;&gt;", 4: "no reference", 5: None}
