@@ -43,27 +43,31 @@ def page_candidates(
         listings = listings.withColumn("profile", profile_of("platform", profiles))
     if "source_priority" not in listings.columns:
         listings = listings.withColumn("source_priority", F.lit(0))
-    listed = _with_listing(drop_block_pages(pages), listings)
+    listed = _with_listing(drop_block_pages(pages), _listing_of(pages.select("url"), listings))
     if "max_pages" in listings.columns:
         listed = listed.where(page_number(F.col("url")) < F.col("max_pages"))
     rows = candidate_rows(extract_reviews(listed, profiles))
     return rows.select("source_priority", "page_id", "pos", *_FIELDS)
 
 
-def _with_listing(pages: DataFrame, listings: DataFrame) -> DataFrame:
-    """Pages with the columns of their listing."""
-    rest = [c for c in listings.columns if c != "url"]
-    exact = listings.select(F.col("url"), F.struct(*rest).alias("_own"))
+def _listing_of(addresses: DataFrame, listings: DataFrame) -> DataFrame:
+    """url, _listing: the listings by their own addresses, and those of all other pages.
+
+    Settled on addresses alone: no page is sent to where its missing key would be.
+    """
+    rest = F.struct(*[c for c in listings.columns if c != "url"]).alias("_listing")
+    exact = listings.select("url", rest)
     # Listings that differ in the offset alone: the first address has the others' pages.
     shared = listings.groupBy(first_page_url(F.col("url")).alias("_first")).agg(
-        F.min_by(F.struct(*rest), "url").alias("_shared"))
-    found = (
-        pages.join(exact, "url", "left")
-        .withColumn("_first", F.when(F.col("_own").isNull(), first_page_url(F.col("url"))))
-        .join(shared, "_first", "left")
-        .withColumn("_listing", F.coalesce("_own", "_shared"))
-    )
-    return found.where(F.col("_listing").isNotNull()).select(*pages.columns, "_listing.*")
+        F.min_by(rest, "url").alias("_listing"))
+    others = addresses.distinct().join(exact, "url", "left_anti").select(
+        "url", first_page_url(F.col("url")).alias("_first"))
+    return exact.unionByName(others.join(shared, "_first").select("url", "_listing"))
+
+
+def _with_listing(pages: DataFrame, listing_of: DataFrame) -> DataFrame:
+    """Pages with the columns of their listing."""
+    return pages.join(listing_of, "url").select(*pages.columns, "_listing.*")
 
 
 def note_candidates(files: DataFrame) -> DataFrame:
