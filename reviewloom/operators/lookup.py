@@ -15,6 +15,8 @@ from reviewloom.session import staged
 GRAM = 5
 #: Longer grams, which few texts hold by chance: an entry has those of the largest size that fits.
 LONGER = (8, 24)
+#: Up to as many entries are looked for in every text, one by one.
+PAIRED = 1000
 #: Up to as many different grams are broadcast to be filtered by.
 LISTED_GRAMS = 500_000
 
@@ -26,12 +28,17 @@ def first_contained(
 
     ``dictionary`` has ord, needle, label; the lowest ord wins; ``key`` is
     unique in ``df``; texts without a hit are left out. For dictionaries too
-    long for a CASE. "Contains" becomes an equality: a text is cut into all
-    substrings of the lengths that occur, which are looked up, so no text is
-    compared with every entry.
+    long for a CASE. Up to ``PAIRED`` entries are broadcast and looked for in each text. With more
+    of them "contains" becomes an equality: a text is cut into all substrings of
+    the lengths that occur, which are looked up, so no text is compared with every entry.
     """
     entries = dictionary.groupBy(F.lower("needle").alias("needle")).agg(
         F.min(F.struct("ord", "label")).alias("entry"))
+    if within(entries, PAIRED):
+        held = df.select(F.col(key), strip(F.lower(F.col(text))).alias("_low")).join(
+            F.broadcast(entries.where("needle <> ''")), F.expr("contains(_low, needle)"))
+        return held.groupBy(key).agg(F.min("entry").alias("entry")).select(
+            key, F.col("entry.label").alias("label"))
     lengths = sorted(
         r[0] for r in entries.select(F.length("needle")).where("needle <> ''").distinct().collect())
     if not lengths:
