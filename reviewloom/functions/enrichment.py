@@ -7,7 +7,9 @@ CASE. That runs inside the scan: no join and no shuffle.
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
 
 from reviewloom.functions.text import SPACE, bind, contains_any, matches_any_word, strip
 from reviewloom.lookups import (
@@ -73,30 +75,40 @@ def windows(c: Column, length: int) -> Column:
     return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{length}}}))."), 1)
 
 
-def trigrams(text: Column) -> Column:
-    return windows(letter_runs(text), 3)
+def trigram_codes(runs: str) -> np.ndarray:
+    """All trigrams of a text of :func:`letter_runs`, as numbers in the order of the trigrams."""
+    c = np.frombuffer(runs.encode("utf-32-le"), "<u4").astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def trigram_of(code: int) -> str:
+    return chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
 
 
 def language_code(text: Column, profiles: Mapping[str, Sequence[str]]) -> Column:
     """Code of the profile that covers most trigrams of the text, else null.
 
-    Ties go to the code that comes first in the alphabet. Each profile is a
-    constant set, so a text is scored where it is read.
+    Ties go to the code that comes first in the alphabet. The profiles are one
+    small table of constants, so a text is scored where it is read.
     """
     codes = sorted(profiles)
-
-    def covered(grams: Column, code: str) -> Column:
-        return F.size(F.filter(grams, lambda g: g.isin(list(profiles[code]))))
-
-    def winner(hits: Column) -> Column:
-        best = F.array_max(hits)
-        place = F.array_position(hits, best).cast("int")
-        named = F.get(F.array(*[F.lit(c) for c in codes]), place - 1)
-        return F.when(best > 0, named)
-
-    return bind(
-        trigrams(text),
-        lambda grams: bind(F.array(*[covered(grams, c) for c in codes]), winner))
+    held = {c: np.array([trigram_codes(g)[0] for g in profiles[c] if len(g) == 3], np.int64) for c in codes}
+    known = np.unique(np.concatenate([np.zeros(1, np.int64), *held.values()]))
+    covers = np.stack([np.isin(known, held[c]) for c in codes], 1)
+
+    def code(runs: str | None) -> str | None:
+        if runs is None:
+            return None
+        found = trigram_codes(runs)
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        hits = np.bincount(at[known[at] == found], minlength=len(known)) @ covers
+        return codes[hits.argmax()] if hits.max() > 0 else None
+
+    @F.pandas_udf(T.StringType())
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(code)
+
+    return best(letter_runs(text))
 
 
 def detect_language(

@@ -4,11 +4,13 @@ Frequent character n-grams tell languages apart (Cavnar and Trenkle, 1994).
 A profile is the most frequent trigrams of a language.
 """
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from reviewloom.functions.enrichment import normalise_language, trigrams
+from reviewloom.functions.enrichment import letter_runs, normalise_language, trigram_codes, trigram_of
 from reviewloom.lookups import LANGUAGE_LABELS
 from reviewloom.operators.skew import within
 
@@ -20,19 +22,28 @@ def train_language_profiles(
 ) -> DataFrame:
     """The ``size`` most frequent trigrams per language: lang, place, gram, n.
 
-    The texts are counted whole. Counts are combined on the map side, so a
-    language that holds most of the texts costs its tasks one row per trigram.
+    The texts are counted whole. Each task adds up the trigrams of a batch of texts,
+    so a language that holds most of the texts costs it one row per trigram.
     """
-    grams = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(lang).alias("lang"), F.explode_outer(trigrams(F.col(text))).alias("gram"))
-    counted = grams.where(F.col("gram").isNotNull()).groupBy("lang", "gram").agg(
-        F.count("*").alias("n"))
+    texts = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("lang"), letter_runs(F.col(text)).alias("runs"))
+    counted = texts.mapInPandas(_counted, "lang string, gram string, n long").groupBy(
+        "lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(
         Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("gram")))
     return counted.select("lang", place.alias("place"), "gram", "n").where(
         F.col("place") <= size)
 
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The trigrams of each language in a batch of texts, counted."""
+    for batch in batches:
+        for lang, runs in batch.groupby("lang")["runs"]:
+            codes, n = np.unique(np.concatenate([trigram_codes(r) for r in runs]), return_counts=True)
+            if len(codes):
+                yield pd.DataFrame({"lang": lang, "gram": list(map(trigram_of, codes.tolist())), "n": n})
+
+
 def collect_profiles(profiles: DataFrame) -> dict[str, list[str]]:
     """Trained profiles as constants for the detection expression.
 
@@ -48,14 +59,31 @@ def collect_profiles(profiles: DataFrame) -> dict[str, list[str]]:
 def ranked_trigrams(df: DataFrame, key: str, text: str = "text", size: int = PROFILE_SIZE) -> DataFrame:
     """key, gram, place: the ``size`` most frequent trigrams of each text, ties by trigram.
 
-    ``key`` tells the texts apart. Trigrams are counted on the map side, and one
-    text's different ones are sorted together.
+    ``key`` tells the texts apart. Texts are sent to their key's task once, and their
+    trigrams are counted there.
     """
-    counted = (
-        df.select(F.col(key), F.explode(trigrams(F.col(text))).alias("gram"))
-        .groupBy(key, "gram").agg(F.count("*").alias("n")))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), F.asc("gram")))
-    return counted.select(key, "gram", place.alias("place")).where(F.col("place") <= size)
+    return _ranked(df, key, text, size).drop("_most")
+
+
+def _ranked(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """The ranked trigrams, with the greatest distance that the text can have (``_most``)."""
+    texts = df.groupBy(key).agg(F.collect_list(letter_runs(F.col(text))).alias("_runs"))
+    ranked = texts.select(key, _most_frequent(F.col("_runs"), F.lit(size)).alias("_grams"))
+    return ranked.select(
+        key, (F.size("_grams") * size).cast("long").alias("_most"), F.posexplode("_grams").alias("_pos", "gram"),
+    ).select(key, "gram", (F.col("_pos") + 1).alias("place"), "_most")
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _most_frequent(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+    return pd.Series([top_trigrams(t, n) for t, n in zip(texts, sizes, strict=True)], dtype=object)
+
+
+def top_trigrams(runs: np.ndarray, size: int) -> list[str]:
+    """The most frequent trigrams of some texts together, ties by trigram."""
+    codes, n = np.unique(
+        np.concatenate([np.zeros(0, np.int64), *map(trigram_codes, runs)]), return_counts=True)
+    return [trigram_of(c) for c in codes[np.argsort(-n, kind="stable")[:size]].tolist()]
 
 
 def rank_distances(
@@ -70,14 +98,12 @@ def rank_distances(
     summed, and taken from the most there can be. Any number of languages will
     do. A text meets no language that shares nothing with it.
     """
-    own = ranked_trigrams(df, key, text, size)
+    own = _ranked(df, key, text, size)
     known = profiles.where(F.col("place") <= size).select("gram", "lang", F.col("place").alias("_place"))
     postings = F.broadcast(known) if within(known, 1_000_000) else known
-    spared = (
-        own.join(postings, "gram").groupBy(key, "lang")
-        .agg(F.sum(F.lit(size) - F.abs(F.col("place") - F.col("_place"))).alias("_spared")))
-    most = own.groupBy(key).agg((F.count("*") * size).alias("_most"))
-    return spared.join(most, key).select(key, "lang", (F.col("_most") - F.col("_spared")).alias("distance"))
+    spared = F.sum(F.lit(size) - F.abs(F.col("place") - F.col("_place")))
+    return own.join(postings, "gram").groupBy(key, "lang").agg(
+        (F.max("_most") - spared).alias("distance")).where(F.col(key).isNotNull())
 
 
 def detect_by_rank(

@@ -111,3 +111,40 @@ def test_entries_are_proposed_by_long_grams(spark):
     dictionary = spark.createDataFrame([(1, "abcdefghi", "L")], "ord int, needle string, label string")
     assert lookup.rarest_grams(texts.where("id = 1"), "text", dictionary).isEmpty()
     assert [tuple(r) for r in lookup.first_indexed(texts, "id", "text", dictionary).collect()] == [(2, "L")]
+
+
+def _exchanged(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_trigram_is_shuffled(spark):
+    """A text goes to its key's task whole; before, each of its trigrams was a row of an exchange."""
+    texts = spark.createDataFrame(
+        [(1, "the the"), (1, "thé"), (2, None), (3, "ab"), (None, "a b")], "id long, text string")
+    ranked = language.ranked_trigrams(texts, "id", size=4)
+    assert _exchanged(ranked).count("Exchange") == 1 and "Generate" not in _exchanged(ranked).split("Exchange")[1]
+    got = {}
+    for r in sorted(ranked.collect(), key=lambda r: (str(r["id"]), r["place"])):
+        got.setdefault(r["id"], []).append(r["gram"])
+    assert got == {1: [" th", "he ", "the", "e t"], 3: [" ab", "ab "], None: [" a ", " b ", "a b"]}
+
+
+def test_trained_profiles_are_the_most_frequent_trigrams(spark):
+    texts = [("a", "Ab ab, ab"), ("a", "𝒳b"), ("b", ""), (None, "ab"), ("c", None)]
+    docs = spark.createDataFrame(texts, "lang string, text string")
+    want = Counter(run[i:i + 3] for run in (" ab ab ab ", " 𝒳b ") for i in range(len(run) - 2))
+    trained = language.train_language_profiles(docs)
+    assert "MapInPandas" in _exchanged(trained)
+    assert {(r["lang"], r["place"], r["gram"], r["n"]) for r in trained.collect()} == {
+        ("a", i, g, want[g]) for i, g in enumerate(sorted(want, key=lambda g: (-want[g], g)), 1)}
+
+
+def test_short_dictionaries_cut_no_text(spark):
+    texts = spark.createDataFrame(
+        [(1, "The Lake and"), (1, "a lake"), (2, None), (3, "none"), (None, "LAKE")], "id long, text string")
+    dictionary = spark.createDataFrame(
+        [(2, "lake", "L"), (1, "THE ", "T"), (0, "", "E"), (3, "the ", "X")],
+        "ord int, needle string, label string")
+    found = lookup.first_contained(texts, "id", "text", dictionary)
+    assert "Generate" not in _exchanged(found)
+    assert {(r["id"], r["label"]) for r in found.collect()} == {(1, "T"), (None, "L")}
