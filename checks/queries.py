@@ -24,6 +24,8 @@ from reviewloom.streaming.ingest import read_arrivals, store_stream, stream_dedu
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# A file for each row: tasks move their own files, not the driver all of them.
+FILE_EACH = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
 ORDER = ["source_priority", "page_id", "pos"]
 
 # Words that occur in the documents, as a caller's own dictionary.
@@ -698,7 +700,7 @@ def pages_from_files(spark, sf_dir):
     """The captured pages as a file each, read as bytes and decoded."""
     path = scratch_dir(spark)
     pages = inputs.pages(spark, sf_dir).where("html <> ''")
-    pages.select("html").write.option("maxRecordsPerFile", 1).text(path)
+    pages.select("html").write.options(**FILE_EACH).text(path)
     found = readers.read_page_files(spark, f"{path}/*.txt")
     return found.select(
         F.expr("substring(html, 1, length(html) - 1)").alias("html"), "error")
@@ -711,7 +713,7 @@ def ingest_note_files(spark, sf_dir):
     notes_of_five = inputs.note_files(spark, sf_dir).groupBy(
         F.floor(F.col("page_id") / 5).alias("_file")).agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("page_id", "value"))), lambda x: x["value"]), "\n").alias("value"))
-    notes_of_five.select("value").write.option("maxRecordsPerFile", 1).text(f"{target}/notes")
+    notes_of_five.select("value").write.options(**FILE_EACH).text(f"{target}/notes")
     none = spark.createDataFrame([], readers.PAGE_SCHEMA)
     added = ingest.ingest(
         none, inputs.listings(spark, sf_dir), f"{target}/reviews",

@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from reviewloom.schema import LISTING_OPTIONS, LISTING_SCHEMA, PAGE_SCHEMA, REVIEW_SCHEMA
@@ -48,7 +48,8 @@ def read_page_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFram
     it is UTF-8. A file that can't be decoded has no html but an error, and ends
     nothing. UTF-8, as most are, stays an expression; Python sees the others.
     """
-    files = spark.read.format("binaryFile").load(paths)
+    reader, where = _listed(spark, paths)
+    files = reader.format("binaryFile").load(where)
     url = F.col("path")
     plain = F.col("content").cast("string")
     named = F.lower(F.regexp_extract(
@@ -104,10 +105,28 @@ def read_notes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     there = [p for p in ([paths] if isinstance(paths, str) else paths) if _exists(spark, p)]
     if not there:
         return spark.createDataFrame([], "path string, value string")
-    return spark.read.text(there, wholetext=True).select(
+    reader, where = _listed(spark, there)
+    return reader.text(where, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), "value")
 
 
+def _listed(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrameReader, str | list[str]]:
+    """A reader and its paths; the files of one folder are listed at once.
+
+    Spark lists each file that a pattern names by a task of its own. A pattern of
+    names in a folder without subfolders is a filter of that folder instead.
+    """
+    given = [paths] if isinstance(paths, str) else list(paths)
+    folder, _, name = given[0].rpartition("/") if len(given) == 1 else ("", "", "")
+    if not (set(name) & set("*?[{") and folder and not set(folder) & set("*?[]{}\\")):
+        return spark.read, given
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not _exists(spark, given[0]) or files.getContentSummary(where).getDirectoryCount() != 1:
+        return spark.read, given
+    return spark.read.option("pathGlobFilter", name), [folder]
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
