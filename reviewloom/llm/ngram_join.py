@@ -13,6 +13,11 @@ part is left that they share. Sets with more weak parts sign in one more way, by
 the least k + 1 hashes of smaller parts that are whole: two sets that miss at most k
 of each other's parts have one of these in common.
 
+Signatures are far more often shared than sets are linked. So each set has a sketch
+too, a bit for each bucket of features that tells whether their number is odd: two
+sketches differ in no more bits than the sets in features, and pairs for which that
+is too many are left out before a text is compared.
+
 Null and empty texts have no set and are linked with nothing. Rows that share
 a doc_id count as one document. A null doc_id is never a component's id unless
 all its documents have none. An empty table has no rows. A text is taken whole, in
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reviewloom.llm.common import BLANKS, text_hash
+from reviewloom.llm.common import BLANKS, marked, text_hash
 from reviewloom.llm.components import components
 from reviewloom.llm.textnum import SLAB, STEP, Words, mix, shingles, slabs
 from reviewloom.session import staged
@@ -37,6 +42,8 @@ from reviewloom.session import staged
 ALL = (1 << 64) - 1
 #: Bits by which signatures are sorted out ahead of a shuffle: 16 MB.
 SIGN_BITS = 27
+#: Signatures of as many sets at most are resolved into pairs, others into stars.
+PAIRED = 64
 #: Numbers below this stand for classes in which no row has a doc_id.
 NO_ID_BELOW = -(1 << 62)
 
@@ -152,19 +159,53 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int):
             yield batch.slice(first, last - first), rows, values, np.bincount(rows, minlength=last - first)
 
 
+def sketch(values: np.ndarray) -> bytes:
+    """Two to four bits for each feature; a bit says whether its bucket has an odd number."""
+    bits = 1 << max(3, int(2 * len(values) - 1).bit_length())
+    bucket = (mix(values) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_linked(n: int, m: int, left: bytes, right: bytes, percent: int) -> bool:
+    """Whether the sketches of sets of sizes ``n`` and ``m`` leave it open that they are linked.
+
+    The larger sketch is folded: bits of buckets that are one in the smaller are added.
+    """
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    if len(left) > len(right):
+        left, right = right, left
+    bits = 8 * len(left)
+    own, other, mask = int.from_bytes(left, "little"), int.from_bytes(right, "little"), (1 << bits) - 1
+    while other:
+        own ^= other & mask
+        other >>= bits
+    return own.bit_count() * (100 + percent) <= (n + m) * (100 - percent)
+
+
+def _may_be_linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the rows (a, b, n, m, left, right) that may be linked."""
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        yield batch.select(["a", "b"]).filter(
+            pa.array([may_be_linked(*row, percent) for row in zip(*columns, strict=True)], pa.bool_()))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The keys of each row, the size of its set and two hashes of the whole set."""
+    """The keys of each row, the size of its set, two hashes of the whole set and its sketch."""
     for part, _, values, n in _texts(batches, size):
         prints = []
         begin = np.append(0, np.cumsum(n))
+        sketches = [sketch(values[a:b]) for a, b in zip(begin[:-1], begin[1:], strict=True)]
         for salt in (1, 2):
             bits = mix(values + np.uint64(salt * int(STEP) & ALL))
             sums = np.append(np.uint64(0), np.cumsum(bits, dtype=np.uint64))
             prints.append(mix(sums[begin[1:]] - sums[begin[:-1]]).view(np.int64))
         yield pa.RecordBatch.from_arrays(
             [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "_id", "_th")]
-            + [pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1])],
-            names=["doc_id", "_id", "_th", "n", "f1", "f2"])
+            + [pa.array(n.astype(np.int64)), pa.array(prints[0]), pa.array(prints[1]),
+               pa.array(sketches, pa.binary())],
+            names=["doc_id", "_id", "_th", "n", "f1", "f2", "sketch"])
 
 
 def _signs(
@@ -319,22 +360,53 @@ def _stars(candidates: DataFrame, classes: DataFrame, block_rows: int, block_shi
         dealt.select("unit", F.col("b").alias("node")).distinct())
 
 
+def _candidates(signed: DataFrame, named: DataFrame, paired: int, percent: int) -> DataFrame:
+    """(a, b): the nodes that may be linked, by signatures (sign, _id, b, _rows).
+
+    Enough of them that those of one signature are together in a cluster, where a
+    pair that is left out can't be linked.
+    """
+    # Near copies have hundreds of signatures in common, and the same rows in each.
+    groups = signed.where(F.col("_rows") <= paired).groupBy("sign").agg(
+        F.array_sort(F.collect_set("_id")).alias("_ids")).select("_ids").distinct()
+    first = groups.select("_ids", F.posexplode("_ids").alias("_at", "b"))
+    pairs = first.select("b", F.explode(F.slice(
+        "_ids", F.col("_at") + 2, F.size("_ids"))).alias("a")).distinct()
+
+    def told(side: str, *names: str) -> DataFrame:
+        return named.select(F.col("_id").alias(side), *[
+            F.col(old).alias(new) for old, new in zip(("node", "n", "sketch"), names, strict=False)])
+
+    tested = (
+        pairs.join(told("a", "_a", "n", "left"), "a").join(told("b", "_b", "m", "right"), "b")
+        .select(F.col("_a").alias("a"), F.col("_b").alias("b"), "n", "m", "left", "right")
+        .mapInArrow(lambda batches: _may_be_linked(batches, percent), "a long, b long")
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    stars = (
+        signed.where(F.col("_rows") > paired).where("_id <> b")
+        .select(F.col("_id").alias("a"), "b").distinct()
+        .join(told("a", "_a"), "a").join(told("b", "_b"), "b")
+        .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+    return tested.unionAll(stars).where("a <> b").distinct()
+
+
 def link_documents(
     docs: DataFrame, size: int = 5, percent: int = 80, block_rows: int = 1024,
-    block_shingles: int = 1 << 20, blocks_at_once: int = 8,
+    block_shingles: int = 1 << 20, blocks_at_once: int = 8, paired: int = PAIRED,
 ) -> DataFrame:
     """(doc_id, _id, _th, n, node, root) of every row of ``docs``.
 
     ``n`` counts the distinct shingles of ``size`` words, ``root`` is the least
     document reachable by links (``node`` the least with the very same set).
 
-    Equal sets become one class first. Classes with a common signature form
-    clusters of candidates, and a cluster is compared in one task. One of more
+    Equal sets become one class first. Of up to ``paired`` classes with a common
+    signature, each two whose sketches allow a link are candidates; of more, each with
+    the least one. Candidates form clusters, and a cluster is compared in one task. One of more
     than ``block_rows`` classes or ``block_shingles`` shingles is cut into
     blocks, and each two blocks are compared in one task. One of more blocks than
-    ``blocks_at_once`` is connected first: every class is compared with the
-    least one of each of its signatures, in parts. Then only signatures whose
-    classes aren't all connected can hide another link, and the clusters that
+    ``blocks_at_once`` is connected first: every class is compared with its
+    candidates, in parts. Then only signatures of more than ``paired`` classes that
+    aren't all connected can hide another link, and the clusters that
     these form are compared by blocks. So no link is lost, no task is
     unbounded, and a large group of near copies costs its size.
     """
@@ -342,40 +414,42 @@ def link_documents(
         "doc_id", _own_id().alias("_id"), text_hash(F.col("text")).alias("_th"), "text")
     base = staged(keyed.mapInArrow(
         lambda batches: _sets(batches, size),
-        "doc_id long, _id long, _th long, n long, f1 long, f2 long"))
+        "doc_id long, _id long, _th long, n long, f1 long, f2 long, sketch binary"))
     # A class without any doc_id takes its number from its set.
     node = F.coalesce(
         F.min("doc_id"), F.lit(NO_ID_BELOW) - 1 - F.shiftrightunsigned(F.min("f1"), 3))
     full = base.where("n > 0")
     classes = staged(
         full.groupBy("f1", "f2").agg(
-            node.alias("node"), F.min(F.struct("_id", "_th")).alias("_row"),
+            node.alias("node"), F.min(F.struct("_id", "_th", "sketch")).alias("_row"),
             F.max("n").alias("n")))
     named = staged(
-        full.join(classes.select("f1", "f2", "node"), ["f1", "f2"]).select("_id", "node").distinct())
+        full.select("_id", "f1", "f2").distinct()
+        .join(classes.select("f1", "f2", "node", "n", "_row.sketch"), ["f1", "f2"]).drop("f1", "f2"))
+    # Equal sets sign alike, so one row of each class signs (and a few others with it).
+    signing = marked(keyed, [F.col("_id"), F.col("_th")],
+                     classes.select("_row._id", "_row._th"), ["_id", "_th"]).where("_marked")
 
     def sign(held: Broadcast | None) -> DataFrame:
-        """Exact copies sign alike; candidates are put down to classes further below."""
-        return keyed.select("_id", "text").mapInArrow(
+        return signing.select("_id", "text").mapInArrow(
             lambda batches: _signs(batches, size, percent, held), "sign long, _id long")
 
     # Written tables on both sides let adaptive execution split a hot key's join.
     shared = staged(
         sign(None).groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows"))
-        .where("_rows > 1").select("sign", "b"))
+        .where("_rows > 1"))
     # Most signatures are one document's; the second time only the others are shuffled.
-    signed = sign(_held_bits(shared))
-    rows = staged(signed.join(shared, "sign").where("_id <> b").select("_id", "b").distinct())
-    candidates = staged(
-        rows.join(named, "_id").select(F.col("node").alias("a"), F.col("b").alias("_id"))
-        .join(named, "_id").select("a", F.col("node").alias("b")).where("a <> b").distinct())
+    signed = staged(sign(_held_bits(shared)).join(shared, "sign"))
+    candidates = staged(_candidates(signed, named, paired, percent))
 
     def compared(units: DataFrame) -> DataFrame:
         """Links (a, b) found among the nodes of each unit; enough to connect them."""
-        members = units.join(classes.select("node", "_row"), "node").groupBy(
-            "_row._id", "_row._th").agg(F.collect_set(F.struct("unit", "node")).alias("_units"))
-        texts = keyed.select("_id", "_th", "text").join(
-            members, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
+        members = staged(
+            units.join(classes.select("node", "_row._id", "_row._th"), "node").groupBy("_id", "_th")
+            .agg(F.collect_set(F.struct("unit", "node")).alias("_units")))
+        own = [F.col("_id"), F.col("_th")]
+        texts = marked(keyed.select("_id", "_th", "text"), own, members, ["_id", "_th"]).where(
+            "_marked").drop("_marked").join(members, ["_id", "_th"]).dropDuplicates(["_id", "_th"])
         rows = texts.select(F.explode("_units").alias("_u"), "text").select("_u.unit", "_u.node", "text")
         return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(
             lambda batches: _link(batches, size, percent), "a long, b long")
@@ -395,7 +469,7 @@ def link_documents(
         within_large = candidates.join(large.withColumnRenamed("node", "a"), "a", "left_semi")
         near = staged(compared(_stars(within_large, classes, block_rows, block_shingles)))
         told = staged(
-            signed.join(named, "_id").select("sign", "node").distinct()
+            signed.where(F.col("_rows") > paired).join(named, "_id").select("sign", "node").distinct()
             .join(large, "node", "left_semi").join(components(near), "node", "left")
             .select("sign", "node", F.coalesce("root", "node").alias("_part")))
         open_signs = staged(
