@@ -360,34 +360,57 @@ def _stars(candidates: DataFrame, classes: DataFrame, block_rows: int, block_shi
         dealt.select("unit", F.col("b").alias("node")).distinct())
 
 
-def _candidates(signed: DataFrame, named: DataFrame, paired: int, percent: int) -> DataFrame:
-    """(a, b): the nodes that may be linked, by signatures (sign, _id, b, _rows).
-
-    Enough of them that those of one signature are together in a cluster, where a
-    pair that is left out can't be linked.
-    """
-    # Near copies have hundreds of signatures in common, and the same rows in each.
-    groups = signed.where(F.col("_rows") <= paired).groupBy("sign").agg(
-        F.array_sort(F.collect_set("_id")).alias("_ids")).select("_ids").distinct()
-    first = groups.select("_ids", F.posexplode("_ids").alias("_at", "b"))
-    pairs = first.select("b", F.explode(F.slice(
-        "_ids", F.col("_at") + 2, F.size("_ids"))).alias("a")).distinct()
-
+def _allowed(pairs: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the nodes of these documents (a, b) whose sketches allow a link."""
     def told(side: str, *names: str) -> DataFrame:
         return named.select(F.col("_id").alias(side), *[
-            F.col(old).alias(new) for old, new in zip(("node", "n", "sketch"), names, strict=False)])
+            F.col(old).alias(new) for old, new in zip(("node", "n", "sketch"), names, strict=True)])
 
-    tested = (
+    return (
         pairs.join(told("a", "_a", "n", "left"), "a").join(told("b", "_b", "m", "right"), "b")
+        .where("_a <> _b")
         .select(F.col("_a").alias("a"), F.col("_b").alias("b"), "n", "m", "left", "right")
         .mapInArrow(lambda batches: _may_be_linked(batches, percent), "a long, b long")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+
+
+def _with_least(signed: DataFrame, named: DataFrame, paired: int, percent: int) -> DataFrame:
+    """(a, b): the nodes of each signature (sign, _id, b, _rows) with those of its least document.
+
+    Of signatures of up to ``paired`` rows, only where sketches allow a link.
+    """
+    pairs = signed.where("_id <> b").select(
+        F.col("_id").alias("a"), "b", (F.col("_rows") > paired).alias("_star")).distinct()
+    nodes = named.select("_id", "node").distinct()
     stars = (
-        signed.where(F.col("_rows") > paired).where("_id <> b")
-        .select(F.col("_id").alias("a"), "b").distinct()
-        .join(told("a", "_a"), "a").join(told("b", "_b"), "b")
-        .select(F.col("_a").alias("a"), F.col("_b").alias("b")))
-    return tested.unionAll(stars).where("a <> b").distinct()
+        pairs.where("_star").join(nodes.select(F.col("_id").alias("a"), F.col("node").alias("_a")), "a")
+        .join(nodes.select(F.col("_id").alias("b"), F.col("node").alias("_b")), "b")
+        .select(F.col("_a").alias("a"), F.col("_b").alias("b")).where("a <> b"))
+    return _allowed(pairs.where("not _star").drop("_star"), named, percent).unionAll(stars).distinct()
+
+
+def _between_parts(
+    signed: DataFrame, named: DataFrame, parts: DataFrame, paired: int, percent: int,
+) -> DataFrame:
+    """(a, b): nodes that are in different ``parts`` (node, root) and may be linked.
+
+    By signatures of up to ``paired`` rows; a node without a part is its own. Near copies
+    are in one part by then, so a group of them makes no pairs.
+    """
+    placed = named.select("_id", "node").distinct().join(parts, "node", "left").select(
+        "_id", F.coalesce("root", "node").alias("_part")).distinct()
+    # Near copies have hundreds of signatures in common, and the same rows in each.
+    groups = (
+        signed.where(F.col("_rows") <= paired).select("sign", "_id").join(placed, "_id")
+        .groupBy("sign").agg(F.array_sort(F.collect_set(F.struct("_part", "_id"))).alias("_all"))
+        .where(F.col("_all")[0]["_part"] < F.element_at("_all", -1)["_part"]).select("_all").distinct())
+    first = groups.select("_all", F.posexplode("_all").alias("_at", "_one"))
+    others = F.slice("_all", F.col("_at") + 2, F.size("_all"))
+    pairs = first.select(
+        F.col("_one._id").alias("b"),
+        F.explode(F.transform(
+            F.filter(others, lambda x: x["_part"] != F.col("_one._part")), lambda x: x["_id"])).alias("a"))
+    return _allowed(pairs.where("a <> b").distinct(), named, percent)
 
 
 def link_documents(
@@ -399,13 +422,15 @@ def link_documents(
     ``n`` counts the distinct shingles of ``size`` words, ``root`` is the least
     document reachable by links (``node`` the least with the very same set).
 
-    Equal sets become one class first. Of up to ``paired`` classes with a common
-    signature, each two whose sketches allow a link are candidates; of more, each with
-    the least one. Candidates form clusters, and a cluster is compared in one task. One of more
+    Equal sets become one class first. Each class and the least one with a common
+    signature are candidates; where up to ``paired`` have it, if their sketches allow a
+    link, and there each two that aren't in one cluster by then are candidates in
+    the same way. Candidates form clusters, and a cluster is compared in one task. One of more
     than ``block_rows`` classes or ``block_shingles`` shingles is cut into
     blocks, and each two blocks are compared in one task. One of more blocks than
     ``blocks_at_once`` is connected first: every class is compared with its
-    candidates, in parts. Then only signatures of more than ``paired`` classes that
+    candidates, in parts, and with what else its sketch allows among up to ``paired`` classes
+    that aren't connected by then. Then only signatures of more than ``paired`` classes that
     aren't all connected can hide another link, and the clusters that
     these form are compared by blocks. So no link is lost, no task is
     unbounded, and a large group of near copies costs its size.
@@ -440,7 +465,9 @@ def link_documents(
         .where("_rows > 1"))
     # Most signatures are one document's; the second time only the others are shuffled.
     signed = staged(sign(_held_bits(shared)).join(shared, "sign"))
-    candidates = staged(_candidates(signed, named, paired, percent))
+    with_least = staged(_with_least(signed, named, paired, percent))
+    parts = staged(components(with_least))
+    between = staged(_between_parts(signed, named, parts, paired, percent))
 
     def compared(units: DataFrame) -> DataFrame:
         """Links (a, b) found among the nodes of each unit; enough to connect them."""
@@ -458,7 +485,8 @@ def link_documents(
         return staged(clusters.join(classes.select("node", "n"), "node").groupBy("root").agg(
             _chunks(block_rows, block_shingles).alias("_blocks")))
 
-    clusters = staged(components(candidates))
+    clusters = staged(components(
+        parts.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(between)))
     sizes = sized(clusters)
     large = staged(
         clusters.join(sizes.where(F.col("_blocks") > blocks_at_once), "root", "left_semi")
@@ -466,8 +494,16 @@ def link_documents(
     if large.isEmpty():
         links = compared(_blocks(clusters, sizes))
     else:
-        within_large = candidates.join(large.withColumnRenamed("node", "a"), "a", "left_semi")
-        near = staged(compared(_stars(within_large, classes, block_rows, block_shingles)))
+        def near_of(pairs: DataFrame) -> DataFrame:
+            within_large = pairs.join(large.withColumnRenamed("node", "a"), "a", "left_semi")
+            return staged(compared(_stars(within_large, classes, block_rows, block_shingles)))
+
+        near = near_of(with_least.unionAll(between))
+        inside = staged(named.join(large, "node", "left_semi"))
+        left = staged(_between_parts(
+            signed.join(inside.select("_id").distinct(), "_id", "left_semi"), inside,
+            staged(components(near)), paired, percent))
+        near = near.unionAll(near_of(left))
         told = staged(
             signed.where(F.col("_rows") > paired).join(named, "_id").select("sign", "node").distinct()
             .join(large, "node", "left_semi").join(components(near), "node", "left")

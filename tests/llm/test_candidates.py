@@ -29,6 +29,20 @@ def test_unlike_documents_with_common_signatures_are_no_candidates(spark, monkey
     assert seen[0] == 0
 
 
+def test_a_group_of_near_copies_makes_no_pairs_of_all(spark, monkeypatch):
+    seen, plain = [], ngram_join.components
+
+    def components(edges):
+        seen.append(edges.count())
+        return plain(edges)
+
+    monkeypatch.setattr(ngram_join, "components", components)
+    docs = spark.createDataFrame(list(_texts(4).items()), "doc_id long, text string")
+    found = ngram_join.link_documents(docs, 5, 80)
+    assert {(r["doc_id"], r["root"]) for r in found.collect()} == {(i, 0) for i in range(40)}
+    assert max(seen) < 3 * 40  # not 40 * 39 / 2
+
+
 def test_pairs_and_stars_find_the_same_links(spark):
     texts = _texts(20) | {100 + i: t for i, t in _texts(90).items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
