@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from reviewloom.operators.skew import within
+from reviewloom.operators.skew import marked, within  # noqa: F401
 
 #: Fixed value: the letters that lower-casing changes; no others.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,28 +59,3 @@ def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Join keys of a row that are never null: rows equal in both are copies."""
     return [F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("_id"),
             text_hash(F.col(text)).alias("_th")]
-
-
-#: Bits of the bitmap by which :func:`marked` sorts rows out: 8 MB.
-MARK_BITS = 26
-
-
-def marked(df: DataFrame, own: list[Column], found: DataFrame, key: list[str], bits: int = MARK_BITS) -> DataFrame:
-    """``df`` with ``_marked``: false only where ``own`` equals no row's ``key`` in ``found``.
-
-    A bitmap of the keys' hashes, of a fixed size, is broadcast, so that rows that
-    a join with ``found`` would not change need not be shuffled for it.
-    """
-    def place(columns):
-        return F.xxhash64(*columns).bitwiseAND(F.lit((1 << bits) - 1))
-
-    at = place([F.col(k) for k in key])
-    bitmaps = found.groupBy(F.shiftright(at, 15).alias("_bucket")).agg(
-        F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("_bits"))
-    bit = F.col("_place").bitwiseAND(F.lit(32767))
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10)
-    is_set = F.bit_get(byte.cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
-    return (
-        df.withColumn("_place", place(own))
-        .join(F.broadcast(bitmaps), F.shiftright("_place", 15) == F.col("_bucket"), "left")
-        .withColumn("_marked", F.coalesce(is_set, F.lit(False))).drop("_place", "_bucket", "_bits"))

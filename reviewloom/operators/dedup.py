@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from reviewloom.functions.text import review_key
-from reviewloom.operators.skew import numbered
+from reviewloom.operators.skew import marked, numbered
 from reviewloom.schema import KEY_COLUMNS
 from reviewloom.session import staged
 
@@ -67,7 +67,14 @@ def assign_ids(df: DataFrame, order: Sequence[str], stored_count: int = 0) -> Da
 
 
 def merge_new(stored: DataFrame, delta: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The stored reviews, unchanged, followed by the new ones of ``delta``."""
-    first = staged(dedup_first(delta, order))
-    fresh = assign_ids(only_new(first, stored), order, stored.count())
+    """The stored reviews, unchanged, followed by the new ones of ``delta``.
+
+    Which keys are new is settled on the keys alone. Rows with a stored key are
+    left out where they are read, so only new ones are shuffled whole.
+    """
+    rows = staged(with_keys(delta))
+    keys = staged(only_new(distinct_keys(rows), stored).select(*[F.col(c).alias(f"_new_{c}") for c in KEY_COLUMNS]))
+    new = marked(rows, [F.col(c) for c in KEY_COLUMNS], keys, keys.columns).where("_marked").drop("_marked")
+    is_new = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_new_{c}")) for c in KEY_COLUMNS])
+    fresh = assign_ids(dedup_first(new.join(keys, is_new, "left_semi"), order), order, stored.count())
     return stored.unionByName(fresh.select(*stored.columns))

@@ -1,15 +1,17 @@
-"""Numbers and running sums without a single task, and a check of a table's size."""
+"""Numbers and running sums without a single task, a check of a table's size, and a filter ahead of joins."""
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.session import staged
 
 BROADCAST_BYTES = 64 << 20
 #: Spark cuts a ranking down ahead of its shuffle up to this rank.
 WINDOW_LIMIT = 1000
+#: Bits of the bitmap by which :func:`marked` sorts rows out: 8 MB.
+MARK_BITS = 26
 
 
 def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
@@ -95,3 +97,24 @@ def _starts(totals: DataFrame) -> DataFrame:
     return totals.select(
         "_part", F.coalesce(F.sum("_total").over(ahead), F.lit(0)).alias("_start")
     )
+
+
+def marked(df: DataFrame, own: list[Column], found: DataFrame, key: list[str], bits: int = MARK_BITS) -> DataFrame:
+    """``df`` with ``_marked``: false only where ``own`` equals no row's ``key`` in ``found``.
+
+    A bitmap of the keys' hashes, of a fixed size, is broadcast, so that rows that
+    a join with ``found`` would not change need not be shuffled for it.
+    """
+    def place(columns):
+        return F.xxhash64(*columns).bitwiseAND(F.lit((1 << bits) - 1))
+
+    at = place([F.col(k) for k in key])
+    bitmaps = found.groupBy(F.shiftright(at, 15).alias("_bucket")).agg(
+        F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("_bits"))
+    bit = F.col("_place").bitwiseAND(F.lit(32767))
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10)
+    is_set = F.bit_get(byte.cast("int"), bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return (
+        df.withColumn("_place", place(own))
+        .join(F.broadcast(bitmaps), F.shiftright("_place", 15) == F.col("_bucket"), "left")
+        .withColumn("_marked", F.coalesce(is_set, F.lit(False))).drop("_place", "_bucket", "_bits"))

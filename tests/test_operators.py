@@ -111,6 +111,26 @@ def test_merge_keeps_stored_ids(spark):
         == [(1, "Ann"), (2, "Bob"), (3, "eve"), (4, "Max")]
 
 
+def test_merge_handles_new_rows_only(spark, monkeypatch):
+    seen, plain = [], dedup.dedup_first
+
+    def dedup_first(df, order):
+        seen.append(sorted(r["seq"] for r in df.collect()))
+        return plain(df, order)
+
+    monkeypatch.setattr(dedup, "dedup_first", dedup_first)
+    schema = "id long, seq int, k_name string, k_text string, note string"
+    stored = spark.createDataFrame(
+        [(1, 1, "ann", "a", "x"), (2, 2, None, "b", "x"), (3, 2, "dan", "d", "x")], schema)
+    delta = spark.createDataFrame(
+        [(None, 3, "ann", "a", "y"), (None, 4, None, "b", "z"), (None, 4, None, "b", "y"),
+         (None, 6, "eve", "c", "z"), (None, 5, "eve", "c", "y"), (None, 7, "dan", "d", "y")], schema)
+    merged = dedup.merge_new(stored, delta, ["seq"]).orderBy("id").collect()
+    # A key without a name is nobody's, so it is always new.
+    assert [(r["id"], r["seq"], r["note"]) for r in merged[3:]] == [(4, 4, "y"), (5, 5, "y")]
+    assert seen == [[4, 4, 5, 6]]
+
+
 def test_phrases_bridge_stop_words(spark):
     df = spark.createDataFrame([("the best pasta of the lake",)] * 2, "review_text string")
     got = dict((p, (tf, df_)) for p, tf, df_ in pairs(
