@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewloom.lookups import STOP_WORDS, TOP_PHRASES
 from reviewloom.session import staged
@@ -11,7 +11,7 @@ LENGTHS = (2, 3, 4)
 MIN_DOCUMENTS = 2
 FREQUENT_PARTS = 20_000
 
-#: Phrases are told apart by as many bits ahead of their strings: bitmaps of 8 MB.
+#: Phrases are dealt to tasks by as many bits of a hash of their first words.
 NUMBER_BITS = 26
 
 _TOKEN = r"([\p{L}\p{N}_]{2,})"
@@ -23,20 +23,21 @@ def tokens(text: Column, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> Colum
     return F.filter(words, lambda w: ~w.isin(list(stop_words)))
 
 
-def runs(words: Column, length: int) -> Column:
-    """All phrases of ``length`` neighbouring words, in order."""
-    last = F.size(words) - length
+def runs(words: Column, length: int, least: int | None = None) -> Column:
+    """All phrases of ``length`` neighbouring words, in order.
+
+    With ``least``, also the shorter ones at the end that have as many words.
+    """
+    last = F.size(words) - (length if least is None else least)
     phrases = F.transform(
         F.sequence(F.lit(0), last),
         lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(length)]))
     return F.when(last >= 0, phrases).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(phrase_lists: DataFrame, passed: DataFrame | None = None, bits: int = 0) -> DataFrame:
+def _counts(phrase_lists: DataFrame) -> DataFrame:
     """Total (``tf``) and document (``df``) counts of ``phrases`` arrays.
 
-    With ``passed``, of those only whose number is set in its bitmaps.
-
     Sorting the phrases of a document marks the first of each equal run, so
     both counts come from one aggregation by phrase, combined on the map side.
     """
@@ -48,10 +49,6 @@ def _counts(phrase_lists: DataFrame, passed: DataFrame | None = None, bits: int
             g.alias("phrase"),
             F.when((i > 0) & (g == F.get(F.col("p"), i - 1)), 0).otherwise(1).alias("is_new"),
         ))).alias("e")).where(F.col("e").isNotNull()).select("e.phrase", "e.is_new")
-    if passed is not None:
-        marked = marked.withColumn("_number", _number(F.col("phrase"), bits)).join(
-            F.broadcast(passed), F.bitmap_bucket_number("_number") == F.col("bucket")).where(
-                _is_set(F.col("bitmap"), F.bitmap_bit_position("_number")))
     return marked.groupBy("phrase").agg(F.count("*").alias("tf"), F.sum("is_new").alias("df"))
 
 
@@ -89,40 +86,66 @@ def phrase_counts(
 ) -> DataFrame:
     """Every phrase found in at least ``min_documents`` texts, with both counts.
 
-    Most phrases occur in one text. A first pass counts texts by a short number, a
-    hash of the phrase; only phrases whose number occurs in enough texts go on as
-    strings. Different phrases of one number are let through together and told
-    apart there.
+    All phrases that begin at one word are shuffled as one row, the longest of them,
+    dealt by its first words. So all counts of a phrase meet in one task and nothing
+    is shuffled again: a row for each word of the corpus at most, whatever its size.
+    Different phrases of one number are dealt together and told apart there.
+    """
+    lengths = sorted(set(lengths))
+    opening = F.col("opening")
+    dealt = _openings(_words(df, text, stop_words), lengths).withColumn(
+        "number", _number(_first(opening, lengths[0]), bits)).repartition("number")
+    # Sorted once by all columns below; each length counts runs of equal phrases in that order.
+    names = [f"phrase{k}" for k in lengths]
+    counted = dealt.select("number", "n", "differs", *[
+        F.when(_first(opening, k) != _first(opening, k - 1), _first(opening, k)).alias(name)
+        for k, name in zip(lengths, names)])
+    for at, k in reversed(list(enumerate(lengths))):
+        equal = Window.partitionBy("number", *names[:at + 1]).orderBy(*(names[at + 1:] or names[-1:]))
+        all_equal = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        counted = counted.withColumn(f"count{k}", F.struct(
+            F.col(names[at]).alias("phrase"), F.sum("n").over(all_equal).alias("tf"),
+            F.count_if(F.col("differs") <= k).over(all_equal).alias("df"),
+            (F.row_number().over(equal) == 1).alias("is_first")))
+    each = counted.select(F.explode(F.array(*[f"count{k}" for k in lengths])).alias("c")).select("c.*")
+    kept = F.col("is_first") & F.col("phrase").isNotNull() & (F.col("df") >= min_documents)
+    return each.where(kept).select("phrase", "tf", "df")
+
+
+def _openings(words: DataFrame, lengths: Sequence[int]) -> DataFrame:
+    """(opening, n, differs): a text's different runs of the longest length, and how often.
+
+    Sorted, openings that begin with the same phrase are neighbours, since a space
+    comes before every character of a word. ``differs`` is the least length from
+    which an opening's phrases are new in its text.
     """
-    phrases = _phrases(_words(df, text, stop_words), lengths)
-    passed = _frequent_numbers(phrases, min_documents, bits) if min_documents > 1 else None
-    return _counts(phrases, passed, bits).where(F.col("df") >= min_documents)
+    p, starts = F.col("p"), F.col("starts")
 
+    def differs(i):
+        now, before = F.get(p, i), F.get(p, i - 1)
+        least = F.lit(lengths[-1])
+        for k in reversed(lengths[:-1]):
+            least = F.when(_first(now, k).eqNullSafe(_first(before, k)), least).otherwise(k)
+        return least
 
-def _number(phrase: Column, bits: int) -> Column:
-    """The number, from 1 on, that stands for a phrase in the first pass."""
-    return F.xxhash64(phrase).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    ordered = words.select(F.sort_array(runs(F.col("words"), lengths[-1], lengths[0])).alias("p"))
+    # Of an empty array the one place is null, and no start.
+    marked = ordered.select("p", F.filter(
+        F.sequence(F.lit(0), F.greatest(F.size("p") - 1, F.lit(0))),
+        lambda i: F.get(p, i).isNotNull() & ~F.get(p, i).eqNullSafe(F.get(p, i - 1))).alias("starts"))
+    return marked.select(F.explode_outer(F.transform("starts", lambda i, at: F.struct(
+        F.get(p, i).alias("opening"),
+        (F.coalesce(F.get(starts, at + 1), F.size("p")) - i).alias("n"),
+        differs(i).alias("differs")))).alias("e")).where(F.col("e").isNotNull()).select("e.*")
 
 
-def _frequent_numbers(phrases: DataFrame, min_documents: int, bits: int) -> DataFrame:
-    """(bucket, bitmap): the numbers of phrases in enough texts, 4 KB for 32,768 of them.
+def _first(phrase: Column, length: int) -> Column:
+    return F.substring_index(phrase, " ", length)
 
-    All bitmaps together are of a fixed size, whatever the corpus.
-    """
-    numbers = phrases.select(F.explode_outer(
-        F.array_distinct(F.transform("phrases", lambda p: _number(p, bits)))).alias("number"))
-    frequent = (
-        numbers.where(F.col("number").isNotNull()).groupBy("number")
-        .agg(F.count("*").alias("texts")).where(F.col("texts") >= min_documents))
-    return staged(
-        frequent.groupBy(F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap")))
-
-
-def _is_set(bitmap: Column, position: Column) -> Column:
-    byte = F.substring(bitmap, (F.shiftright(position, 3) + 1).cast("int"), F.lit(1))
-    value = F.conv(F.hex(byte), 16, 10).cast("int")
-    return F.bit_get(value, position.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+def _number(phrase: Column, bits: int) -> Column:
+    """The number, from 1 on, that a phrase is dealt by."""
+    return F.xxhash64(phrase).bitwiseAND(F.lit((1 << bits) - 1)) + 1
 
 
 def top_phrases(

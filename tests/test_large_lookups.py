@@ -80,6 +80,39 @@ def test_few_numbers_change_no_count(spark):
     assert sorted(map(tuple, everything.where("df >= 2").collect())) == want
 
 
+def _phrases_by_hand(texts, lengths, least):
+    total, documents = Counter(), Counter()
+    for words in (t.split() for t in texts if t is not None):
+        found = [" ".join(words[i:i + n]) for n in lengths for i in range(len(words) - n + 1)]
+        total.update(found)
+        documents.update(set(found))
+    return sorted((p, n, documents[p]) for p, n in total.items() if documents[p] >= least)
+
+
+def test_phrases_of_any_lengths_equal_a_count_by_hand(spark):
+    rng = random.Random(3)
+    texts = [None, "", "aa", "aa bb", "aa bb", "aa aa aa aa aa", "aa bb cc aa bb cc aa bb", "aa bbb", "aab bb"]
+    texts += [" ".join(rng.choice(["aa", "aab", "a_", "bb", "éé", "cc9"]) for _ in range(rng.randrange(12)))
+              for _ in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "review_text string").repartition(3)
+    for lengths, least, bits in (((2, 3, 4), 2, 26), ((2, 4), 2, 1), ((3,), 1, 3), ((1, 2, 3), 3, 26), ((4, 2, 3), 1, 1)):
+        got = phrases.phrase_counts(df, lengths=lengths, stop_words=[], min_documents=least, bits=bits)
+        assert sorted(map(tuple, got.collect())) == _phrases_by_hand(texts, lengths, least)
+
+
+def test_phrases_are_shuffled_once_a_row_for_each_word(spark, monkeypatch):
+    """Of new words nothing repeats, so nothing can be left out: three phrases begin at each of them."""
+    texts = [(" ".join(f"w{i}x{j}" for j in range(50)),) for i in range(20)]
+    df = spark.createDataFrame(texts, "review_text string")
+    monkeypatch.setattr(phrases, "staged", lambda _: 1 / 0)
+    counted = phrases.phrase_counts(df, bits=3)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and counted.count() == 0
+    dealt = plan.split("Exchange")[1]
+    assert dealt.count("explode") == 1 and "concat(" not in dealt
+    assert phrases._openings(phrases._words(df, "review_text", []), (2, 3, 4)).count() == 20 * 49
+
+
 def test_pages_in_all_encodings(spark, tmp_path):
     body = '<html><head><META charset={}></head><body>Привет «мир» — и é</body></html>'
     tag = '<html><meta http-equiv="Content-Type" content="text/html; charset=windows-1251">Привет</html>'
