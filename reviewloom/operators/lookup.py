@@ -1,14 +1,16 @@
 """Joins of reviews with dictionaries and listings held as tables."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from reviewloom.functions.enrichment import windows
-from reviewloom.functions.text import bind, strip
-from reviewloom.operators.skew import within
+from reviewloom.functions.text import strip
+from reviewloom.operators.skew import numbered, within
 from reviewloom.session import staged
 
 #: Characters of the shortest grams that index a dictionary, but for shorter entries.
@@ -19,6 +21,10 @@ LONGER = (8, 24)
 PAIRED = 1000
 #: Up to as many different grams are broadcast to be filtered by.
 LISTED_GRAMS = 500_000
+#: Bits of the bitmap by which texts leave out grams when there are more: 32 MB.
+GRAM_BITS = 28
+#: Of the entries proposed for a text, so many are looked for first, and four times as many in each turn.
+TRIED = 16
 
 
 def first_contained(
@@ -64,8 +70,11 @@ def rarest_grams(df: DataFrame, text: str, dictionary: DataFrame, size: int = GR
     grams = staged(entries.select(
         "needle", "entry", "length", F.explode(_numbers("needle", F.array("length"))).alias("gram")))
     wanted = grams.select("gram").distinct()
-    found = df.select(F.explode(text_grams(F.col(text), _lengths(grams))).alias("gram"))
-    held = found.join(F.broadcast(wanted) if within(wanted, LISTED_GRAMS) else wanted, "gram") \
+    few = within(wanted, LISTED_GRAMS)
+    found = df.select(F.explode(text_grams(
+        F.col(text), _lengths(grams), None if few else _gram_bits(wanted))).alias("gram"))
+    # Bits let through grams of no entry besides, which are counted for nothing.
+    held = (found.join(F.broadcast(wanted), "gram") if few else found) \
         .groupBy("gram").agg(F.count("*").alias("texts"))
     chosen = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("_first")
     return (
@@ -109,12 +118,54 @@ def _numbers(texts: pd.Series, sizes: pd.Series) -> pd.Series:
     return pd.Series([gram_numbers(t, s) for t, s in zip(texts, sizes, strict=True)], dtype=object)
 
 
-def text_grams(text: Column, lengths: Sequence[int]) -> Column:
-    """The distinct grams of these lengths of a lower-cased text, as numbers."""
+def _gram_bits(grams: DataFrame) -> Broadcast:
+    """Two bits for each ``gram``, at its first and at its last ``GRAM_BITS`` bits.
+
+    Always of the same size, however many grams there are.
+    """
+    ends = F.array(F.shiftrightunsigned("gram", 64 - GRAM_BITS),
+                   F.col("gram").bitwiseAND(F.lit((1 << GRAM_BITS) - 1)))
+    place = F.col("_place")
+    found = staged(
+        grams.select(F.explode(ends).alias("_place"))
+        .groupBy(F.shiftright(place, 15).cast("int").alias("bucket"))
+        .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits")))
+    out = np.zeros(1 << (GRAM_BITS - 3), np.uint8)
+    for bucket, bits in found.toLocalIterator():
+        out[bucket << 12:(bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(out)
+
+
+def _has_bits(numbers: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether both bits of each number are set; they are for each gram the bitmap was made of."""
+    def is_set(place):
+        return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    bare = numbers.view(np.uint64)
+    some = is_set(bare >> np.uint64(64 - GRAM_BITS))
+    some[some] = is_set(bare[some] & np.uint64((1 << GRAM_BITS) - 1))
+    return some
+
+
+def _held_numbers(held: Broadcast):
+    """:func:`_numbers`, those only whose bits are set in ``held``."""
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def numbers(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+        found = (gram_numbers(t, s) for t, s in zip(texts, sizes, strict=True))
+        return pd.Series([x[_has_bits(x, held.value)] for x in found], dtype=object)
+
+    return numbers
+
+
+def text_grams(text: Column, lengths: Sequence[int], held: Broadcast | None = None) -> Column:
+    """The distinct grams of these lengths of a lower-cased text, as numbers.
+
+    With ``held``, those whose bits are set there.
+    """
     if not lengths:
         return F.array().cast("array<long>")
     low = strip(F.lower(F.coalesce(text, F.lit(""))))
-    return _numbers(low, F.array(*[F.lit(n) for n in lengths]))
+    return (_numbers if held is None else _held_numbers(held))(low, F.array(*[F.lit(n) for n in lengths]))
 
 
 def first_indexed(
@@ -125,30 +176,47 @@ def first_indexed(
     An index holds each entry under its rarest gram only. A text proposes the
     entries under the grams it holds, and those are looked for in it, the lowest
     ``ord`` first, until one is there. Grams are as long as an entry allows, so few
-    entries are proposed that the text doesn't hold. Nothing is longer than the
-    text but the entries proposed for it.
+    entries are proposed that the text doesn't hold. They are proposed by their
+    numbers in order; an entry itself meets a text only in its turn, ``TRIED`` of
+    them first. Of an index too long for a broadcast a bitmap is, so that no
+    gram is shuffled but those of the index.
     """
-    index = staged(rarest_grams(df, text, dictionary, size))
+    index = staged(numbered(rarest_grams(df, text, dictionary, size), ["entry", "needle"], "_no"))
     lengths = _lengths(index)
-    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), lengths)).alias("gram"))
-    index = index.drop("length")
-    if within(index, LISTED_GRAMS):
-        index = F.broadcast(index)
-    else:
-        wanted = index.select("gram").distinct()
-        if within(wanted, LISTED_GRAMS):
-            grams = grams.join(F.broadcast(wanted), "gram")
-    proposed = (
-        grams.join(index, "gram").groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("entry", "needle"))).alias("_entries")))
-    nothing = F.filter(F.transform("_entries", lambda e: e["entry"]), lambda e: F.lit(False))
-    found = bind(strip(F.lower(F.col(text))), lambda low: F.get(F.aggregate(
-        "_entries", nothing, lambda hit, e: F.when(F.size(hit) > 0, hit).when(
-            F.contains(low, e["needle"]), F.array(e["entry"])).otherwise(hit)), 0))
-    return (
-        df.select(key, text).join(proposed, key).select(key, found.alias("_found"))
-        .where("_found IS NOT NULL").select(key, F.col("_found.label").alias("label"))
-    )
+    numbers = index.select("gram", "_no")
+    few = within(numbers, LISTED_GRAMS)
+    held = None if few else _gram_bits(numbers)
+    grams = df.select(F.col(key), F.explode(text_grams(F.col(text), lengths, held)).alias("gram"))
+    proposed = staged(
+        grams.join(F.broadcast(numbers) if few else numbers, "gram").groupBy(key)
+        .agg(F.sort_array(F.collect_set("_no")).alias("_nos")))
+    rows, found, tried, many = df.select(key, text), [], 0, TRIED
+    while not found or not rows.isEmpty():
+        turn = proposed.where(F.size("_nos") > tried).select(
+            key, (F.size("_nos") > tried + many).alias("_more"),
+            F.explode(F.slice("_nos", tried + 1, many)).alias("_no"))
+        if found:
+            turn = turn.join(rows.select(key).distinct(), key, "left_semi")
+        entries = turn.join(index.select("_no", "needle"), "_no").groupBy(key, "_more").agg(
+            F.sort_array(F.collect_list(F.struct("_no", "needle"))).alias("_entries"))
+        hit = F.get("_entries", _first_held(strip(F.lower(F.col(text))), F.col("_entries.needle")))["_no"]
+        looked = staged(
+            rows.join(entries, key).withColumn("_no", hit)
+            .select(key, F.expr("IF(_no IS NULL AND _more, 1, 0)").alias("_open"), "_no", text)
+            .select(key, F.when(F.col("_open") == 1, F.col(text)).alias(text), "_no")
+            .where(F.col("_no").isNotNull() | F.col(text).isNotNull()))
+        found.append(looked.where("_no IS NOT NULL").select(key, "_no"))
+        rows = looked.where("_no IS NULL").select(key, text)
+        tried, many = tried + many, 4 * many
+    return reduce(DataFrame.unionAll, found).join(index, "_no").select(key, F.col("entry.label").alias("label"))
+
+
+@F.pandas_udf(T.IntegerType())
+def _first_held(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """The place of the first of a row's needles that is in its text, or null."""
+    return pd.Series([
+        None if text is None else next((i for i, needle in enumerate(some) if needle in text), None)
+        for text, some in zip(texts, needles, strict=True)], dtype="Int32")
 
 
 def attach_listing(pages: DataFrame, listings: DataFrame, on: str = "url") -> DataFrame:

@@ -76,12 +76,24 @@ def own_scratch(spark: SparkSession) -> Iterator[None]:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Ends an execution by removing its shuffle files (from Spark 4.1 on); else the driver's garbage collector does, some time.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` once to shared storage and return the written table.
 
     Used where two later steps must see the same rows, whatever tasks are run
-    again in between.
+    again in between. Shuffles of the writing aren't kept.
     """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -181,3 +181,36 @@ def test_short_dictionaries_cut_no_text(spark):
     found = lookup.first_contained(texts, "id", "text", dictionary)
     assert "Generate" not in _exchanged(found)
     assert {(r["id"], r["label"]) for r in found.collect()} == {(1, "T"), (None, "L")}
+
+
+def test_a_long_index_shuffles_no_other_grams(spark, monkeypatch):
+    """Beyond what is broadcast, grams of no entry were shuffled; results are the same in several turns."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    texts = [(i % 90, " ".join(word(rng.randrange(3, 12)) for _ in range(30)) + " é𝒳éabcd") for i in range(100)]
+    texts += [(900, ""), (901, None), (5, None), (None, "éabcd")]
+    entries = [(o, word(rng.randrange(5, 8)), f"L{o % 50}") for o in range(3000, 1000, -1)] + [(2000, "ÉABCD", "E")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    dictionary = spark.createDataFrame(entries, "ord long, needle string, label string")
+    want = Counter()
+    for i, text in texts:
+        held = [(o, v, n) for o, n, v in entries if n.lower() in (text or "").lower()]
+        if held and i is not None:
+            want[i, min(held)[1]] += 1
+    monkeypatch.setattr(lookup, "LISTED_GRAMS", 100)
+    monkeypatch.setattr(lookup, "TRIED", 1)
+    seen = []
+    grams = lookup.text_grams
+    monkeypatch.setattr(lookup, "text_grams", lambda text, lengths, held=None: seen.append(
+        (out := grams(text, lengths, held), df.select(F.sum(F.size(out))).first()[0],
+         df.select(F.sum(F.size(grams(text, lengths)))).first()[0])) or out)
+    got = lookup.first_indexed(df, "id", "text", dictionary)
+    assert Counter((r["id"], r["label"]) for r in got.collect()) == want and len(want) > 80
+    assert len(seen) == 2 and all(few < 0.7 * all_of for _, few, all_of in seen)
+
+
+def test_bits_let_every_gram_through(spark):
+    numbers = lookup.gram_numbers("".join(chr(33 + i * i % 90) for i in range(400)), [3, 5])
+    held = lookup._gram_bits(spark.createDataFrame([(int(x),) for x in numbers], "gram long"))
+    others = lookup.gram_numbers("zyxwvutsrqponmlkjihgfedcba" * 3, [9])
+    assert lookup._has_bits(numbers, held.value).all() and not lookup._has_bits(others, held.value).any()
