@@ -40,8 +40,12 @@ from reviewloom.session import staged
 
 
 ALL = (1 << 64) - 1
-#: Bits by which signatures are sorted out ahead of a shuffle: 16 MB.
-SIGN_BITS = 27
+#: First bits by which signatures are sorted out ahead of a shuffle, as a bitmap: 32 MB.
+SIGN_BITS = 28
+#: Signatures are counted by their first bits, ``BUCKET_BITS`` that name a bucket and three bytes.
+BUCKET_BITS = 12
+#: So many signatures of a task are packed together.
+PACKED = 1 << 22
 #: Signatures of as many sets at most are resolved into pairs, others into stars.
 PAIRED = 64
 #: Numbers below this stand for classes in which no row has a doc_id.
@@ -209,35 +213,89 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _signs(
-    batches: Iterator[pa.RecordBatch], size: int, percent: int, held: Broadcast | None,
+    batches: Iterator[pa.RecordBatch], size: int, percent: int, held: Broadcast,
 ) -> Iterator[pa.RecordBatch]:
-    """(sign, _id); with ``held``, only signatures whose bit is set there."""
+    """(sign, _id) of the signatures whose bit is set in ``held``."""
     enum = PartEnum(percent)
     for part, rows, values, n in _texts(batches, size):
         row, sign = enum.sign(rows, values, n)
-        if held is not None:
-            place = (sign & np.uint64((1 << SIGN_BITS) - 1)).astype(np.int64)
-            some = (held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            row, sign = row[some], sign[some]
+        place = (sign >> np.uint64(64 - SIGN_BITS)).astype(np.int64)
+        some = (held.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        row, sign = row[some], sign[some]
         ids = part.column(part.schema.get_field_index("_id"))
         yield pa.RecordBatch.from_arrays(
             [pa.array(sign.view(np.int64)), ids.take(pa.array(row))], names=["sign", "_id"])
 
 
-def _held_bits(shared: DataFrame) -> Broadcast:
-    """A bit for each number that a signature of ``shared`` ends in.
+def _packed_signs(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, prints): three bytes for each signature, one row for each bucket of those at hand.
 
-    Always of the same size. What it lets through besides is told apart by the
-    join that follows.
+    Of equal ones two are kept: more don't tell more.
     """
-    spark = shared.sparkSession
-    place = F.col("sign").bitwiseAND(F.lit((1 << SIGN_BITS) - 1))
-    found = shared.groupBy(F.shiftright(place, 15).cast("int").alias("bucket")).agg(
-        F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767))).alias("bits"))
-    out = np.zeros(1 << (SIGN_BITS - 3), np.uint8)
+    enum = PartEnum(percent)
+
+    def packed(signs):
+        prints = np.sort(np.concatenate(signs) >> np.uint64(64 - BUCKET_BITS - 24))
+        kept = np.ones(len(prints), bool)
+        kept[2:] = prints[2:] != prints[:-2]
+        prints = prints[kept]
+        ends = np.searchsorted(prints, np.arange(1 << BUCKET_BITS, dtype=np.uint64) + np.uint64(1) << np.uint64(24))
+        starts = np.append(0, ends[:-1])
+        low = (prints & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+        some = np.flatnonzero(ends > starts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(some.astype(np.int32)),
+             pa.array([low[starts[i]:ends[i]].T.tobytes() for i in some], pa.binary())],
+            names=["bucket", "prints"])
+
+    signs, held = [], 0
+    for _, rows, values, n in _texts(batches, size):
+        signs.append(enum.sign(rows, values, n)[1])
+        held += len(signs[-1])
+        if held >= PACKED:
+            yield packed(signs)
+            signs, held = [], 0
+    if held:
+        yield packed(signs)
+
+
+def _shared_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, bits): a bit for each beginning of a bucket's prints that are there twice.
+
+    The rows (bucket, prints) come sorted by bucket.
+    """
+    def done(bucket, rows):
+        planes = np.concatenate([np.frombuffer(x, np.uint8).reshape(3, -1) for x in rows], axis=1).astype(np.uint32)
+        prints = np.sort(planes[0] | planes[1] << np.uint32(8) | planes[2] << np.uint32(16))
+        twice = prints[1:][prints[1:] == prints[:-1]]
+        bits = np.zeros(1 << (SIGN_BITS - BUCKET_BITS), np.uint8)
+        bits[twice >> np.uint32(24 - SIGN_BITS + BUCKET_BITS)] = 1
+        return pa.RecordBatch.from_arrays(
+            [pa.array([bucket], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())],
+            names=["bucket", "bits"])
+
+    at, rows = None, []
+    for batch in batches:
+        for bucket, prints in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if rows and bucket != at:
+                yield done(at, rows)
+                rows = []
+            at = bucket
+            rows.append(prints)
+    if rows:
+        yield done(at, rows)
+
+
+def _held_bits(found: DataFrame) -> Broadcast:
+    """The bits (bucket, bits) of all buckets. Always of the same size.
+
+    What they let through besides is told apart by the counts that follow.
+    """
+    width = 1 << (SIGN_BITS - BUCKET_BITS - 3)
+    out = np.zeros(width << BUCKET_BITS, np.uint8)
     for bucket, bits in found.toLocalIterator():
-        out[bucket << 12:(bucket + 1) << 12] = np.frombuffer(bits, np.uint8)
-    return spark.sparkContext.broadcast(out)
+        out[bucket * width:(bucket + 1) * width] = np.frombuffer(bits, np.uint8)
+    return found.sparkSession.sparkContext.broadcast(out)
 
 
 class _Forest:
@@ -455,16 +513,17 @@ def link_documents(
     signing = marked(keyed, [F.col("_id"), F.col("_th")],
                      classes.select("_row._id", "_row._th"), ["_id", "_th"]).where("_marked")
 
-    def sign(held: Broadcast | None) -> DataFrame:
-        return signing.select("_id", "text").mapInArrow(
-            lambda batches: _signs(batches, size, percent, held), "sign long, _id long")
-
+    # Most signatures are one document's. The first time three bytes of each are
+    # shuffled, to find those that aren't; the second time only these are.
+    texts = signing.select("_id", "text")
+    held = _held_bits(staged(
+        texts.mapInArrow(lambda batches: _packed_signs(batches, size, percent), "bucket int, prints binary")
+        .repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_bits, "bucket int, bits binary")))
+    made = staged(texts.mapInArrow(lambda batches: _signs(batches, size, percent, held), "sign long, _id long"))
     # Written tables on both sides let adaptive execution split a hot key's join.
     shared = staged(
-        sign(None).groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows"))
-        .where("_rows > 1"))
-    # Most signatures are one document's; the second time only the others are shuffled.
-    signed = staged(sign(_held_bits(shared)).join(shared, "sign"))
+        made.groupBy("sign").agg(F.min("_id").alias("b"), F.count("*").alias("_rows")).where("_rows > 1"))
+    signed = staged(made.join(shared, "sign"))
     with_least = staged(_with_least(signed, named, paired, percent))
     parts = staged(components(with_least))
     between = staged(_between_parts(signed, named, parts, paired, percent))
@@ -546,9 +605,16 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = link_documents(docs, size, percent)
     chosen = (F.col("doc_id") == F.col("root")) | (
         (F.col("root") < NO_ID_BELOW) & (F.col("node") == F.col("root")))
-    kept = found.where(chosen).select("_id", "_th").distinct()
+    told = staged(found.groupBy("_id", "_th").agg(
+        F.max(F.coalesce(chosen, F.lit(False))).alias("_kept"), F.count("*").alias("_rows")))
     some = F.coalesce(F.btrim("text", F.lit(BLANKS)), F.lit("")) != ""
-    rows = docs.where(some).select(
-        F.struct("*").alias("row"), _own_id().alias("_id"), text_hash(F.col("text")).alias("_th"))
-    full = rows.join(kept, ["_id", "_th"]).dropDuplicates(["_id", "_th"]).select("row.*")
-    return full.unionByName(docs.where(~some))
+    keys = ["_id", "_th"]
+    rows = marked(
+        docs.where(some).select(
+            F.struct("*").alias("row"), _own_id().alias("_id"), text_hash(F.col("text")).alias("_th")),
+        [F.col(k) for k in keys], told.where("NOT _kept OR _rows > 1"), keys)
+    # Most rows are kept and have no copy, so they need not be shuffled.
+    alone = rows.where(~F.col("_marked")).select("row.*")
+    others = rows.where("_marked").drop("_marked").join(told.where("_kept").select(*keys), keys) \
+        .dropDuplicates(keys).select("row.*")
+    return alone.unionByName(others).unionByName(docs.where(~some))
